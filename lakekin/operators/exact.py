@@ -9,15 +9,12 @@ from pyspark.sql import functions as F
 
 from lakekin.functions.stats import guarded_pearson, pearson, score, t_statistic, two_sided_p
 from lakekin.operators.pairs import (
+    LakeSql,
     LakeTable,
-    identifier,
     lake_means,
-    literal,
-    long_keys_sql,
     quoted,
-    template,
 )
-from lakekin.options import CONTAINMENT_THRESHOLD, MAX_MEASURE, OVERLAP_TOP, PAIR
+from lakekin.options import CONTAINMENT_THRESHOLD, OVERLAP_TOP, PAIR
 from lakekin.session import fits
 
 
@@ -70,27 +67,12 @@ def exact_topk(result: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
 
 
 def distinct_keys(lake: Sequence[LakeTable], only_keys: DataFrame | None = None) -> DataFrame:
-    """Distinct ``(table_id, key_col, position, key)`` of the lake."""
-    parts = []
-    for i, table in enumerate(lake):
-        keys = ", ".join(f"CAST({identifier(k)} AS STRING) AS k{j}" for j, k in enumerate(table.keys))
-        names = ", ".join(f"k{j} AS {identifier(k)}" for j, k in enumerate(table.keys))
-        places = ", ".join(f"{literal(k)}, {j}" for j, k in enumerate(table.keys))
-        parts.append(
-            f"SELECT DISTINCT {template(literal(table.table_id))} AS table_id, key_col, "
-            f"map({template(places)})[key_col] AS position, key "
-            f"FROM (SELECT {template(keys)} FROM {{t{i}}}) "
-            f"UNPIVOT (key FOR key_col IN ({template(names)}))"
-        )
-    frames = {f"t{i}": t.df for i, t in enumerate(lake)}
-    if only_keys is not None:
-        frames["few"] = only_keys
-        semi = " LEFT SEMI JOIN {few} few ON l.key = few.key"
-        parts = [
-            f"SELECT /*+ BROADCAST(few) */ DISTINCT l.* FROM ({p.replace('DISTINCT', '', 1)}) l{semi}"
-            for p in parts
-        ]
-    return lake[0].df.sparkSession.sql(" UNION ALL ".join(parts), **frames)
+    """Distinct ``(table_id, key_col, position, key)`` of the lake, by one shuffle."""
+    sql = LakeSql(lake, only_keys)
+    return sql.run(
+        f"SELECT {sql.table_id()} AS table_id, {sql.key_col()} AS key_col, "
+        f"{sql.position()} AS position, key FROM (SELECT DISTINCT k, key FROM ({sql.keys_only()}))"
+    )
 
 
 def key_overlap(
@@ -109,52 +91,52 @@ def key_overlap(
     )
 
 
-def overlap_topk(lake: Sequence[LakeTable], query: DataFrame, k: int = OVERLAP_TOP) -> DataFrame:
+def overlap_topk(
+    lake: Sequence[LakeTable],
+    query: DataFrame,
+    k: int = OVERLAP_TOP,
+    *,
+    small_query: bool | None = None,
+) -> DataFrame:
     """The k lake key columns sharing most distinct keys with the query."""
     return (
-        key_overlap(lake, query)
+        key_overlap(lake, query, small_query)
         .orderBy(F.desc("overlap"), "table_id", "key_col")
         .limit(k)
         .select("table_id", "key_col", "overlap")
     )
 
 
-def key_moments(lake: Sequence[LakeTable]) -> DataFrame:
+def key_moments(lake: Sequence[LakeTable], only_keys: DataFrame | None = None) -> DataFrame:
     """Per key and pair: rows, and count, sum and square sum of the centred measure.
 
     Measures are centred on the column mean, which makes the square sums safe
     to subtract later and does not change r.
     """
+    sql = LakeSql(lake, only_keys)
     parts = []
-    for i, table in enumerate(lake):
-        numbers = range(len(table.measures))
+    for n in sql.measure_counts():
+        numbers = range(1, n + 1)
         moments = ", ".join(
-            f"named_struct('n', count(m{j}), 's', sum(m{j}), 'ss', sum(m{j} * m{j})) AS m{j}"
-            for j in numbers
-        )
-        names = ", ".join(f"m{j} AS {identifier(m)}" for j, m in enumerate(table.measures))
-        guarded = ", ".join(
-            f"avg(CASE WHEN NOT isnan(CAST({identifier(m)} AS DOUBLE)) "
-            f"AND abs(CAST({identifier(m)} AS DOUBLE)) < {MAX_MEASURE!r}D "
-            f"THEN CAST({identifier(m)} AS DOUBLE) END) AS a{j}"
-            for j, m in enumerate(table.measures)
+            f"count(m{j}) AS n{j}, sum(m{j}) AS s{j}, sum(m{j} * m{j}) AS q{j}" for j in numbers
         )
-        fields = ", ".join(f"m{j} - s.c.a{j} AS m{j}" for j in numbers)
-        struct = ", ".join(f"'a{j}', a{j}" for j in numbers)
+        names = ", ".join(f"(n{j}, s{j}, q{j}) AS `{j}`" for j in numbers)
         parts.append(
-            f"SELECT {template(literal(table.table_id))} AS table_id, key_col, value_col, key, "
-            f"rows, moments.n, moments.s, moments.ss FROM (SELECT key_col, key, "
-            f"count(*) AS rows, {moments} FROM (SELECT key_col, key, {fields} FROM ("
-            f"SELECT l.*, (SELECT named_struct({struct}) FROM (SELECT {template(guarded)} "
-            f"FROM {{t{i}}})) AS c FROM ({long_keys_sql(table, f't{i}', False, False)}) l) s) "
-            f"GROUP BY key_col, key) UNPIVOT (moments FOR value_col IN ({template(names)}))"
+            f"SELECT {sql.table_id()} AS table_id, {sql.key_col()} AS key_col, "
+            f"{sql.value_col()} AS value_col, key, rows, n, s, ss "
+            f"FROM (SELECT k, key, count(*) AS rows, {moments} "
+            f"FROM ({sql.long_rows(n, centred=True)}) GROUP BY k, key) "
+            f"UNPIVOT INCLUDE NULLS ((n, s, ss) FOR m IN ({names}))"
         )
-    frames = {f"t{i}": t.df for i, t in enumerate(lake)}
-    return lake[0].df.sparkSession.sql(" UNION ALL ".join(parts), **frames)
+    return sql.run(" UNION ALL ".join(parts))
 
 
 def overlap_rank_corr(
-    lake: Sequence[LakeTable], query: LakeTable, k: int = OVERLAP_TOP
+    lake: Sequence[LakeTable],
+    query: LakeTable,
+    k: int = OVERLAP_TOP,
+    *,
+    small_query: bool | None = None,
 ) -> DataFrame:
     """The k best overlapping key columns, ranked by \\|r\\| of the plain row join.
 
@@ -169,9 +151,11 @@ def overlap_rank_corr(
         F.col("s").alias("q_s"),
         F.col("ss").alias("q_ss"),
     )
-    query_keys = query.df.select(quoted(query.keys[0]).cast("string").alias("key"))
-    best = F.broadcast(overlap_topk(lake, query_keys, k))
-    theirs = key_moments(lake)
+    query_keys = ours.select("key")
+    few = filter_keys(query_keys, small_query)
+    # At most k rows.
+    best = F.broadcast(overlap_topk(lake, query_keys, k, small_query=few is not None))
+    theirs = key_moments(lake, few)
     joined = theirs.join(best, ["table_id", "key_col"]).join(ours, "key")
     sums = joined.groupBy(*PAIR).agg(
         F.sum(F.col("rows") * F.col("q_rows")).alias("joinability"),

@@ -51,56 +51,116 @@ class LakeTable:
     measures: tuple[str, ...]
 
 
-def long_keys_sql(table: LakeTable, source: str, clean_keys: bool, filtered: bool) -> str:
-    """One row per (table row, key column); guarded measures ``m0, m1, ...`` alongside.
+class LakeSql:
+    """SQL over all tables of a lake.
 
-    The key columns become rows by UNPIVOT, which also drops missing keys.
+    Key columns are numbered across the lake and travel as that number. Tables
+    with the same number of measures are stacked before they are aggregated,
+    so a lake needs as many shuffles as there are such numbers, not one per
+    table.
     """
-    trim = "lower(regexp_replace(CAST({} AS STRING), '^\\\\s+|\\\\s+$', ''))"
-    text = trim if clean_keys else "CAST({} AS STRING)"
-    keys = [f"{text.format(identifier(k))} AS k{i}" for i, k in enumerate(table.keys)]
-    measures = [
-        f"CAST({identifier(m)} AS DOUBLE) AS v{i}" for i, m in enumerate(table.measures)
-    ]
-    guards = [
-        f"CASE WHEN NOT isnan(v{i}) AND abs(v{i}) < {MAX_MEASURE!r}D THEN v{i} END AS m{i}"
-        for i in range(len(table.measures))
-    ]
-    names = ", ".join(f"k{i} AS {identifier(k)}" for i, k in enumerate(table.keys))
-    head = template(", ".join(keys + measures))
-    kept = ", ".join([f"k{i}" for i in range(len(keys))] + guards)
-    rows = f"SELECT {kept} FROM (SELECT {head} FROM {{{source}}})"
-    long = f"({rows}) UNPIVOT (key FOR key_col IN ({template(names)}))"
-    if filtered:
+
+    def __init__(self, lake: Sequence[LakeTable], only_keys: DataFrame | None = None) -> None:
+        self.lake = [t for t in lake if t.keys and t.measures]
+        if not self.lake:
+            raise ValueError("no table has both a key and a measure column")
+        self.only_keys = only_keys
+        self.first_key = []
+        self.places: list[tuple[LakeTable, int]] = []
+        for table in self.lake:
+            self.first_key.append(len(self.places) + 1)
+            self.places += [(table, i) for i in range(len(table.keys))]
+
+    def run(self, sql: str) -> DataFrame:
+        frames = {f"t{i}": t.df for i, t in enumerate(self.lake)}
+        if self.only_keys is not None:
+            frames["few"] = self.only_keys
+        return self.lake[0].df.sparkSession.sql(sql, **frames)
+
+    def _lookup(self, values: Sequence[str]) -> str:
+        return f"element_at(array({template(', '.join(values))}), CAST(k AS INT))"
+
+    def table_id(self) -> str:
+        return self._lookup([literal(t.table_id) for t, _ in self.places])
+
+    def key_col(self) -> str:
+        return self._lookup([literal(t.keys[i]) for t, i in self.places])
+
+    def position(self) -> str:
+        return self._lookup([str(i) for _, i in self.places])
+
+    def value_col(self) -> str:
+        names = [f"array({', '.join(map(literal, t.measures))})" for t, _ in self.places]
+        return f"element_at({self._lookup(names)}, CAST(m AS INT))"
+
+    def measure_counts(self) -> list[int]:
+        return sorted({len(t.measures) for t in self.lake})
+
+    def _numbered_keys(self, i: int) -> str:
+        """UNPIVOT clause that makes the key columns of table i rows and drops missing keys."""
+        first = self.first_key[i]
+        names = ", ".join(f"k{j} AS `{first + j}`" for j in range(len(self.lake[i].keys)))
+        return f"UNPIVOT (key FOR k IN ({names}))"
+
+    def _filtered(self, rows: Sequence[str]) -> str:
+        stacked = " UNION ALL ".join(rows)
+        if self.only_keys is None:
+            return stacked
         return (
-            f"SELECT /*+ BROADCAST(few) */ l.* FROM (SELECT * FROM {long}) l "
+            f"SELECT /*+ BROADCAST(few) */ l.* FROM ({stacked}) l "
             "LEFT SEMI JOIN {few} few ON l.key = few.key"
         )
-    return f"SELECT * FROM {long}"
-
 
-def means_sql(
-    table: LakeTable, source: str, *, min_rows: int = 0, clean_keys: bool = False, filtered: bool = False
-) -> str:
-    """Mean of every measure per key, for every (key column, measure) pair.
-
-    Key columns become rows before the aggregation and measures after it: a
-    row is repeated once per key column, not once per pair, and there is one
-    shuffle.
-    """
-    numbers = range(len(table.measures))
-    averages = ", ".join(f"avg(m{i}) AS m{i}" for i in numbers)
-    names = ", ".join(f"m{i} AS {identifier(m)}" for i, m in enumerate(table.measures))
-    sql = (
-        f"SELECT {template(literal(table.table_id))} AS table_id, key_col, value_col, key, value "
-        f"FROM (SELECT key_col, key, {averages} "
-        f"FROM ({long_keys_sql(table, source, clean_keys, filtered)}) GROUP BY key_col, key) "
-        f"UNPIVOT (value FOR value_col IN ({template(names)}))"
-    )
-    if min_rows > 1:
-        rows = f"SELECT count(*) FROM (SELECT 1 FROM {{{source}}} LIMIT {min_rows})"
-        sql += f" WHERE ({rows}) >= {min_rows}"
-    return sql
+    def keys_only(self) -> str:
+        """Rows ``(k, key)`` of all key columns."""
+        rows = []
+        for i, table in enumerate(self.lake):
+            columns = ", ".join(
+                f"CAST({identifier(k)} AS STRING) AS k{j}" for j, k in enumerate(table.keys)
+            )
+            rows.append(
+                f"SELECT k, key FROM (SELECT {template(columns)} FROM {{t{i}}}) {self._numbered_keys(i)}"
+            )
+        return self._filtered(rows)
+
+    def long_rows(
+        self, n_measures: int, *, clean_keys: bool = False, centred: bool = False, min_rows: int = 0
+    ) -> str:
+        """Rows ``(k, key, m1, m2, ...)`` of the tables with ``n_measures`` measures.
+
+        Measures are NULL where unusable; ``centred`` takes off their column mean.
+        """
+        numbers = range(1, n_measures + 1)
+        values = ", ".join(f"m{j}" for j in numbers)
+        guard = f"CASE WHEN NOT isnan({{0}}) AND abs({{0}}) < {MAX_MEASURE!r}D THEN {{0}} END"
+        trim = "lower(regexp_replace({}, '^\\\\s+|\\\\s+$', ''))"
+        rows = []
+        for i, table in enumerate(self.lake):
+            if len(table.measures) != n_measures:
+                continue
+            keys = [f"CAST({identifier(k)} AS STRING) AS k{j}" for j, k in enumerate(table.keys)]
+            casts = [f"CAST({identifier(m)} AS DOUBLE) AS v{j}" for j, m in zip(numbers, table.measures)]
+            names = ", ".join(
+                f"{trim.format(f'k{j}') if clean_keys else f'k{j}'} AS k{j}" for j in range(len(keys))
+            )
+            raw = f"SELECT {template(', '.join(keys + casts))} FROM {{t{i}}}"
+            guards = ", ".join(f"{guard.format(f'v{j}')} AS m{j}" for j in numbers)
+            sql = f"SELECT {names}, {guards} FROM ({raw})"
+            if centred:
+                centres = ", ".join(f"'a{j}', avg({guard.format(f'v{j}')})" for j in numbers)
+                moved = ", ".join(f"m{j} - c.a{j} AS m{j}" for j in numbers)
+                kept = ", ".join(f"k{j}" for j in range(len(keys)))
+                sql = (
+                    f"SELECT {kept}, {moved} FROM (SELECT *, (SELECT named_struct({centres}) "
+                    f"FROM ({raw})) AS c FROM ({sql}))"
+                )
+            sql = f"SELECT k, key, {values} FROM ({sql}) {self._numbered_keys(i)}"
+            if min_rows > 1:
+                sql += (
+                    f" WHERE (SELECT count(*) FROM (SELECT 1 FROM {{t{i}}} LIMIT {min_rows})) >= {min_rows}"
+                )
+            rows.append(sql)
+        return self._filtered(rows)
 
 
 def lake_means(
@@ -113,21 +173,25 @@ def lake_means(
 ) -> DataFrame:
     """Pair means ``(table_id, key_col, value_col, key, value)`` of all tables, as one plan.
 
-    ``only_keys`` (a column ``key``, of a checked size) restricts the rows
-    before they are aggregated.
+    Key columns become rows before the aggregation and measures after it: a
+    row is repeated once per key column, not once per pair. ``only_keys`` (a
+    column ``key``, of a checked size) restricts the rows before they are
+    aggregated.
     """
     check_aggregate(agg)
-    usable_tables = [t for t in lake if t.keys and t.measures]
-    if not usable_tables:
-        raise ValueError("no table has both a key and a measure column")
-    frames = {f"t{i}": t.df for i, t in enumerate(usable_tables)}
-    parts = [
-        means_sql(t, f"t{i}", min_rows=min_rows, clean_keys=clean_keys, filtered=only_keys is not None)
-        for i, t in enumerate(usable_tables)
-    ]
-    if only_keys is not None:
-        frames["few"] = only_keys
-    return usable_tables[0].df.sparkSession.sql(" UNION ALL ".join(parts), **frames)
+    sql = LakeSql(lake, only_keys)
+    parts = []
+    for n in sql.measure_counts():
+        averages = ", ".join(f"avg(m{j}) AS m{j}" for j in range(1, n + 1))
+        names = ", ".join(f"m{j} AS `{j}`" for j in range(1, n + 1))
+        rows = sql.long_rows(n, clean_keys=clean_keys, min_rows=min_rows)
+        parts.append(
+            f"SELECT {sql.table_id()} AS table_id, {sql.key_col()} AS key_col, "
+            f"{sql.value_col()} AS value_col, key, value "
+            f"FROM (SELECT k, key, {averages} FROM ({rows}) GROUP BY k, key) "
+            f"UNPIVOT (value FOR m IN ({names}))"
+        )
+    return sql.run(" UNION ALL ".join(parts))
 
 
 def wide_pair_means(

@@ -15,7 +15,7 @@ from lakekin.operators.pairs import LakeTable
 
 
 def _cents(column: str) -> str:
-    return f"CAST(round({column} * 100) AS BIGINT)"
+    return f"CAST(floor({column} * 100 + 0.5) AS BIGINT)"
 
 
 _ORDERS = "{orders} o JOIN {customer} c ON o.o_custkey = c.c_custkey"
@@ -100,6 +100,25 @@ VIEWS: dict[str, tuple[str, tuple[str, ...], tuple[str, ...]]] = {
 
 LAKE_IDS = tuple(VIEWS)
 
+#: The columns in use, so that opening a table starts no job.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string",
+    "events": "event_id bigint, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, lang string, source string, n_chars bigint",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
 
 class Lake:
     """Lazily built views over one folder of Parquet tables."""
@@ -111,7 +130,10 @@ class Lake:
 
     def read(self, name: str) -> DataFrame:
         if name not in self._sources:
-            self._sources[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            reader = self.spark.read
+            if name in SCHEMAS:
+                reader = reader.schema(SCHEMAS[name])
+            self._sources[name] = reader.parquet(f"{self.folder}/{name}.parquet")
         return self._sources[name]
 
     def sql(self, text: str, **frames: DataFrame) -> DataFrame:

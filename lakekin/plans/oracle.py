@@ -131,7 +131,7 @@ HITS = f"""top AS (SELECT * FROM ({SIGNED} WHERE table_id <> '{QUERY_TABLE}' ORD
 hits AS (SELECT {PAIR}, row_number() OVER (ORDER BY max(count) DESC, {PAIR}) AS place FROM top GROUP BY {PAIR})"""
 
 # Blocks of customers that stand for the files of a lake (see queries.py).
-BLOCKS = """blocks AS (SELECT c_custkey, c_name, c_mktsegment, CAST(round(c_acctbal * 100) AS BIGINT) AS acctbal,
+BLOCKS = """blocks AS (SELECT c_custkey, c_name, c_mktsegment, CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS acctbal,
   c_custkey // {size} AS block,
   row_number() OVER (PARTITION BY c_custkey // {size} ORDER BY c_custkey) - 1 AS pos FROM customer)"""
 BLOCK_CELLS = """SELECT {table_id} AS table_id, CAST(pos AS BIGINT) AS row_id, CAST(0 AS INTEGER) AS column_id,
@@ -224,7 +224,7 @@ shared AS ({' UNION ALL '.join(
         "map_tables": f"WITH {CELLS} SELECT table_id, CAST(count(DISTINCT row_id) AS BIGINT) AS n_rows, "
         "CAST(count(DISTINCT column_id) AS BIGINT) AS n_columns FROM cells GROUP BY table_id",
         "rebuild_table": "SELECT c_custkey AS row_id, c_name AS \"0\", c_mktsegment AS \"1\", "
-        "CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS VARCHAR) AS \"2\" FROM customer",
+        "CAST(CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS VARCHAR) AS \"2\" FROM customer",
         # sketches and index
         "pair_means": f"WITH {LAKE} SELECT {PAIR}, key, round(value, 6) AS value FROM means",
         "cell_pair_means_strict": CELL_MEANS.format(roles=STRICT)
@@ -297,7 +297,7 @@ shared AS ({' UNION ALL '.join(
         "quality_grid": _grid_sql(8),
         # use of results
         "augment_mean": "SELECT c_custkey, c_name, mean_price FROM customer LEFT JOIN ("
-        "SELECT c_name, avg(CAST(round(o_totalprice * 100) AS BIGINT)) AS mean_price FROM orders "
+        "SELECT c_name, avg(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS mean_price FROM orders "
         "JOIN customer ON o_custkey = c_custkey GROUP BY c_name) USING (c_name)",
         "augment_multi": f"{SEARCH}, {HITS} SELECT q.key AS c_name, q.value AS order_total, "
         + ", ".join(

@@ -75,7 +75,7 @@ def customer_blocks(lake: Lake, size: int) -> DataFrame:
         "SELECT c_custkey DIV "
         f"{size} AS block, array_sort(collect_list(named_struct('id', c_custkey, 'c_name', c_name, "
         "'c_mktsegment', c_mktsegment, 'acctbal', "
-        "CAST(CAST(round(c_acctbal * 100) AS BIGINT) AS STRING)))) AS rows "
+        "CAST(CAST(floor(c_acctbal * 100 + 0.5) AS BIGINT) AS STRING)))) AS rows "
         "FROM {customer} GROUP BY 1"
     )
 
