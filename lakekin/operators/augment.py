@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakekin.operators.pairs import quoted
+from lakekin.operators.pairs import LakeTable, lake_means, quoted, restrict
 from lakekin.options import PAIR
 
 
@@ -48,23 +48,34 @@ def ranked_hits(hits: DataFrame, measure_order: str, k: int) -> DataFrame:
     )
 
 
-def hit_columns(means: DataFrame, hits: DataFrame, k: int) -> DataFrame:
+def hit_columns(lake: Sequence[LakeTable], hits: DataFrame, k: int) -> DataFrame:
     """One row per key with columns ``hit_1 .. hit_k`` holding the means of the hits.
 
-    ``hits`` has at most k rows, which makes its broadcast safe; all hits are
-    gathered in one pass over the lake means.
+    The k hits are read to the driver to name the tables and columns they
+    need; nothing else of the lake is touched.
     """
-    chosen = means.join(F.broadcast(hits.where(F.col("place") <= k)), PAIR)
+    named = hits.where(F.col("place") <= k).select("place", *PAIR).limit(k).collect()
+    pairs = [(r["table_id"], r["key_col"], r["value_col"]) for r in named]
+    means = lake_means(restrict(lake, pairs) or list(lake[:1]))
     places = list(range(1, k + 1))
+    listed = hits.sparkSession.createDataFrame(
+        [tuple(r) for r in named], "place int, table_id string, key_col string, value_col string"
+    )
+    chosen = means.join(F.broadcast(listed), PAIR)
     wide = chosen.groupBy("key").pivot("place", places).agg(F.first("value"))
     return wide.select("key", *[quoted(str(p)).alias(f"hit_{p}") for p in places])
 
 
 def augment_hits(
-    base: DataFrame, base_key: str, means: DataFrame, hits: DataFrame, k: int, skip_first: int = 0
+    base: DataFrame,
+    base_key: str,
+    lake: Sequence[LakeTable],
+    hits: DataFrame,
+    k: int,
+    skip_first: int = 0,
 ) -> DataFrame:
     """Left join the columns of the first k hits, leaving out the first ``skip_first``."""
-    wide = hit_columns(means, hits, k).withColumnRenamed("key", "_key")
+    wide = hit_columns(lake, hits, k).withColumnRenamed("key", "_key")
     wide = wide.drop(*[f"hit_{p}" for p in range(1, skip_first + 1)])
     return base.join(wide, quoted(base_key) == F.col("_key"), "left").drop("_key")
 

@@ -12,7 +12,7 @@ from lakekin.operators.pairs import (
     LakeSql,
     LakeTable,
     lake_means,
-    quoted,
+    restrict,
 )
 from lakekin.options import CONTAINMENT_THRESHOLD, OVERLAP_TOP, PAIR
 from lakekin.session import fits
@@ -153,10 +153,18 @@ def overlap_rank_corr(
     )
     query_keys = ours.select("key")
     few = filter_keys(query_keys, small_query)
-    # At most k rows.
-    best = F.broadcast(overlap_topk(lake, query_keys, k, small_query=few is not None))
-    theirs = key_moments(lake, few)
-    joined = theirs.join(best, ["table_id", "key_col"]).join(ours, "key")
+    # At most k rows; only their columns are read again.
+    best = overlap_topk(lake, query_keys, k, small_query=few is not None).collect()
+    overlaps = {(r["table_id"], r["key_col"]): r["overlap"] for r in best}
+    chosen = restrict(lake, overlaps) or list(lake[:1])
+    sizes = query.df.sparkSession.createDataFrame(
+        [tuple(r) for r in best], "table_id string, key_col string, overlap bigint"
+    )
+    joined = (
+        key_moments(chosen, few)
+        .join(F.broadcast(sizes), ["table_id", "key_col"])
+        .join(ours, "key")
+    )
     sums = joined.groupBy(*PAIR).agg(
         F.sum(F.col("rows") * F.col("q_rows")).alias("joinability"),
         F.max("overlap").alias("overlap"),
@@ -193,7 +201,10 @@ def containment_first(
     """
     total = query.agg(F.count_distinct("key")).scalar()
     keys = filter_keys(query, small_query)
-    shares = key_overlap(lake, query, keys is not None).withColumn("containment", F.col("overlap") / total)
+    shares = key_overlap(lake, query, keys is not None).withColumn(
+        "containment", F.col("overlap") / total
+    )
+    # One row per table of the list; only the best columns are read again.
     best = (
         shares.groupBy("table_id")
         .agg(
@@ -203,12 +214,17 @@ def containment_first(
         )
         .select("table_id", "b.key_col", "b.containment")
         .where(F.col("containment") > threshold)
+        .collect()
+    )
+    chosen = restrict(lake, [(r["table_id"], r["key_col"]) for r in best]) or list(lake[:1])
+    found = query.sparkSession.createDataFrame(
+        [tuple(r) for r in best], "table_id string, key_col string, containment double"
     )
     probe = query.select("key", F.col("value").alias("x"))
     joined = (
-        lake_means(lake, only_keys=keys)
+        lake_means(chosen, only_keys=keys)
         .withColumnRenamed("value", "y")
-        .join(best, ["table_id", "key_col"])
+        .join(F.broadcast(found), ["table_id", "key_col"])
         .join(probe, "key")
     )
     result = joined.groupBy(*PAIR).agg(

@@ -9,11 +9,13 @@ point an earlier attempt reached.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakekin.operators.pairs import LakeTable, cell_pair_means, lake_means, sketch_candidates
 from lakekin.operators.search import prune_index
 from lakekin.operators.sketch import term_index
 from lakekin.options import PAIR, SketchOptions
@@ -67,6 +69,33 @@ class TermStore:
         fresh = means.join(known, "table_id", "left_anti")
         self._write(term_index(fresh, self.opts), batch)
 
+    def append_tables(self, lake: Sequence[LakeTable], batch: str, *, two_pass: bool = False) -> None:
+        """Index wide tables; those already in the store are not even read.
+
+        ``two_pass`` reads the tables twice to avoid shuffling keys that
+        cannot be sampled; it pays when tables hold many distinct keys.
+        """
+        ids = [t.table_id for t in lake]
+        known = self.tables().where(F.col("table_id").isin(ids) & (F.col("batch") != batch))
+        # No more rows than tables in the list.
+        skip = {row["table_id"] for row in known.select("table_id").collect()}
+        fresh = [t for t in lake if t.table_id not in skip]
+        if not fresh:
+            return
+        if two_pass:
+            if self.opts.hash_order != "be":
+                raise ValueError("two passes need the default hash order")
+            means = sketch_candidates(fresh, self.opts.size)
+        else:
+            means = lake_means(fresh)
+        self._write(term_index(means, self.opts), batch)
+
+    def append_cells(self, cells: DataFrame, batch: str, **rules) -> None:
+        """Index the tables of a tall lake; cells of known tables are dropped first."""
+        known = self.tables().where(F.col("batch") != batch).select("table_id").distinct()
+        fresh = cells.join(known, "table_id", "left_anti")
+        self._write(term_index(cell_pair_means(fresh, **rules), self.opts), batch)
+
     def _write(self, terms: DataFrame, batch: str) -> None:
         target = f"{self.path}/terms/batch={batch}"
         (

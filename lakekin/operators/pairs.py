@@ -7,7 +7,7 @@ one row per task.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -60,7 +60,15 @@ class LakeSql:
     table.
     """
 
-    def __init__(self, lake: Sequence[LakeTable], only_keys: DataFrame | None = None) -> None:
+    def __init__(
+        self,
+        lake: Sequence[LakeTable],
+        only_keys: DataFrame | None = None,
+        limits: DataFrame | None = None,
+        hash_digits: str = "",
+    ) -> None:
+        self.limits = limits
+        self.hash_digits = hash_digits
         self.lake = [t for t in lake if t.keys and t.measures]
         if not self.lake:
             raise ValueError("no table has both a key and a measure column")
@@ -75,6 +83,8 @@ class LakeSql:
         frames = {f"t{i}": t.df for i, t in enumerate(self.lake)}
         if self.only_keys is not None:
             frames["few"] = self.only_keys
+        if self.limits is not None:
+            frames["limits"] = self.limits
         return self.lake[0].df.sparkSession.sql(sql, **frames)
 
     def _lookup(self, values: Sequence[str]) -> str:
@@ -104,6 +114,12 @@ class LakeSql:
 
     def _filtered(self, rows: Sequence[str]) -> str:
         stacked = " UNION ALL ".join(rows)
+        if self.limits is not None:
+            # One row per key column of the listed tables.
+            stacked = (
+                f"SELECT /*+ BROADCAST(cuts) */ l.* FROM ({stacked}) l JOIN {{limits}} cuts "
+                f"ON l.k = cuts.k AND {self.hash_digits} <= cuts.cut"
+            )
         if self.only_keys is None:
             return stacked
         return (
@@ -169,6 +185,8 @@ def lake_means(
     min_rows: int = 0,
     clean_keys: bool = False,
     only_keys: DataFrame | None = None,
+    limits: DataFrame | None = None,
+    hash_digits: str = "",
     agg: str = "avg",
 ) -> DataFrame:
     """Pair means ``(table_id, key_col, value_col, key, value)`` of all tables, as one plan.
@@ -176,10 +194,11 @@ def lake_means(
     Key columns become rows before the aggregation and measures after it: a
     row is repeated once per key column, not once per pair. ``only_keys`` (a
     column ``key``, of a checked size) restricts the rows before they are
-    aggregated.
+    aggregated; ``limits`` and ``hash_digits`` come from
+    :func:`sketch_candidates`.
     """
     check_aggregate(agg)
-    sql = LakeSql(lake, only_keys)
+    sql = LakeSql(lake, only_keys, limits, hash_digits)
     parts = []
     for n in sql.measure_counts():
         averages = ", ".join(f"avg(m{j}) AS m{j}" for j in range(1, n + 1))
@@ -194,6 +213,66 @@ def lake_means(
     return sql.run(" UNION ALL ".join(parts))
 
 
+def restrict(
+    lake: Sequence[LakeTable], columns: Iterable[tuple[str, ...]]
+) -> list[LakeTable]:
+    """The part of the lake named by ``(table_id, key_col)`` or ``(table_id, key_col, value_col)``.
+
+    Tables and columns that are not named are not read at all.
+    """
+    wanted: dict[str, tuple[set, set]] = {}
+    for table_id, key_col, *value_col in columns:
+        keys, measures = wanted.setdefault(table_id, (set(), set()))
+        keys.add(key_col)
+        measures.update(value_col)
+    kept = []
+    for table in lake:
+        if table.table_id in wanted:
+            keys, measures = wanted[table.table_id]
+            kept.append(
+                LakeTable(
+                    table.table_id,
+                    table.df,
+                    tuple(k for k in table.keys if k in keys),
+                    tuple(m for m in table.measures if not measures or m in measures),
+                )
+            )
+    return kept
+
+
+def sketch_candidates(
+    lake: Sequence[LakeTable], size: int, hash_text: str = "md5({})", **options
+) -> DataFrame:
+    """:func:`lake_means` of only the keys that can be in a sketch of ``size`` keys.
+
+    For tables with many keys this saves the shuffle of nearly all of them. A
+    first pass lists which leading hash digits occur per key column and
+    measure (at most 16^4 each). Below the ``size``-th smallest of these there
+    are at least ``size`` keys, so no key above it can be sampled; the second
+    pass drops those rows at the scan. ``hash_text`` is SQL for a hex hash.
+    """
+    sql = LakeSql(lake)
+    digits = f"substring({hash_text.format('key')}, 1, 4)"
+    parts = []
+    for n in sql.measure_counts():
+        numbers = range(1, n + 1)
+        present = ", ".join(f"max(m{j} IS NOT NULL) AS p{j}" for j in numbers)
+        names = ", ".join(f"p{j} AS `{j}`" for j in numbers)
+        rows = sql.long_rows(n, **options)
+        parts.append(
+            f"SELECT k, m, digits FROM (SELECT k, {digits} AS digits, {present} FROM ({rows}) "
+            f"GROUP BY k, {digits}) UNPIVOT (present FOR m IN ({names})) WHERE present"
+        )
+    # Per key column: the widest limit of its measures, or none when a measure has few keys.
+    limits = sql.run(
+        "SELECT k, max(cut) AS cut FROM (SELECT k, m, coalesce(max(CASE WHEN place = "
+        f"{size} THEN digits END), 'ffff') AS cut FROM (SELECT *, row_number() OVER "
+        f"(PARTITION BY k, m ORDER BY digits) AS place FROM ({' UNION ALL '.join(parts)})) "
+        "GROUP BY k, m) GROUP BY k"
+    )
+    return lake_means(lake, limits=limits, hash_digits=digits, **options)
+
+
 def wide_pair_means(
     df: DataFrame, table_id: str, keys: Sequence[str], measures: Sequence[str], **options
 ) -> DataFrame:

@@ -317,4 +317,5 @@ shared AS ({' UNION ALL '.join(
         "round(covar_samp(y, p) / nullif(stddev_samp(y) * stddev_samp(p), 0), 6) AS pearson, "
         "round(median(abs(y - p)), 6) AS median_ae FROM predictions GROUP BY config",
     }
+    sql["pair_sketch_two_pass"] = sql["pair_sketch"]
     return sql

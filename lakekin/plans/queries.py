@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 from lakekin.operators import augment, evaluate, exact, models, profile, search, sketch, split
 from lakekin.operators.index_store import TermStore, append_terms
 from lakekin.operators.mapper import map_tables as run_on_tables
-from lakekin.operators.pairs import LakeTable, cell_pair_means, lake_means, query_means
+from lakekin.operators.pairs import (
+    LakeTable,
+    cell_pair_means,
+    lake_means,
+    query_means,
+    sketch_candidates,
+)
 from lakekin.options import COMPAT_MIN_ROWS, PAIR, SketchOptions
 from lakekin.plans.lake_views import CELL_VIEWS, Lake
 from lakekin.session import materialize, new_folder
@@ -225,6 +231,13 @@ def pair_sketch(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(sketch.pair_sketch(full_means(Lake(spark, folder)), OPTIONS), "value")
 
 
+@register
+def pair_sketch_two_pass(spark: SparkSession, folder: str) -> DataFrame:
+    """The same sketches without shuffling keys that cannot be sampled."""
+    means = sketch_candidates(Lake(spark, folder).tables(), OPTIONS.size)
+    return rounded(sketch.pair_sketch(means, OPTIONS), "value")
+
+
 def _small_sketch(spark: SparkSession, folder: str, order: str) -> DataFrame:
     means = lake_means(Lake(spark, folder).tables(SMALL_LAKE))
     kept = sketch.pair_sketch(means, options(size=32, hash_order=order))
@@ -279,9 +292,9 @@ def index_store(spark: SparkSession, folder: str) -> DataFrame:
     """The same through files: two batches, the second one written twice."""
     lake = Lake(spark, folder)
     store = TermStore(spark, new_folder(spark, "index"), OPTIONS)
-    store.append(lake_means(lake.tables()[::2]), "first")
+    store.append_tables(lake.tables()[::2], "first")
     for _ in range(2):
-        store.append(full_means(lake), "second")
+        store.append_tables(lake.tables(), "second")
     return store.terms()
 
 
@@ -328,7 +341,7 @@ def search_stored(spark: SparkSession, folder: str) -> DataFrame:
     """The search against an index on disk, with its terms pushed into the scan."""
     lake = Lake(spark, folder)
     store = TermStore(spark, new_folder(spark, "index"), OPTIONS)
-    store.append(full_means(lake), "all")
+    store.append_tables(lake.tables(), "all")
     query = the_query(lake)
     return search.search_signed(store.for_query(query), query, 10, OPTIONS)
 
@@ -429,17 +442,16 @@ def augment_mean(spark: SparkSession, folder: str) -> DataFrame:
     return augment.augment_mean(base, "c_name", orders, "c_name", "totalprice", "mean_price")
 
 
-def best_hits(lake: Lake, means: DataFrame, k: int) -> DataFrame:
+def best_hits(lake: Lake, k: int) -> DataFrame:
     """The k best pairs for the query outside its own table, numbered."""
-    others = sketch.term_index(means, OPTIONS).where(F.col("table_id") != QUERY_TABLE)
+    others = sketch.term_index(lake_means([t for t in lake.tables() if t.table_id != QUERY_TABLE]), OPTIONS)
     found = search.search_signed(others, the_query(lake), 10, OPTIONS)
     return augment.ranked_hits(found, "count", k)
 
 
 def augmented_query(lake: Lake, k: int) -> DataFrame:
-    means = full_means(lake)
     base = query_pairs(lake).withColumnsRenamed({"key": "c_name", "value": "order_total"})
-    return augment.augment_hits(base, "c_name", means, best_hits(lake, means, k), k)
+    return augment.augment_hits(base, "c_name", lake.tables(), best_hits(lake, k), k)
 
 
 @register

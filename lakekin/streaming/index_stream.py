@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from lakekin.operators.index_store import TermStore
-from lakekin.operators.pairs import cell_pair_means
 from lakekin.sources.cells import CellSource
 from lakekin.sources.files import csv_cells
 
@@ -41,11 +40,11 @@ def index_stream(
 ) -> StreamingQuery:
     """Start indexing ``files``; by default everything present, then stop.
 
-    ``rules`` are the column rules of :func:`cell_pair_means`.
+    ``rules`` are the column rules of ``cell_pair_means``.
     """
 
     def grow(batch: DataFrame, batch_id: int) -> None:
-        store.append(cell_pair_means(decode(batch).cells, **rules), f"stream-{batch_id}")
+        store.append_cells(decode(batch).cells, f"stream-{batch_id}", **rules)
 
     return (
         files.writeStream.foreachBatch(grow)

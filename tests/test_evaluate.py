@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakekin.functions.stats import t_quantile
+from lakekin.operators.pairs import LakeTable
 from lakekin.operators import augment, evaluate, models, split
 
 
@@ -78,21 +79,22 @@ def test_augmentation(spark):
     new = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("z", 9.0), (None, 5.0)], "key string, v double")
     joined = augment.augment_mean(base, "k", new, "key", "v", "mean")
     assert sorted((r["id"], r["mean"]) for r in joined.collect()) == [(1, 2.0), (2, 2.0), (3, None), (4, None)]
-    means = spark.createDataFrame(
-        [("t", "k", "x", "a", 1.0), ("t", "k", "y", "a", 2.0), ("t", "k", "y", "b", 4.0)],
-        "table_id string, key_col string, value_col string, key string, value double",
+    found = spark.createDataFrame(
+        [("a", 1.0, 1.0, 8.0), ("a", 1.0, 3.0, 8.0), ("b", None, 4.0, 8.0)],
+        "k string, x double, y double, unused double",
     )
+    lake = [LakeTable("t", found, ("k",), ("x", "y", "unused")), LakeTable("u", new, ("key",), ("v",))]
     hits = spark.createDataFrame(
         [("t", "k", "x", 5), ("t", "k", "y", 9), ("t", "k", "y", 3)],
         "table_id string, key_col string, value_col string, count long",
     )
     ranked = augment.ranked_hits(hits, "count", 2)
     assert [(r["place"], r["value_col"]) for r in ranked.orderBy("place").collect()] == [(1, "y"), (2, "x")]
-    wide = augment.augment_hits(base, "k", means, ranked, 2)
+    wide = augment.augment_hits(base, "k", lake, ranked, 2)
     assert sorted((r["id"], r["hit_1"], r["hit_2"]) for r in wide.collect()) == [
         (1, 2.0, 1.0), (2, 2.0, 1.0), (3, 4.0, None), (4, None, None),
     ]
-    assert augment.augment_hits(base, "k", means, ranked, 2, skip_first=1).columns == ["k", "id", "hit_2"]
+    assert augment.augment_hits(base, "k", lake, ranked, 2, skip_first=1).columns == ["k", "id", "hit_2"]
     grouped = augment.group_base(base, "k", ["id"], label="id")
     assert {(r["k"], r["id"]) for r in grouped.collect()} == {("a", 1.5), ("b", 3.0), (None, 4.0)}
     assert augment.drop_columns(base, "k").columns == ["id"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakekin import PAIR, SketchOptions
 from lakekin.operators import search, sketch
-from lakekin.operators.pairs import lake_means, query_means, wide_pair_means
+from lakekin.operators.pairs import LakeTable, lake_means, query_means, sketch_candidates, wide_pair_means
 from lakekin.operators.profile import key_columns, measure_columns
 
 QUERY = ("Country", "Life expectancy ")
@@ -107,6 +107,25 @@ def test_bottom_k_against_brute_force(spark):
     assert "WindowGroupLimit" in plan
 
 
+@pytest.mark.parametrize("size", [1, 16, 128])
+def test_two_passes_give_the_same_sketch(spark, size):
+    rng = random.Random(9)
+    rows = [
+        (f"k{rng.randrange(4000)}", f"z{rng.randrange(5)}", rng.gauss(0, 1), None if rng.random() < 0.97 else 1.0)
+        for _ in range(9000)
+    ]
+    df = spark.createDataFrame(rows, "a string, b string, full double, rare double").repartition(6)
+    lake = [LakeTable("t", df, ("a", "b"), ("full", "rare")), LakeTable("u", df, ("a",), ("full",))]
+    opts = SketchOptions(size=size)
+    want = sketch.pair_sketch(lake_means(lake), opts).select(*PAIR, "key", "sketch_rank")
+    candidates = sketch_candidates(lake, size)
+    got = sketch.pair_sketch(candidates, opts).select(*PAIR, "key", "sketch_rank")
+    assert sorted(got.collect()) == sorted(want.collect())
+    dense = "table_id = 't' AND key_col = 'a' AND value_col = 'full'"
+    lone = sketch_candidates(lake[1:], 16)
+    assert lone.count() < 40 and candidates.where(dense).count() > 0
+
+
 def test_large_sketch_is_limited_before_the_shuffle(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("key"), F.col("id").alias("v"))
     means = query_means(df, "key", "v")
