@@ -11,6 +11,7 @@ from lakekin.functions.stats import guarded_pearson, pearson, score, t_statistic
 from lakekin.operators.pairs import (
     LakeSql,
     LakeTable,
+    cell_pair_rows,
     lake_means,
     restrict,
 )
@@ -44,6 +45,26 @@ def search_exact(
     return correlate(lake_means(lake, only_keys=keys), query)
 
 
+def search_exact_cells(
+    cells: DataFrame, query: DataFrame, *, small_query: bool | None = None, **rules
+) -> DataFrame:
+    """:func:`search_exact` over a tall lake; ``rules`` are its column rules.
+
+    With a small query, tables without any of its keys are dropped before rows
+    are assembled, and other rows before they are aggregated.
+    """
+    keys = filter_keys(query, small_query)
+    if keys is not None:
+        few = F.broadcast(keys.withColumnRenamed("key", "cell"))
+        matched = cells.join(few, "cell", "left_semi").select("table_id").distinct()
+        cells = cells.join(matched, "table_id", "left_semi")
+    rows = cell_pair_rows(cells, **rules)
+    if keys is not None:
+        rows = rows.join(F.broadcast(keys), "key", "left_semi")
+    means = rows.groupBy(*PAIR, "key").agg(F.avg("value").alias("value"))
+    return correlate(means, query)
+
+
 def correlate(means: DataFrame, query: DataFrame) -> DataFrame:
     """Exact result rows from lake pair means and query means."""
     probe = query.select("key", F.col("value").alias("x"))

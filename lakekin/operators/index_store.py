@@ -19,6 +19,7 @@ from lakekin.operators.pairs import LakeTable, cell_pair_means, lake_means, sket
 from lakekin.operators.search import prune_index
 from lakekin.operators.sketch import term_index
 from lakekin.options import PAIR, SketchOptions
+from lakekin.session import materialize
 
 TERM_SCHEMA = "term string, table_id string, key_col string, value_col string"
 
@@ -90,10 +91,17 @@ class TermStore:
             means = lake_means(fresh)
         self._write(term_index(means, self.opts), batch)
 
-    def append_cells(self, cells: DataFrame, batch: str, **rules) -> None:
-        """Index the tables of a tall lake; cells of known tables are dropped first."""
+    def append_cells(self, cells: DataFrame, batch: str, *, stage: bool = False, **rules) -> None:
+        """Index the tables of a tall lake; cells of known tables are dropped first.
+
+        The build reads the cells three times. ``stage`` writes them to the
+        shared folder first, which is right for cells that are being decoded
+        from files and wrong for cells that are stored already.
+        """
         known = self.tables().where(F.col("batch") != batch).select("table_id").distinct()
         fresh = cells.join(known, "table_id", "left_anti")
+        if stage:
+            fresh = materialize(fresh, "cells")
         self._write(term_index(cell_pair_means(fresh, **rules), self.opts), batch)
 
     def _write(self, terms: DataFrame, batch: str) -> None:

@@ -101,12 +101,16 @@ def permutation_importance(
     The feature's own definition samples ``max_rows`` rows; they are picked by
     hash. All (feature, shuffle) variants are scored by one ``transform``.
     """
+
+    def shuffled_by(*parts: Column | str) -> Column:
+        return F.md5(F.concat_ws(":", *parts, F.lit(str(seed))).cast("binary"))
+
     base = (
         df.select(
             row_key.cast("string").alias("row_key"),
             *[quoted(c) for c in df.columns],
         )
-        .orderBy(F.xxhash64("row_key", F.lit(seed)), "row_key")
+        .orderBy(shuffled_by("row_key"), "row_key")
         .limit(max_rows)
     )
     # Numbering is over the sample, at most max_rows rows.
@@ -123,7 +127,7 @@ def permutation_importance(
         "row_key", variants.alias("d"), F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("round")
     ).select("row_key", "d.feature", "d.donated", "round")
     order = Window.partitionBy("feature", "round").orderBy(
-        F.xxhash64("row_key", "feature", "round", F.lit(seed)), "row_key"
+        shuffled_by("row_key", "feature", F.col("round").cast("string")), "row_key"
     )
     donors = donors.select(
         "feature", "round", "donated", F.row_number().over(order).alias("place")

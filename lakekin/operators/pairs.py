@@ -280,15 +280,19 @@ def wide_pair_means(
     return lake_means([LakeTable(table_id, df, tuple(keys), tuple(measures))], **options)
 
 
+def row_block(block_rows: int) -> Column:
+    """Number of the block of rows a cell belongs to."""
+    return F.expr(f"row_id DIV {int(block_rows)}").alias("block")
+
+
 def row_records(cells: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
     """Assemble cells into one record per table row.
 
     The exchange is on (table, block of rows), so that one huge table spreads
     over many tasks; grouping by row and joining by block both reuse it.
     """
-    block = F.floor(F.col("row_id") / F.lit(block_rows)).alias("block")
     return (
-        cells.select("table_id", block, "row_id", "column_id", "column_name", "cell", "num")
+        cells.select("table_id", row_block(block_rows), "row_id", "column_id", "column_name", "cell", "num")
         .repartition("table_id", "block")
         .groupBy("table_id", "block", "row_id")
         .agg(F.collect_list(F.struct("column_id", "column_name", "cell", "num")).alias("cells"))
@@ -306,9 +310,7 @@ def cell_pair_rows(
 ) -> DataFrame:
     """One row per (table row, key column, measure column) of a tall lake."""
     roles = table_roles(cells, rule=rule, null_as_nan=null_as_nan, min_rows=min_rows)
-    blocks = cells.select(
-        "table_id", F.floor(F.col("row_id") / F.lit(block_rows)).alias("block")
-    ).distinct()
+    blocks = cells.select("table_id", row_block(block_rows)).distinct()
     block_roles = blocks.join(roles, "table_id")
     rows = row_records(cells, block_rows).join(block_roles, ["table_id", "block"])
     rows = rows.select(

@@ -35,8 +35,8 @@ def column_profile(cells: DataFrame, *, rule: str = "strict", null_as_nan: bool
     if rule not in RULES:
         raise ValueError(f"unknown column rule {rule!r}")
     missing = F.col("cell").isNull() & F.col("num").isNull()
-    counts = cells.groupBy("table_id", "column_id").agg(
-        F.max("column_name").alias("column_name"),
+    # The name is a grouping key: as an aggregate, text would force a sort of all cells.
+    counts = cells.groupBy("table_id", "column_id", "column_name").agg(
         F.count("*").alias("n_cells"),
         F.count("num").alias("n_numbers"),
         F.count_if(missing).alias("n_missing"),

@@ -186,6 +186,47 @@ def _grid_sql(k: int) -> str:
     )
 
 
+def _lines(final: str) -> str:
+    """Model checks: two least squares lines, averaged, on the hash split of the customers."""
+    views = _views(("cust_order_totals", "cust_item_totals"))
+    fits = ", ".join(
+        f"regr_slope(y, {f}) AS {f}_slope, regr_intercept(y, {f}) AS {f}_start"
+        for f in ("n_orders", "n_items")
+    )
+    return f"""WITH {views}, all_rows AS (SELECT c_custkey, CAST(n_orders AS DOUBLE) AS n_orders,
+  CAST(n_items AS DOUBLE) AS n_items, order_total / 1e8 AS y,
+  substring(md5(concat('7:', CAST(c_custkey AS VARCHAR))), 1, 8) < 'e6666666' AS is_train
+  FROM v_cust_order_totals JOIN v_cust_item_totals USING (c_name) JOIN customer USING (c_name)),
+fit AS (SELECT {fits} FROM all_rows WHERE is_train),
+test AS (SELECT * FROM all_rows WHERE NOT is_train),
+grid AS (SELECT DISTINCT unnest(quantile_disc(n_items, [0.0, 0.25, 0.5, 0.75, 1.0])) AS grid_x FROM test),
+{final}"""
+
+
+def _line(orders: str, items: str) -> str:
+    return (
+        f"((n_orders_start + n_orders_slope * {orders}) + (n_items_start + n_items_slope * {items})) / 2"
+    )
+
+
+ICE = f"ice AS (SELECT c_custkey AS instance_id, grid_x, {_line('n_orders', 'grid_x')} AS p FROM test, grid, fit)"
+IMPORTANCE = f"""base AS (SELECT *, CAST(c_custkey AS VARCHAR) AS row_key FROM (SELECT * FROM test
+    ORDER BY md5(concat(CAST(c_custkey AS VARCHAR), ':0')) LIMIT 10000)),
+placed AS (SELECT *, row_number() OVER (ORDER BY row_key) AS place FROM base),
+donors AS (SELECT feature, round, CASE WHEN feature = 'n_orders' THEN n_orders ELSE n_items END AS donated,
+  row_number() OVER (PARTITION BY feature, round
+    ORDER BY md5(concat(row_key, ':', feature, ':', CAST(round AS VARCHAR), ':0')), row_key) AS place
+  FROM placed, (SELECT unnest(['n_orders', 'n_items']) AS feature), (SELECT unnest(range(1, 21)) AS round)),
+scored AS (SELECT feature, round, y - ({_line(
+    "CASE WHEN feature = 'n_orders' THEN donated ELSE n_orders END",
+    "CASE WHEN feature = 'n_items' THEN donated ELSE n_items END",
+)}) AS e FROM placed JOIN donors USING (place), fit),
+plain AS (SELECT sqrt(avg(pow(y - ({_line('n_orders', 'n_items')}), 2))) AS rmse FROM test, fit),
+drops AS (SELECT feature, round, sqrt(avg(e * e)) - (SELECT rmse FROM plain) AS d FROM scored GROUP BY ALL)"""
+# Fixed value: the 0.995 quantile of Student's t with 19 degrees of freedom.
+T_995_19 = 2.860934606449914
+
+
 def oracle_sql() -> dict[str, str]:
     totals = VIEWS["cust_order_totals"][0].format(**NAMES)
     csv_blocks = BLOCKS.format(size=50)
@@ -317,5 +358,25 @@ shared AS ({' UNION ALL '.join(
         "round(covar_samp(y, p) / nullif(stddev_samp(y) * stddev_samp(p), 0), 6) AS pearson, "
         "round(median(abs(y - p)), 6) AS median_ae FROM predictions GROUP BY config",
     }
+    half = f"{T_995_19} * stddev_samp(d) / sqrt(20)"
+    sql["perm_importance_lines"] = _lines(
+        f"{IMPORTANCE} SELECT feature, round(avg(d), 6) AS importance, round(stddev_samp(d), 6) AS stddev, "
+        f"CAST(count(*) AS BIGINT) AS n, round(avg(d) + {half}, 6) AS p99_high, "
+        f"round(avg(d) - {half}, 6) AS p99_low FROM drops GROUP BY feature"
+    )
+    sql["ice_curves_lines"] = _lines(
+        f"{ICE} SELECT instance_id, grid_x, round(p - first_value(p) OVER "
+        "(PARTITION BY instance_id ORDER BY grid_x), 6) AS prediction FROM ice"
+    )
+    sql["pdp_curve_lines"] = _lines(
+        f"{ICE} SELECT grid_x, round(avg(p), 6) AS prediction FROM ice GROUP BY grid_x"
+    )
+    sql["exact_corr_cells"] = CELL_MEANS.format(roles=STRICT) + f""",
+q AS (SELECT source AS key, avg(CAST(n_chars AS DOUBLE)) AS x FROM documents GROUP BY source)
+SELECT {PAIR}, CAST(count(*) AS BIGINT) AS n,
+  round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM q), 6) AS joinability,
+  round(CASE WHEN count(*) < 2 OR var_samp(value) <= 1e-10 THEN 0.0
+    ELSE covar_samp(x, value) / nullif(stddev_samp(x) * stddev_samp(value), 0) END, 6) AS correlation
+FROM means JOIN q USING (key) GROUP BY ALL"""
     sql["pair_sketch_two_pass"] = sql["pair_sketch"]
     return sql

@@ -376,6 +376,15 @@ def exact_corr(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found, "joinability", "correlation")
 
 
+@register
+def exact_corr_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Mean text length by document source, searched in the tall lake."""
+    lake = Lake(spark, folder)
+    query = query_means(lake.read("documents"), "source", "n_chars").select("key", "value")
+    found = exact.search_exact_cells(lake_cell_rows(lake), query, min_rows=COMPAT_MIN_ROWS)
+    return rounded(found, "joinability", "correlation")
+
+
 @register
 def exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     lake = Lake(spark, folder)
@@ -564,3 +573,72 @@ def pdp_curve(spark: SparkSession, folder: str) -> DataFrame:
     return models.pdp_curve(
         models.ice_curves(_model(rows), test, F.col("c_custkey"), "hit_1", FEATURES)
     )
+
+
+class LineFits:
+    """Mean of two one-feature least squares lines: a model that plain SQL can repeat.
+
+    It lets the importance and curve operators be checked value by value.
+    """
+
+    FEATURES = ("n_orders", "n_items")
+
+    def __init__(self, train: DataFrame, label: str) -> None:
+        y = F.col(label)
+        lines = train.agg(
+            *[F.regr_slope(y, F.col(f)).alias(f"{f}_slope") for f in self.FEATURES],
+            *[F.regr_intercept(y, F.col(f)).alias(f"{f}_start") for f in self.FEATURES],
+        ).first()
+        self.lines = lines.asDict()
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        parts = [
+            F.lit(self.lines[f"{f}_start"]) + F.lit(self.lines[f"{f}_slope"]) * F.col(f)
+            for f in self.FEATURES
+        ]
+        return df.withColumn("prediction", (parts[0] + parts[1]) / 2)
+
+
+def line_rows(lake: Lake) -> DataFrame:
+    """Customers with order total (label), order and item counts, split 90/10."""
+    rows = lake.sql(
+        "SELECT c_custkey, CAST(n_orders AS DOUBLE) AS n_orders, CAST(n_items AS DOUBLE) AS n_items, "
+        "order_total / 1e8 AS y FROM {orders_by} o JOIN {items_by} i ON o.c_name = i.c_name "
+        "JOIN {customer} c ON o.c_name = c.c_name",
+        orders_by=lake.table("cust_order_totals").df,
+        items_by=lake.table("cust_item_totals").df,
+    )
+    return split.hash_split(rows, F.col("c_custkey"), seed=7)
+
+
+def _line_model(lake: Lake) -> tuple[LineFits, DataFrame]:
+    rows = materialize(line_rows(lake), "line-rows")
+    model = LineFits(rows.where(F.col("split") == "train"), "y")
+    return model, rows.where(F.col("split") == "test").drop("split")
+
+
+@register
+def perm_importance_lines(spark: SparkSession, folder: str) -> DataFrame:
+    model, test = _line_model(Lake(spark, folder))
+    found = models.permutation_importance(
+        model, test, F.col("c_custkey"), "y", LineFits.FEATURES
+    ).drop("p_value")
+    return rounded(found, "importance", "stddev", "p99_high", "p99_low")
+
+
+@register
+def ice_curves_lines(spark: SparkSession, folder: str) -> DataFrame:
+    model, test = _line_model(Lake(spark, folder))
+    curves = models.ice_curves(
+        model, test, F.col("c_custkey"), "n_items", LineFits.FEATURES, points=5, centered=True
+    )
+    return rounded(curves, "prediction")
+
+
+@register
+def pdp_curve_lines(spark: SparkSession, folder: str) -> DataFrame:
+    model, test = _line_model(Lake(spark, folder))
+    curves = models.ice_curves(
+        model, test, F.col("c_custkey"), "n_items", LineFits.FEATURES, points=5
+    )
+    return rounded(models.pdp_curve(curves), "prediction")

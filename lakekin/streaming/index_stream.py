@@ -44,7 +44,7 @@ def index_stream(
     """
 
     def grow(batch: DataFrame, batch_id: int) -> None:
-        store.append_cells(decode(batch).cells, f"stream-{batch_id}", **rules)
+        store.append_cells(decode(batch).cells, f"stream-{batch_id}", stage=True, **rules)
 
     return (
         files.writeStream.foreachBatch(grow)

@@ -183,6 +183,7 @@ def test_row_assembly_and_role_join_share_one_exchange(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     row_exchanges = [l for l in plan.splitlines() if "Exchange" in l and "row_id" in l]
     assert row_exchanges == []  # rows are grouped on the (table, block) exchange
+    assert "SortAggregate" not in plan
 
 
 def test_store_clean_and_rebuild(spark, tmp_path):
