@@ -11,6 +11,7 @@ from lakekin.functions.hashing import sign_label, term
 from lakekin.functions.stats import pearson
 from lakekin.operators.sketch import pair_sketch
 from lakekin.options import PAIR, SketchOptions
+from lakekin.session import materialize
 
 
 def search_quality(truth: DataFrame, found: DataFrame) -> DataFrame:
@@ -141,11 +142,16 @@ def exact_median(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
 def regression_metrics(
     predictions: DataFrame, label: str, prediction: str, groups: Sequence[str] = ("config",)
 ) -> DataFrame:
-    """RMSE, MSE, MAE, R2, Pearson r and median absolute error per configuration."""
+    """RMSE, MSE, MAE, R2, Pearson r and median absolute error per configuration.
+
+    Label and prediction are written once: the median takes further passes,
+    which must not run the model again.
+    """
     y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
     base = predictions.select(*groups, y.alias("y"), p.alias("p")).where(
         F.col("y").isNotNull() & F.col("p").isNotNull()
     )
+    base = materialize(base, "predictions")
     e = F.col("y") - F.col("p")
     summary = base.groupBy(*groups).agg(
         F.count("*").alias("n"),

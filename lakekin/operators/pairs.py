@@ -64,7 +64,7 @@ class LakeSql:
         self,
         lake: Sequence[LakeTable],
         only_keys: DataFrame | None = None,
-        limits: DataFrame | None = None,
+        limits: Sequence[str] = (),
         hash_digits: str = "",
     ) -> None:
         self.limits = limits
@@ -83,8 +83,6 @@ class LakeSql:
         frames = {f"t{i}": t.df for i, t in enumerate(self.lake)}
         if self.only_keys is not None:
             frames["few"] = self.only_keys
-        if self.limits is not None:
-            frames["limits"] = self.limits
         return self.lake[0].df.sparkSession.sql(sql, **frames)
 
     def _lookup(self, values: Sequence[str]) -> str:
@@ -114,12 +112,9 @@ class LakeSql:
 
     def _filtered(self, rows: Sequence[str]) -> str:
         stacked = " UNION ALL ".join(rows)
-        if self.limits is not None:
-            # One row per key column of the listed tables.
-            stacked = (
-                f"SELECT /*+ BROADCAST(cuts) */ l.* FROM ({stacked}) l JOIN {{limits}} cuts "
-                f"ON l.k = cuts.k AND {self.hash_digits} <= cuts.cut"
-            )
+        if self.limits:
+            limit = self._lookup([literal(cut) for cut in self.limits])
+            stacked = f"SELECT * FROM ({stacked}) WHERE {self.hash_digits} <= {limit}"
         if self.only_keys is None:
             return stacked
         return (
@@ -185,7 +180,7 @@ def lake_means(
     min_rows: int = 0,
     clean_keys: bool = False,
     only_keys: DataFrame | None = None,
-    limits: DataFrame | None = None,
+    limits: Sequence[str] = (),
     hash_digits: str = "",
     agg: str = "avg",
 ) -> DataFrame:
@@ -247,7 +242,7 @@ def sketch_candidates(
 
     For tables with many keys this saves the shuffle of nearly all of them. A
     first pass lists which leading hash digits occur per key column and
-    measure (at most 16^4 each). Below the ``size``-th smallest of these there
+    measure (at most 16^4 each). Up to the ``size``-th smallest of these there
     are at least ``size`` keys, so no key above it can be sampled; the second
     pass drops those rows at the scan. ``hash_text`` is SQL for a hex hash.
     """
@@ -263,14 +258,21 @@ def sketch_candidates(
             f"SELECT k, m, digits FROM (SELECT k, {digits} AS digits, {present} FROM ({rows}) "
             f"GROUP BY k, {digits}) UNPIVOT (present FOR m IN ({names})) WHERE present"
         )
-    # Per key column: the widest limit of its measures, or none when a measure has few keys.
-    limits = sql.run(
-        "SELECT k, max(cut) AS cut FROM (SELECT k, m, coalesce(max(CASE WHEN place = "
-        f"{size} THEN digits END), 'ffff') AS cut FROM (SELECT *, row_number() OVER "
-        f"(PARTITION BY k, m ORDER BY digits) AS place FROM ({' UNION ALL '.join(parts)})) "
-        "GROUP BY k, m) GROUP BY k"
+    places = sql.run(
+        "SELECT k, m, digits, row_number() OVER (PARTITION BY k, m ORDER BY digits) AS place "
+        f"FROM ({' UNION ALL '.join(parts)})"
     )
-    return lake_means(lake, limits=limits, hash_digits=digits, **options)
+    # At most one row per key column and measure of the listed tables.
+    found = places.where(F.col("place") == size).collect()
+    cuts: dict[int, list[str]] = {}
+    for row in found:
+        cuts.setdefault(int(row["k"]), []).append(row["digits"])
+    # A measure without a row has few keys: then its key column is not cut.
+    limits = [
+        max(cuts[k]) if len(cuts.get(k, [])) == len(table.measures) else "ffff"
+        for k, (table, _) in enumerate(sql.places, start=1)
+    ]
+    return lake_means(lake, hash_digits=digits, limits=limits, **options)
 
 
 def wide_pair_means(

@@ -381,7 +381,8 @@ def exact_corr_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Mean text length by document source, searched in the tall lake."""
     lake = Lake(spark, folder)
     query = query_means(lake.read("documents"), "source", "n_chars").select("key", "value")
-    found = exact.search_exact_cells(lake_cell_rows(lake), query, min_rows=COMPAT_MIN_ROWS)
+    cells = materialize(lake_cell_rows(lake), "cells")
+    found = exact.search_exact_cells(cells, query, min_rows=COMPAT_MIN_ROWS)
     return rounded(found, "joinability", "correlation")
 
 
