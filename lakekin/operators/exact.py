@@ -131,25 +131,36 @@ def overlap_topk(
 def key_moments(lake: Sequence[LakeTable], only_keys: DataFrame | None = None) -> DataFrame:
     """Per key and pair: rows, and count, sum and square sum of the centred measure.
 
-    Measures are centred on the column mean, which makes the square sums safe
-    to subtract later and does not change r.
+    Sums are taken around the mean of the pair's key means, which makes them
+    safe to subtract later and does not change r. One pass over the tables.
     """
     sql = LakeSql(lake, only_keys)
     parts = []
     for n in sql.measure_counts():
         numbers = range(1, n + 1)
         moments = ", ".join(
-            f"count(m{j}) AS n{j}, sum(m{j}) AS s{j}, sum(m{j} * m{j}) AS q{j}" for j in numbers
+            f"count(m{j}) AS n{j}, avg(m{j}) AS a{j}, var_pop(m{j}) AS v{j}" for j in numbers
         )
-        names = ", ".join(f"(n{j}, s{j}, q{j}) AS `{j}`" for j in numbers)
+        names = ", ".join(f"(n{j}, a{j}, v{j}) AS `{j}`" for j in numbers)
         parts.append(
             f"SELECT {sql.table_id()} AS table_id, {sql.key_col()} AS key_col, "
-            f"{sql.value_col()} AS value_col, key, rows, n, s, ss "
+            f"{sql.value_col()} AS value_col, key, rows, n, mean, spread "
             f"FROM (SELECT k, key, count(*) AS rows, {moments} "
-            f"FROM ({sql.long_rows(n, centred=True)}) GROUP BY k, key) "
-            f"UNPIVOT INCLUDE NULLS ((n, s, ss) FOR m IN ({names}))"
+            f"FROM ({sql.long_rows(n)}) GROUP BY k, key) "
+            f"UNPIVOT INCLUDE NULLS ((n, mean, spread) FOR m IN ({names}))"
         )
-    return sql.run(" UNION ALL ".join(parts))
+    keys = sql.run(" UNION ALL ".join(parts))
+    # One row per pair of the listed tables.
+    centres = keys.groupBy(*PAIR).agg(F.avg("mean").alias("centre"))
+    moved = F.col("mean") - F.col("centre")
+    return keys.join(F.broadcast(centres), PAIR).select(
+        *PAIR,
+        "key",
+        "rows",
+        "n",
+        (F.col("n") * moved).alias("s"),
+        (F.col("n") * (F.col("spread") + moved * moved)).alias("ss"),
+    )
 
 
 def overlap_rank_corr(

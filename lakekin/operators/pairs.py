@@ -134,12 +134,10 @@ class LakeSql:
             )
         return self._filtered(rows)
 
-    def long_rows(
-        self, n_measures: int, *, clean_keys: bool = False, centred: bool = False, min_rows: int = 0
-    ) -> str:
+    def long_rows(self, n_measures: int, *, clean_keys: bool = False, min_rows: int = 0) -> str:
         """Rows ``(k, key, m1, m2, ...)`` of the tables with ``n_measures`` measures.
 
-        Measures are NULL where unusable; ``centred`` takes off their column mean.
+        Measures are NULL where unusable.
         """
         numbers = range(1, n_measures + 1)
         values = ", ".join(f"m{j}" for j in numbers)
@@ -157,14 +155,6 @@ class LakeSql:
             raw = f"SELECT {template(', '.join(keys + casts))} FROM {{t{i}}}"
             guards = ", ".join(f"{guard.format(f'v{j}')} AS m{j}" for j in numbers)
             sql = f"SELECT {names}, {guards} FROM ({raw})"
-            if centred:
-                centres = ", ".join(f"'a{j}', avg({guard.format(f'v{j}')})" for j in numbers)
-                moved = ", ".join(f"m{j} - c.a{j} AS m{j}" for j in numbers)
-                kept = ", ".join(f"k{j}" for j in range(len(keys)))
-                sql = (
-                    f"SELECT {kept}, {moved} FROM (SELECT *, (SELECT named_struct({centres}) "
-                    f"FROM ({raw})) AS c FROM ({sql}))"
-                )
             sql = f"SELECT k, key, {values} FROM ({sql}) {self._numbered_keys(i)}"
             if min_rows > 1:
                 sql += (

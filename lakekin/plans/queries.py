@@ -61,7 +61,8 @@ def the_query(lake: Lake) -> DataFrame:
 
 
 def query_pairs(lake: Lake) -> DataFrame:
-    return the_query(lake).select("key", "value")
+    """The query as ``(key, value)``: a small table of its own, written once."""
+    return materialize(the_query(lake).select("key", "value"), "query")
 
 
 def lake_cell_rows(lake: Lake) -> DataFrame:
@@ -410,7 +411,7 @@ def overlap_topk(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def overlap_rank_corr(spark: SparkSession, folder: str) -> DataFrame:
     lake = Lake(spark, folder)
-    query = LakeTable("query", lake.table(QUERY_TABLE).df, ("c_name",), ("order_total",))
+    query = LakeTable("query", query_pairs(lake), ("key",), ("value",))
     return rounded(exact.overlap_rank_corr(lake.tables(), query), "correlation")
 
 
