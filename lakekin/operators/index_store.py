@@ -137,6 +137,13 @@ class TermStore:
             .parquet(f"{self.path}/tables")
         )
 
-    def for_query(self, means: DataFrame, *, query_pairs: int = 1, opts: SketchOptions | None = None) -> DataFrame:
-        """The part of the index that holds the query's terms."""
-        return prune_index(self.terms(), means, opts or self.opts, query_pairs=query_pairs)
+    def for_query(
+        self, means: DataFrame, *, query_size: int | None = None, query_pairs: int = 1
+    ) -> DataFrame:
+        """The part of the index that holds the query's terms.
+
+        ``query_size`` has to be the one the search will use: the labels
+        depend on the mean of the query's sketch.
+        """
+        opts = SketchOptions(**{**self.opts.__dict__, "size": query_size or self.opts.size})
+        return prune_index(self.terms(), means, opts, query_pairs=query_pairs)

@@ -75,6 +75,11 @@ def test_stored_search_reads_only_the_query_terms(spark, lake, tmp_path):
     full = search.search_signed(store.terms(), query, 10, opts).collect()
     assert search.search_signed(pruned, query, 10, opts).collect() == full
     assert (full[0]["table_id"], full[0]["count"]) == ("t0", 128)
+    other = search.search_absolute(store.terms(), query, 10, opts, query_size=32).collect()
+    small = store.for_query(query, query_size=32)
+    assert search.search_absolute(small, query, 10, opts, query_size=32).collect() == other
+    counted = search.search_counter(store.for_query(query, query_size=100), query, opts).collect()
+    assert counted == search.search_counter(store.terms(), query, opts).collect()
 
 
 def test_index_summaries(lake):
