@@ -5,8 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from lakekin.llm import bpe_trie, exact_dedup, host_rules, line_blocks, lsh_forest, mixing, secret_cnn
+from pyspark.sql import functions as F
+
+from lakekin.llm import (
+    bpe_trie,
+    exact_dedup,
+    host_rules,
+    line_blocks,
+    lsh_forest,
+    mixing,
+    packing,
+    secret_cnn,
+    warc_revisit,
+    winnowing,
+)
+from lakekin.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -66,3 +79,35 @@ def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_cnn.scan(docs, secret_cnn.fit(docs))
+
+
+@register
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The captures of all pages as WARC records, parsed and resolved."""
+    captures = warc_revisit.parse_records(warc_revisit.captures_of_pages(table(spark, sf_dir, "pages")))
+    found = warc_revisit.resolve(captures)
+    lines = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
+    return found.withColumn("headers", F.array_join(lines, "\n"))
+
+
+@register
+def op3_pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed and written as matrices; the digests are of what was written."""
+    packed = materialize(packing.pack_documents(table(spark, sf_dir, "documents")), "packed")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",")
+    return packed.select(
+        "shard",
+        "row",
+        "n_ids",
+        F.size("doc_ids").cast("long").alias("n_segments"),
+        joined("doc_ids").alias("doc_ids"),
+        joined("starts").alias("starts"),
+        joined("cumulative").alias("cumulative"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+    )
+
+
+@register
+def op6_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
