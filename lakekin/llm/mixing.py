@@ -31,8 +31,9 @@ def word_count(text: Column) -> Column:
 
 
 def random_key(id_col: Column, text: Column) -> Column:
-    """63 random bits that a row keeps over all runs."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit("mix"), id_col, text), 1)
+    """60 random bits that a row keeps over all runs."""
+    whole = F.concat(F.lit("mix|"), F.coalesce(id_col.cast("string"), F.lit("-")), F.lit("|"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("long")
 
 
 def running(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
@@ -89,7 +90,7 @@ def cuts(sized: DataFrame, goals: DataFrame) -> DataFrame:
     goals = goals.withColumn("epochs", F.coalesce(F.expr("budget div nullif(source_size, 0)"), F.lit(0)))
     goals = goals.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     spread = goals.select(F.col("source").alias("of"), F.ceil(F.sqrt("n_docs")).alias("n_ranges"), "rest")
-    number = F.floor(F.col("key") / F.lit(float(1 << 63)) * F.col("n_ranges"))
+    number = F.floor(F.col("key") / F.lit(float(1 << 60)) * F.col("n_ranges"))
     ranged = sized.join(spread, F.col("source").eqNullSafe(F.col("of"))).withColumn("range", number).drop("of")
     sums = ranged.groupBy("source", "range", "rest").agg(F.sum("size").alias("in_range"))
     upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)

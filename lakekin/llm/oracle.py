@@ -6,6 +6,125 @@ from __future__ import annotations
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+WARC_REVISITS = r"""
+WITH u AS (
+  SELECT *, coalesce(page_id, 0) AS number, (coalesce(page_id, 0) * 37) % 2000 AS hour,
+         substr(md5(coalesce(html, '')), 1, 12) AS tag,
+         regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^(?i)[a-z][a-z0-9+.-]*://', '') AS bare
+  FROM pages
+), c AS (
+  SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www\d*\.', ''), ':(80|443)$', '') AS host,
+         regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+         array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'), lambda p:
+           p <> '' AND NOT regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|ref|sessionid|sid|phpsessid)(=|$)'))), '&') AS args
+  FROM u
+), p AS (
+  SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN args <> '' THEN '?' || args ELSE '' END END AS canonical_url
+  FROM c
+), response AS (
+  SELECT '<urn:' || page_id || '>' AS record_id, canonical_url, hour,
+         CASE WHEN number % 5 <> 0 THEN '"' || tag || '"' END AS etag,
+         strftime(make_timestamp((1700000000 + (hour - 50) * 3600) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS modified,
+         strlen(coalesce(html, '')) AS size
+  FROM p WHERE number % 29 <> 0
+), revisit AS (
+  SELECT '<urn:' || page_id || '-v' || k || '>' AS record_id, canonical_url, k,
+         hour + (number * 13 + k * 7) % 60 - 10 AS later,
+         CASE WHEN number % 11 <> k THEN 'W/"' || CASE WHEN number % 7 = k THEN 'x' ELSE tag END || '"' END AS etag
+  FROM p, (VALUES (1), (2)) AS v(k)
+), found AS (
+  SELECT v.record_id, v.canonical_url, v.k, v.later, v.etag,
+         max(struct_pack(h := r.hour, id := r.record_id, etag := r.etag, modified := r.modified, size := r.size)) AS r
+  FROM revisit v LEFT JOIN response r ON r.canonical_url = v.canonical_url AND r.hour <= v.later
+  GROUP BY ALL
+), judged AS (
+  SELECT *, CASE WHEN r.id IS NULL THEN 'missing'
+                 WHEN r.etag IS NOT NULL AND etag IS NOT NULL
+                   THEN CASE WHEN r.etag = regexp_replace(etag, '^W/', '') THEN 'resolved' ELSE 'mismatch' END
+                 ELSE 'unchecked' END AS outcome,
+         make_timestamp((1700000000 + later * 3600) * 1000000) AS pos
+  FROM found
+)
+SELECT record_id, canonical_url, strftime(pos, '%Y-%m-%d %H:%M:%S') AS warc_date, outcome, r.id AS response_id,
+       CASE WHEN outcome IN ('resolved', 'unchecked') THEN
+         'cache-control: max-age=' || (60 + k) || chr(10) || 'content-length: ' || r.size || chr(10) || 'content-type: text/html'
+         || chr(10) || 'date: ' || strftime(pos, '%Y-%m-%dT%H:%M:%SZ')
+         || coalesce(chr(10) || 'etag: ' || coalesce(etag, r.etag), '')
+         || chr(10) || 'last-modified: ' || r.modified END AS headers
+FROM judged
+"""
+
+MIX_SOURCES = rf"""
+WITH s AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size,
+         ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '-') || '|' || coalesce(text, '')), 1, 15))::BIGINT AS key
+  FROM documents
+), src AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS most FROM s GROUP BY source
+), r AS (
+  SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM src
+), whole AS (
+  SELECT sum(source_size)::DOUBLE AS goal, sum(weight)::DOUBLE AS weights FROM r
+), l AS (
+  SELECT *, sum(most) OVER w AS most_upto, sum(weight) OVER w AS weight_upto
+  FROM r WINDOW w AS (ORDER BY most / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), per AS (
+  SELECT l.*, (goal - (most_upto - most)::DOUBLE) / (weights - (weight_upto - weight)::DOUBLE) AS each FROM l, whole
+), level AS (
+  SELECT min_by(each, most / weight) AS level FROM per WHERE most / weight > each
+), t AS (
+  SELECT source, source_size, CASE WHEN level IS NULL THEN most::DOUBLE ELSE least(most::DOUBLE, level * weight) END AS target
+  FROM r, level
+), b AS (
+  SELECT *, coalesce(floor(target)::BIGINT // nullif(source_size, 0), 0) AS epochs FROM t
+), d AS (
+  SELECT s.*, b.source_size, b.target, b.epochs, floor(b.target)::BIGINT - b.epochs * b.source_size AS rest,
+         sum(size) OVER (PARTITION BY s.source ORDER BY key) AS upto, sum(size) OVER (PARTITION BY s.source, key) AS own
+  FROM s JOIN b ON s.source IS NOT DISTINCT FROM b.source
+)
+SELECT doc_id, size, source, source_size, target,
+       (epochs * size + CASE WHEN upto <= rest THEN size WHEN upto - own < rest THEN floor(size * (rest - upto + own) / own) ELSE 0 END)::BIGINT AS taken
+FROM d
+"""
+
+WINNOW_LINES = rf"""
+WITH raw AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), tidy AS (
+  SELECT *, trim(regexp_replace(line, '{GAP}', ' ', 'g')) AS t FROM raw
+), lines AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n,
+         ('0x' || substr(md5(t), 1, 15))::BIGINT AS h, length(t) - length(replace(t, ' ', '')) + 1 AS words
+  FROM tidy WHERE t <> ''
+), minima AS (
+  SELECT s.doc_id, -min(struct_pack(h := x.h, k := -x.i)).k AS i
+  FROM lines s JOIN lines x ON x.doc_id = s.doc_id AND x.i BETWEEN s.i AND s.i + 2
+  WHERE s.i <= greatest(s.n - 3, 0) GROUP BY s.doc_id, s.i
+), marks AS (
+  SELECT m.doc_id, m.i, l.h AS fp
+  FROM (SELECT doc_id, i FROM minima UNION SELECT doc_id, i FROM lines WHERE words >= 50) m JOIN lines l USING (doc_id, i)
+), firsts AS (
+  SELECT fp, min(struct_pack(d := doc_id, i := i)) AS f FROM marks GROUP BY fp HAVING count(*) > 1
+), diagonals AS (
+  SELECT DISTINCT doc_id, f.d AS a_id, i - f.i AS shift FROM marks JOIN firsts USING (fp) WHERE doc_id <> f.d OR i <> f.i
+), along AS (
+  SELECT g.*, l.i, l.words, l.i - row_number() OVER (PARTITION BY g.doc_id, g.a_id, g.shift ORDER BY l.i) AS run
+  FROM diagonals g JOIN lines l USING (doc_id) JOIN lines e ON e.doc_id = g.a_id AND e.i = l.i - g.shift AND e.h = l.h
+), runs AS (
+  SELECT doc_id, min(i) AS first, max(i) AS last FROM along GROUP BY doc_id, a_id, shift, run
+  HAVING max(i) - min(i) + 1 >= 3 OR max(words) >= 50
+), gone AS (
+  SELECT DISTINCT l.doc_id, l.pos FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.i BETWEEN r.first AND r.last
+), per AS (
+  SELECT raw.doc_id, count(gone.pos) AS n_deleted,
+         coalesce(string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY raw.pos), '') AS text
+  FROM raw LEFT JOIN gone ON gone.doc_id = raw.doc_id AND gone.pos = raw.pos GROUP BY raw.doc_id
+)
+SELECT doc_id, (SELECT count(*) FROM lines WHERE lines.doc_id = per.doc_id) AS n_lines, n_deleted, sha256(text) AS text_sha256 FROM per
+"""
+
 EXACT_DEDUP = rf"""
 WITH t AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '{GAP}', ' ', 'g')) AS text_sha256
@@ -19,6 +138,53 @@ SELECT doc_id,
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+HOST_RULES = rf"""
+WITH d AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{WORD}') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS lines
+  FROM documents
+), w AS (
+  SELECT doc_id, unnest(words) AS w1, generate_subscripts(words, 1) AS i FROM d
+), g AS (
+  SELECT *, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), n AS (
+  SELECT doc_id, i, CASE WHEN w3 IS NULL THEN 0 ELSE count(*) OVER (PARTITION BY doc_id, w1, w2, w3) END AS n FROM g
+), covered AS (
+  SELECT doc_id, greatest(n, lag(n, 1, 0) OVER o, lag(n, 2, 0) OVER o) > 1 AS c FROM n WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), r AS (
+  SELECT doc_id, count(*) FILTER (c) AS n_repeat_words FROM covered GROUP BY doc_id
+), m AS (
+  SELECT d.doc_id, host, len(words) AS n_words, length(regexp_replace(text, '{GAP}', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM d LEFT JOIN r USING (doc_id)
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_dup_lines > 3 * n_lines AS own_failed
+  FROM m
+), h AS (
+  SELECT host, count(*) AS docs, count(*) FILTER (base_failed OR own_failed) AS failures FROM f GROUP BY host
+), a AS (
+  SELECT sum(failures) / sum(docs) AS mean, var_samp(failures / docs) AS spread, avg(1 / docs) AS noise FROM h
+), b AS (
+  SELECT mean, coalesce(spread, 0) - mean * (1 - mean) * noise AS between_hosts FROM a
+), p AS (
+  SELECT mean, CASE WHEN between_hosts > 0 THEN least(1000.0, greatest(2.0, mean * (1 - mean) / between_hosts - 1)) ELSE 1000.0 END AS weight FROM b
+), v AS (
+  SELECT host, (failures + weight * mean) / (docs + weight) AS host_rate FROM h, p
+)
+SELECT doc_id, f.host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
+       round(host_rate, 6) AS host_rate, host_rate > 0.5 AS host_rejected,
+       NOT base_failed AND NOT own_failed AND host_rate <= 0.5 AS kept
+FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": EXACT_DEDUP}
+    return {
+        "op1_warc_revisits": WARC_REVISITS,
+        "op2_mix_sources": MIX_SOURCES,
+        "op6_winnow_lines": WINNOW_LINES,
+        "op7_exact_dedup": EXACT_DEDUP,
+        "op8_host_rules": HOST_RULES,
+    }

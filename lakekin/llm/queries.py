@@ -67,7 +67,8 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op8_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judge(table(spark, sf_dir, "documents"))
+    found = host_rules.judge(table(spark, sf_dir, "documents"))
+    return found.withColumn("host_rate", F.round("host_rate", 6))
 
 
 @register
@@ -87,7 +88,8 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc_revisit.parse_records(warc_revisit.captures_of_pages(table(spark, sf_dir, "pages")))
     found = warc_revisit.resolve(captures)
     lines = F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return found.withColumn("headers", F.array_join(lines, "\n"))
+    date = F.date_format("warc_date", "yyyy-MM-dd HH:mm:ss")
+    return found.withColumns({"headers": F.array_join(lines, "\n"), "warc_date": date})
 
 
 @register
