@@ -178,10 +178,11 @@ def generated(rng: np.random.Generator, words: list[str], n: int = GENERATED) ->
     """Secrets of common shapes and look-alikes, each set between words."""
     low, hexa, b64 = string.ascii_lowercase, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
     key = string.ascii_letters + string.digits
-    pick = lambda chars, size: "".join(rng.choice(list(chars), size))
-    word = lambda: re.sub("[^A-Za-z]", "", str(rng.choice(words))) or "word"
+    one = lambda values: values[int(rng.integers(len(values)))]
+    pick = lambda chars, size: "".join(chars[i] for i in rng.integers(len(chars), size=size))
+    word = lambda: re.sub("[^A-Za-z]", "", one(words)) or "word"
     secrets = [
-        lambda: pick(hexa, int(rng.choice([32, 40, 64]))).upper(),
+        lambda: pick(hexa, one([32, 40, 64])).upper(),
         lambda: pick(b64, int(rng.integers(28, 90))) + "=" * int(rng.integers(0, 3)),
         lambda: "ghp_" + pick(key, 36),
         lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(key, 24),
@@ -199,18 +200,18 @@ def generated(rng: np.random.Generator, words: list[str], n: int = GENERATED) ->
         lambda: f"{rng.integers(1990, 2040)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}_{rng.integers(10, 24)}-{rng.integers(10, 60)}-{rng.integers(10, 60)}",
         lambda: pick(string.digits, int(rng.integers(16, 30))),
         lambda: "-".join(pick(string.digits, 4) for _ in range(4)),
-        lambda: pick(rng.choice(list("-=_/+")), int(rng.integers(16, 60))),
+        lambda: pick(one("-=_/+"), int(rng.integers(16, 60))),
         lambda: word() + "-" + word() + "-" + pick(string.digits, 3) + "-" + word(),
         lambda: pick(low, 1) * int(rng.integers(16, 40)),
     ]
     rows, labels = [], []
     for i in range(n):
         own, label = (secrets, 1) if i % 2 else (plain, 0)
-        value = str(own[int(rng.integers(len(own)))]())
+        value = one(own)()
         while len(value) < LEAST["model"]:
             value += value
-        before = " ".join(str(rng.choice(words)) for _ in range(4)) + str(rng.choice([" ", " ", ": ", "=", ' "']))
-        after = " " + " ".join(str(rng.choice(words)) for _ in range(3))
+        before = " ".join(one(words) for _ in range(4)) + one([" ", " ", ": ", "=", ' "'])
+        after = " " + " ".join(one(words) for _ in range(3))
         left, right = before.encode()[-BEFORE:], after.encode()[:AFTER]
         rows.append((left + value.encode() + right, len(left), len(left) + len(value)))
         labels.append(label)
