@@ -1,9 +1,11 @@
 """A term index kept as Parquet: append, replace, open for search.
 
-Terms of a batch are written before the list of its tables. The list is the
-commit: terms of a batch that is not listed are ignored, and writing the batch
-again replaces them. Repeating an append therefore changes nothing, whatever
-point an earlier attempt reached.
+Every write of a batch is an attempt with a folder of its own. Its terms come
+first, the list of its tables second; one row in ``commits`` then makes the
+attempt the batch's content, or the only content. Commits are only ever added
+and the latest one counts, so readers see the old content or the new, whatever
+point a writer reached, and repeating an append changes nothing. ``compact``
+merges committed batches into one; ``vacuum`` removes what no commit uses.
 """
 
 from __future__ import annotations
@@ -54,15 +56,29 @@ class TermStore:
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def attempts(self) -> dict[str, str]:
+        """The attempt in force of every batch. Commits are one row per write."""
+        commits = self._read("commits", "number bigint, batch string, attempt string, alone boolean")
+        found: dict[str, str] = {}
+        for row in sorted(commits.collect(), key=lambda r: (r["number"], r["attempt"])):
+            if row["alone"]:
+                found = {}
+            found[row["batch"]] = row["attempt"]
+        return found
+
     def tables(self) -> DataFrame:
         """Committed ``(table_id, batch)``."""
-        return self._read("tables", "table_id string, batch string")
+        found = self.attempts()
+        listed = self._read("tables", "table_id string, batch string, attempt string")
+        return listed.where(F.col("attempt").isin(list(found.values()))).select("table_id", "batch")
 
     def terms(self) -> DataFrame:
-        """Terms of all committed batches."""
-        committed = self.tables().select("batch").distinct()
-        terms = self._read("terms", f"{TERM_SCHEMA}, batch string")
-        return terms.join(committed, "batch", "left_semi").select("term", *PAIR)
+        """Terms of all committed batches; other folders are not even listed."""
+        found = list(self.attempts().values())
+        if not found:
+            return self.spark.createDataFrame([], TERM_SCHEMA)
+        paths = [f"{self.path}/terms/attempt={a}" for a in found]
+        return self.spark.read.schema(TERM_SCHEMA).parquet(*paths)
 
     def append(self, means: DataFrame, batch: str) -> None:
         """Index the tables of ``means`` that are not in the store yet."""
@@ -104,46 +120,58 @@ class TermStore:
             fresh = materialize(fresh, "cells")
         self._write(term_index(cell_pair_means(fresh, **rules), self.opts), batch)
 
-    def _write(self, terms: DataFrame, batch: str) -> None:
-        target = f"{self.path}/terms/batch={batch}"
+    def _write(self, terms: DataFrame, batch: str, *, alone: bool = False) -> None:
+        """Write one attempt and commit it; ``alone`` makes it the only content."""
+        attempt = uuid.uuid4().hex
+        target = f"{self.path}/terms/attempt={attempt}"
         (
             # The pair columns split a frequent term over several files.
             terms.repartitionByRange("term", *PAIR)
             .sortWithinPartitions("term")
-            .write.mode("overwrite")
-            .option("parquet.bloom.filter.enabled#term", "true")
+            .write.option("parquet.bloom.filter.enabled#term", "true")
             .parquet(target)
         )
         written = self.spark.read.schema(TERM_SCHEMA).parquet(target)
-        written.select("table_id").distinct().write.mode("overwrite").parquet(
-            f"{self.path}/tables/batch={batch}"
+        listed = written.select("table_id").distinct().withColumn("batch", F.lit(batch))
+        listed.write.parquet(f"{self.path}/tables/attempt={attempt}")
+        number = self._read("commits", "number bigint").agg(F.coalesce(F.max("number"), F.lit(0))).scalar()
+        row = self.spark.range(1).select(
+            (number + 1).alias("number"), F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"), F.lit(alone).alias("alone")
         )
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/commits")
 
     def replace(self, means: DataFrame) -> None:
-        """Make ``means`` the only content.
+        """Make ``means`` the only content."""
+        self._write(term_index(means, self.opts), uuid.uuid4().hex, alone=True)
 
-        The new terms are complete before the list of tables is swapped;
-        terms of batches that are no longer listed are ignored.
-        """
-        batch = uuid.uuid4().hex
-        self._write(term_index(means, self.opts), batch)
-        listed = self._read(f"tables/batch={batch}", "table_id string")
-        staged = f"{self.path}/staged/{batch}"
-        listed.withColumn("batch", F.lit(batch)).write.parquet(staged)
-        (
-            self.spark.read.parquet(staged)
-            .write.mode("overwrite")
-            .partitionBy("batch")
-            .parquet(f"{self.path}/tables")
-        )
+    def compact(self) -> None:
+        """Merge all committed batches into one, sorted by term.
 
-    def for_query(
-        self, means: DataFrame, *, query_size: int | None = None, query_pairs: int = 1
-    ) -> DataFrame:
+        Many small appends leave many small files, whose footers every search
+        opens. Batch names are forgotten; their tables stay known.
+        """
+        self._write(self.terms(), uuid.uuid4().hex, alone=True)
+
+    def vacuum(self) -> list[str]:
+        """Remove the folders of attempts that no commit uses; none may be running."""
+        used = set(self.attempts().values())
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        removed = []
+        for part in ("terms", "tables"):
+            root = fs_path(f"{self.path}/{part}")
+            fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            for status in fs.listStatus(root) if fs.exists(root) else []:
+                name = status.getPath().getName()
+                if name.startswith("attempt=") and name.removeprefix("attempt=") not in used:
+                    fs.delete(status.getPath(), True)
+                    removed.append(f"{part}/{name}")
+        return removed
+
+    def for_query(self, means: DataFrame, *, query_size: int | None = None) -> DataFrame:
         """The part of the index that holds the query's terms.
 
         ``query_size`` has to be the one the search will use: the labels
         depend on the mean of the query's sketch.
         """
         opts = SketchOptions(**{**self.opts.__dict__, "size": query_size or self.opts.size})
-        return prune_index(self.terms(), means, opts, query_pairs=query_pairs)
+        return prune_index(self.terms(), means, opts)

@@ -18,52 +18,20 @@ def _wide(cells: pd.DataFrame) -> pd.DataFrame:
     text = cells.pivot(index="row_id", columns="column_id", values="cell").sort_index()
     numbers = cells.pivot(index="row_id", columns="column_id", values="num").sort_index()
     columns = {}
-    for position, name in zip(names["column_id"], names["label"]):
+    for position in names["column_id"]:
         missing = text[position].isna()
         numeric = (numbers[position].notna() | missing).all()
-        columns[name] = numbers[position] if numeric else text[position]
+        columns[position] = numbers[position] if numeric else text[position]
     frame = pd.DataFrame(columns)
+    # Headers are set last: equal ones are columns of their own.
+    frame.columns = list(names["label"])
     frame.columns.name = str(cells["table_id"].iloc[0])
     return frame
 
 
-def map_tables(
-    cells: DataFrame,
-    function: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: str,
-    *,
-    combine: Sequence[Column] | None = None,
-    block_rows: int = 50_000,
+def _run(
+    blocks: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str
 ) -> tuple[DataFrame, DataFrame]:
-    """``(results, errors)`` of ``function`` applied to each table.
-
-    A table of up to ``block_rows`` rows is handed over whole. A larger one
-    would not fit one task: it comes in blocks of about that many rows, and
-    ``combine`` (aggregates over the output columns, by table) merges the
-    block results. Without ``combine`` a larger table is reported in
-    ``errors``; so is a table on which the function raises.
-    ``results`` has ``table_id`` and the columns of ``schema`` (or ``combine``).
-    """
-    sizes = (
-        cells.groupBy("table_id", "column_id")
-        .agg(F.count("*").alias("n"))
-        .groupBy("table_id")
-        .agg(F.ceil(F.max("n") / F.lit(block_rows)).alias("n_blocks"))
-    )
-    blocks = cells.join(sizes, "table_id").select(
-        "table_id",
-        F.pmod(F.xxhash64("row_id"), F.col("n_blocks")).alias("block"),
-        "row_id",
-        "column_id",
-        column_label(F.col("column_id"), F.col("column_name")).alias("label"),
-        "cell",
-        "num",
-        "n_blocks",
-    )
-    if combine is None:
-        whole = blocks.where(F.col("n_blocks") == 1)
-    else:
-        whole = blocks
     output = T.StructType.fromDDL(schema)
     raw_schema = T.StructType(
         [T.StructField("table_id", T.StringType()), *output.fields, T.StructField("error", T.StringType())]
@@ -78,14 +46,42 @@ def map_tables(
             row = {"table_id": key[0], **{n: None for n in names}}
             return pd.DataFrame([{**row, "error": f"{type(problem).__name__}: {problem}"}])
 
-    raw = whole.groupBy("table_id", "block").applyInPandas(run, raw_schema)
+    raw = blocks.groupBy("table_id", "block").applyInPandas(run, raw_schema)
     errors = raw.where(F.col("error").isNotNull()).select("table_id", "error")
-    results = raw.where(F.col("error").isNull()).drop("error")
-    if combine is not None:
-        results = results.groupBy("table_id").agg(*combine)
-    else:
-        too_large = sizes.where(F.col("n_blocks") > 1).select(
-            "table_id", F.lit("table exceeds block_rows and no combine is given").alias("error")
-        )
-        errors = errors.unionByName(too_large)
-    return results, errors
+    return raw.where(F.col("error").isNull()).drop("error"), errors
+
+
+def _blocks(cells: DataFrame, block: Column) -> DataFrame:
+    label = column_label(F.col("column_id"), F.col("column_name")).alias("label")
+    return cells.select("table_id", block.alias("block"), "row_id", "column_id", label, "cell", "num")
+
+
+def map_tables(
+    cells: DataFrame, function: Callable[[pd.DataFrame], pd.DataFrame], schema: str
+) -> tuple[DataFrame, DataFrame]:
+    """``(results, errors)`` of ``function`` applied to each table as a whole.
+
+    One task holds one table, whatever its size; for tables that no task can
+    hold there is :func:`map_blocks`. ``results`` has ``table_id`` and the
+    columns of ``schema``; ``errors`` the tables on which the function raised.
+    """
+    return _run(_blocks(cells, F.lit(0)), function, schema)
+
+
+def map_blocks(
+    cells: DataFrame,
+    function: Callable[[pd.DataFrame], pd.DataFrame],
+    schema: str,
+    combine: Sequence[Column],
+    *,
+    block_rows: int = 50_000,
+) -> tuple[DataFrame, DataFrame]:
+    """Like :func:`map_tables`, but every table comes in blocks of rows.
+
+    ``combine`` (aggregates over the output columns, by table) merges the block
+    results. A table of which any block failed is among the errors only.
+    """
+    results, errors = _run(_blocks(cells, F.expr(f"row_id DIV {int(block_rows)}")), function, schema)
+    failed = errors.groupBy("table_id").agg(F.min("error").alias("error"))
+    whole = results.join(failed.select("table_id"), "table_id", "left_anti")
+    return whole.groupBy("table_id").agg(*combine), failed

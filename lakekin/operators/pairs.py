@@ -284,10 +284,10 @@ def row_records(cells: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
     over many tasks; grouping by row and joining by block both reuse it.
     """
     return (
-        cells.select("table_id", row_block(block_rows), "row_id", "column_id", "column_name", "cell", "num")
+        cells.select("table_id", row_block(block_rows), "row_id", "column_id", "cell", "num")
         .repartition("table_id", "block")
         .groupBy("table_id", "block", "row_id")
-        .agg(F.collect_list(F.struct("column_id", "column_name", "cell", "num")).alias("cells"))
+        .agg(F.collect_list(F.struct("column_id", "cell", "num")).alias("cells"))
     )
 
 
@@ -307,6 +307,7 @@ def cell_pair_rows(
     rows = row_records(cells, block_rows).join(block_roles, ["table_id", "block"])
     rows = rows.select(
         "table_id",
+        "names",
         F.filter(
             "cells",
             lambda c: F.array_contains("key_ids", c["column_id"]) & c["cell"].isNotNull(),
@@ -317,12 +318,13 @@ def cell_pair_rows(
         ).alias("measure_cells"),
     )
     exploded = rows.select(
-        "table_id", F.explode("key_cells").alias("k"), "measure_cells"
-    ).select("table_id", "k", F.explode("measure_cells").alias("v"))
+        "table_id", "names", F.explode("key_cells").alias("k"), "measure_cells"
+    ).select("table_id", "names", "k", F.explode("measure_cells").alias("v"))
+    name = lambda c: F.col("names")[c["column_id"]]
     return exploded.select(
         "table_id",
-        column_label(F.col("k.column_id"), F.col("k.column_name"), label_by).alias("key_col"),
-        column_label(F.col("v.column_id"), F.col("v.column_name"), label_by).alias("value_col"),
+        column_label(F.col("k.column_id"), name(F.col("k")), label_by).alias("key_col"),
+        column_label(F.col("v.column_id"), name(F.col("v")), label_by).alias("value_col"),
         F.col("k.cell").alias("key"),
         F.col("v.num").alias("value"),
     )

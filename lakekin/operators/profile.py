@@ -103,14 +103,30 @@ def table_roles(
         F.collect_list(F.when(F.col("role") == "key", named)).alias("keys"),
         F.collect_list(F.when(F.col("role") == "measure", named)).alias("measures"),
     )
-    return roles.where(
+    roles = roles.where(
         (F.col("n_rows") >= min_rows) & (F.size("keys") > 0) & (F.size("measures") > 0)
-    ).select(
+    ).withColumn("all", F.concat("keys", "measures"))
+
+    def distinct(columns: str) -> Column:
+        """A later column of a name that the table has already gets its number added."""
+
+        def renamed(x: Column) -> Column:
+            earlier = F.exists(
+                "all", lambda y: (y["column_name"] == x["column_name"]) & (y["column_id"] < x["column_id"])
+            )
+            name = F.when(earlier, F.concat(x["column_name"], F.lit("#"), x["column_id"].cast("string")))
+            return F.struct(x["column_id"].alias("column_id"), name.otherwise(x["column_name"]).alias("column_name"))
+
+        return F.transform(columns, renamed)
+
+    roles = roles.select("table_id", distinct("keys").alias("keys"), distinct("measures").alias("measures"))
+    return roles.select(
         "table_id",
         "keys",
         "measures",
         F.col("keys.column_id").alias("key_ids"),
         F.col("measures.column_id").alias("measure_ids"),
+        F.map_from_entries(F.concat("keys", "measures")).alias("names"),
     )
 
 

@@ -1,7 +1,8 @@
 """Searches over a term index: probe, count, rank.
 
-The query side is at most two terms per sketch key and query pair, which bounds
-the broadcast. Both signs are counted in one pass over the index.
+The query side is two terms per sketch key and query pair, however many pairs
+the query has; it is broadcast, or pushed into the scan, only when its measured
+size allows. Both signs are counted in one pass over the index.
 """
 
 from __future__ import annotations
@@ -12,34 +13,32 @@ from pyspark.sql import functions as F
 from lakekin.operators.sketch import query_terms
 from lakekin.options import COUNTER_QUERY_SIZE, COUNTER_TOP, PAIR, SketchOptions
 
-# Query terms are broadcast, and pushed as literals, only up to this many
-# query pairs; the term count is size * 2 * pairs.
-MAX_QUERY_PAIRS = 64
+# Query terms are pushed into the scan as literals up to this many.
+MAX_LITERALS = 16_384
 
 
-def match_counts(
-    index: DataFrame, means: DataFrame, opts: SketchOptions, *, query_pairs: int = 1
-) -> DataFrame:
-    """Index rows per (pair, side) whose term is one of the query's terms."""
-    probe = query_terms(means, opts)
-    if query_pairs <= MAX_QUERY_PAIRS:
-        probe = F.broadcast(probe)
-    hits = index.join(probe, "term")
+def match_counts(index: DataFrame, means: DataFrame, opts: SketchOptions) -> DataFrame:
+    """Index rows per (pair, side) whose term is one of the query's terms.
+
+    The plan states no join strategy: adaptive execution broadcasts the terms
+    when their measured size is small.
+    """
+    hits = index.join(query_terms(means, opts), "term")
     return hits.groupBy(*PAIR, "side").agg(F.count("*").alias("matches"))
 
 
-def prune_index(
-    index: DataFrame, means: DataFrame, opts: SketchOptions, *, query_pairs: int = 1
-) -> DataFrame:
+def prune_index(index: DataFrame, means: DataFrame, opts: SketchOptions) -> DataFrame:
     """Restrict a stored index to the query's terms at the scan.
 
-    The few hundred terms become an IN filter that the Parquet reader checks
-    against page ranges and Bloom filters, so most of the index is not read.
+    A few thousand terms become an IN filter that the Parquet reader checks
+    against page ranges and Bloom filters, so most of the index is not read. A
+    query with more terms is joined instead, with the same rows.
     """
-    if query_pairs > MAX_QUERY_PAIRS:
-        return index
     terms = query_terms(means, opts).select("term").distinct()
-    literals = [row["term"] for row in terms.limit(2 * opts.size * query_pairs).collect()]
+    # One more than allowed, to tell a full list from one that was cut.
+    literals = [row["term"] for row in terms.limit(MAX_LITERALS + 1).collect()]
+    if len(literals) > MAX_LITERALS:
+        return index.join(terms, "term", "left_semi")
     return index.where(F.col("term").isin(literals)) if literals else index.where(F.lit(False))
 
 
@@ -53,11 +52,9 @@ def search_signed(
     means: DataFrame,
     k: int,
     opts: SketchOptions = SketchOptions(),
-    *,
-    query_pairs: int = 1,
 ) -> DataFrame:
     """Top k (pair, sign) by match count, positive and negative hits in one list."""
-    counts = match_counts(index, means, opts, query_pairs=query_pairs)
+    counts = match_counts(index, means, opts)
     suffix = F.when(F.col("side") == "+", "-QPlus").otherwise("-QMinus")
     return (
         counts.select(

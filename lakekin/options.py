@@ -21,7 +21,6 @@ MIN_VARIANCE = 1e-10
 MAX_MEASURE = 1e290
 COMPAT_MIN_ROWS = 12
 TRAIN_FRACTION = 0.9
-IMPORTANCE_ROWS = 10_000
 IMPORTANCE_SHUFFLES = 20
 
 HASH_ORDERS = ("be", "le_signed", "xxhash64", "sha2")
@@ -56,6 +55,8 @@ class SketchOptions:
             raise ValueError("sketch size must be at least 1")
         if not callable(self.hash_order) and self.hash_order not in HASH_ORDERS:
             raise ValueError(f"unknown hash order {self.hash_order!r}")
+        if callable(self.hash_order) and getattr(self.hash_order, "__name__", "<lambda>") == "<lambda>":
+            raise ValueError("a hash order of one's own needs a name, by which indexes are told apart")
         if self.label not in LABELS:
             raise ValueError(f"unknown label convention {self.label!r}")
         if self.term not in TERMS:
@@ -70,5 +71,5 @@ class SketchOptions:
         fields = asdict(self)
         fields.pop("size")
         if callable(self.hash_order):
-            fields["hash_order"] = getattr(self.hash_order, "__name__", "custom")
+            fields["hash_order"] = self.hash_order.__name__
         return json.dumps(fields, sort_keys=True)

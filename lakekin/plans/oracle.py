@@ -147,7 +147,6 @@ predictions AS (
   UNION ALL SELECT 'by_nation', y / 1e8, avg(y) OVER (PARTITION BY n_name) / 1e8 FROM base
   UNION ALL SELECT 'overall', y / 1e8, avg(y) OVER () / 1e8 FROM base)"""
 
-SMALL_LAKE = ("customer", "part", "nation_cust")
 LE_BYTES = ", ".join(f"substring(md5(key), {i}, 2)" for i in range(29, 0, -2))
 LE_ORDER = (
     "concat(translate(substring(md5(key), 31, 1), '0123456789abcdef', '89abcdef01234567'), "
@@ -157,7 +156,7 @@ HEX = "lpad(lower(hex({0})), CAST(greatest(32, length(hex({0}))) AS INTEGER), '0
 
 
 def _small_terms(term: str, order: str = "md5(key)") -> str:
-    return f"WITH {_means(SMALL_LAKE)}, {_sketch('means', 's', 128, order)} SELECT {term} AS term, {PAIR} FROM s"
+    return f"WITH {_means(LAKE_IDS)}, {_sketch('means', 's', 128, order)} SELECT {term} AS term, {PAIR} FROM s"
 
 
 def _grid_sql(k: int) -> str:
@@ -210,23 +209,29 @@ def _line(orders: str, items: str) -> str:
 
 
 ICE = f"ice AS (SELECT c_custkey AS instance_id, grid_x, {_line('n_orders', 'grid_x')} AS p FROM test, grid, fit)"
-IMPORTANCE = f"""base AS (SELECT *, CAST(c_custkey AS VARCHAR) AS row_key FROM (SELECT * FROM test
-    ORDER BY md5(concat(CAST(c_custkey AS VARCHAR), ':0')) LIMIT 10000)),
-placed AS (SELECT *, row_number() OVER (ORDER BY row_key) AS place FROM base),
-donors AS (SELECT feature, round, CASE WHEN feature = 'n_orders' THEN n_orders ELSE n_items END AS donated,
-  row_number() OVER (PARTITION BY feature, round
-    ORDER BY md5(concat(row_key, ':', feature, ':', CAST(round AS VARCHAR), ':0')), row_key) AS place
-  FROM placed, (SELECT unnest(['n_orders', 'n_items']) AS feature), (SELECT unnest(range(1, 21)) AS round)),
+IMPORTANCE = f"""base AS (SELECT *, CAST(c_custkey AS VARCHAR) AS row_key FROM test),
+placed AS (SELECT base.*, feature, round,
+  md5(concat(row_key, ':', feature, ':', CAST(round AS VARCHAR), ':0')) AS place
+  FROM base, (SELECT unnest(['n_orders', 'n_items']) AS feature), (SELECT unnest(range(1, 21)) AS round)),
+grouped AS (SELECT *, CAST(concat('0x', substring(place, 1, 8)) AS BIGINT)
+  % greatest(1, CAST(ceil((SELECT count(*) FROM test) / 4096.0) AS BIGINT)) AS grp,
+  CASE WHEN feature = 'n_orders' THEN n_orders ELSE n_items END AS own FROM placed),
+donors AS (SELECT *, coalesce(lead(own) OVER line, first_value(own) OVER line) AS donated FROM grouped
+  WINDOW line AS (PARTITION BY feature, round, grp ORDER BY place, row_key)),
 scored AS (SELECT feature, round, y - ({_line(
     "CASE WHEN feature = 'n_orders' THEN donated ELSE n_orders END",
     "CASE WHEN feature = 'n_items' THEN donated ELSE n_items END",
-)}) AS e FROM placed JOIN donors USING (place), fit),
+)}) AS e FROM donors, fit),
 plain AS (SELECT sqrt(avg(pow(y - ({_line('n_orders', 'n_items')}), 2))) AS rmse FROM test, fit),
 drops AS (SELECT feature, round, sqrt(avg(e * e)) - (SELECT rmse FROM plain) AS d FROM scored GROUP BY ALL)"""
 # Fixed value: the 0.995 quantile of Student's t with 19 degrees of freedom.
 T_995_19 = 2.860934606449914
 
 
+#: Every pair of the two tables with several key columns and measures.
+MULTI_QUERY = "table_id IN ('customer', 'part')"
+
+
 def oracle_sql() -> dict[str, str]:
     totals = VIEWS["cust_order_totals"][0].format(**NAMES)
     csv_blocks = BLOCKS.format(size=50)
@@ -276,9 +281,9 @@ shared AS ({' UNION ALL '.join(
         + f", {_index(128)} SELECT term, {PAIR} FROM terms",
         "pair_sketch": f"WITH {LAKE}, {_sketch('means', 's', 128)} SELECT {PAIR}, key, "
         "round(value, 6) AS value, md5(key) AS key_hash, CAST(rn AS INTEGER) AS sketch_rank FROM s",
-        "pair_sketch_sha2": f"WITH {_means(SMALL_LAKE)}, {_sketch('means', 's', 32, 'sha256(key)')} "
+        "pair_sketch_sha2": f"WITH {_means(LAKE_IDS)}, {_sketch('means', 's', 128, 'sha256(key)')} "
         f"SELECT {PAIR}, key, CAST(rn AS INTEGER) AS sketch_rank FROM s",
-        "pair_sketch_le_signed": f"WITH {_means(SMALL_LAKE)}, {_sketch('means', 's', 32, LE_ORDER)} "
+        "pair_sketch_le_signed": f"WITH {_means(LAKE_IDS)}, {_sketch('means', 's', 128, LE_ORDER)} "
         f"SELECT {PAIR}, key, CAST(rn AS INTEGER) AS sketch_rank FROM s",
         "term_index": f"{FULL} SELECT term, {PAIR} FROM terms",
         "term_index_hex": _small_terms(HEX.format(f"concat(key, {_sign()})")),
@@ -300,6 +305,7 @@ shared AS ({' UNION ALL '.join(
         # searches
         "search_signed": f"{SEARCH} {SIGNED_TOP}",
         "search_stored": f"{SEARCH} {SIGNED_TOP}",
+        "search_multi_stored": f"{FULL}, {_probe(128, MULTI_QUERY)}, {COUNTS} {SIGNED_TOP}",
         "search_multi": f"{FULL}, {_probe(128, f'table_id = {chr(39)}{QUERY_TABLE}{chr(39)}')}, {COUNTS} {SIGNED_TOP}",
         "search_abs": f"{FULL}, {_probe(64, IS_QUERY)}, {COUNTS} SELECT "
         f"concat(table_id, '_|_', key_col, '_|_', value_col) AS id, {PAIR}, "

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lakekin.operators import augment, evaluate, exact, models, profile, search, sketch, split
 from lakekin.operators.index_store import TermStore, append_terms
-from lakekin.operators.mapper import map_tables as run_on_tables
+from lakekin.operators.mapper import map_blocks
 from lakekin.operators.pairs import (
     LakeTable,
     cell_pair_means,
@@ -31,7 +31,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERY_TABLE = "cust_order_totals"
 QUERY_PAIR = ("c_name", "order_total")
-SMALL_LAKE = ("customer", "part", "nation_cust")
 # Means of different engines may differ in the last bit; do not label by that bit.
 OPTIONS = SketchOptions(rel_eps=1e-9)
 
@@ -191,7 +190,7 @@ def map_tables(spark: SparkSession, folder: str) -> DataFrame:
     def shape(table: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"n_rows": [len(table)], "n_columns": [len(table.columns)]})
 
-    results, _ = run_on_tables(
+    results, _ = map_blocks(
         lake_cell_rows(Lake(spark, folder)),
         shape,
         "n_rows bigint, n_columns bigint",
@@ -240,8 +239,8 @@ def pair_sketch_two_pass(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _small_sketch(spark: SparkSession, folder: str, order: str) -> DataFrame:
-    means = lake_means(Lake(spark, folder).tables(SMALL_LAKE))
-    kept = sketch.pair_sketch(means, options(size=32, hash_order=order))
+    means = lake_means(Lake(spark, folder).tables())
+    kept = sketch.pair_sketch(means, options(hash_order=order))
     return kept.select(*PAIR, "key", "sketch_rank")
 
 
@@ -261,7 +260,7 @@ def term_index(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _small_index(spark: SparkSession, folder: str, **changes) -> DataFrame:
-    means = lake_means(Lake(spark, folder).tables(SMALL_LAKE))
+    means = lake_means(Lake(spark, folder).tables())
     return sketch.term_index(means, options(**changes))
 
 
@@ -352,7 +351,17 @@ def search_multi(spark: SparkSession, folder: str) -> DataFrame:
     """A query table with two measures; the terms of both are pooled."""
     lake = Lake(spark, folder)
     query = lake_means([lake.table(QUERY_TABLE)])
-    return search.search_signed(lake_index(lake), query, 10, OPTIONS, query_pairs=2)
+    return search.search_signed(lake_index(lake), query, 10, OPTIONS)
+
+
+@register
+def search_multi_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Query tables with several key columns and measures against an index on disk."""
+    lake = Lake(spark, folder)
+    store = TermStore(spark, new_folder(spark, "index"), OPTIONS)
+    store.append_tables(lake.tables(), "all")
+    query = lake_means(lake.tables(["customer", "part"]))
+    return search.search_signed(store.for_query(query), query, 10, OPTIONS)
 
 
 @register
@@ -537,7 +546,7 @@ def model_rows(lake: Lake) -> DataFrame:
 
 def _model(rows: DataFrame):
     train = rows.where(F.col("split") == "train")
-    return models.train_regressor(train, "order_total", FEATURES, ["c_mktsegment"], trees=5, depth=3)
+    return models.train_regressor(train, "order_total", FEATURES, ["c_mktsegment"])
 
 
 @register
@@ -546,7 +555,7 @@ def train_eval(spark: SparkSession, folder: str) -> DataFrame:
     rows = model_rows(Lake(spark, folder))
     configurations = {f"added_{i}": FEATURES[: 1 + i] for i in range(3)}
     return models.train_eval(
-        rows, "order_total", configurations, ["c_mktsegment"], trees=5, depth=3
+        rows, "order_total", configurations, ["c_mktsegment"]
     )
 
 
@@ -555,7 +564,7 @@ def perm_importance(spark: SparkSession, folder: str) -> DataFrame:
     rows = model_rows(Lake(spark, folder))
     test = rows.where(F.col("split") == "test")
     return models.permutation_importance(
-        _model(rows), test, F.col("c_custkey"), "order_total", FEATURES
+        _model(rows), test, F.col("c_custkey"), "order_total", FEATURES, ["c_mktsegment"]
     )
 
 
@@ -564,7 +573,7 @@ def ice_curves(spark: SparkSession, folder: str) -> DataFrame:
     rows = model_rows(Lake(spark, folder))
     test = rows.where(F.col("split") == "test")
     return models.ice_curves(
-        _model(rows), test, F.col("c_custkey"), "hit_1", FEATURES, centered=True
+        _model(rows), test, F.col("c_custkey"), "hit_1", centered=True
     )
 
 
@@ -573,7 +582,7 @@ def pdp_curve(spark: SparkSession, folder: str) -> DataFrame:
     rows = model_rows(Lake(spark, folder))
     test = rows.where(F.col("split") == "test")
     return models.pdp_curve(
-        models.ice_curves(_model(rows), test, F.col("c_custkey"), "hit_1", FEATURES)
+        models.ice_curves(_model(rows), test, F.col("c_custkey"), "hit_1")
     )
 
 
@@ -632,7 +641,7 @@ def perm_importance_lines(spark: SparkSession, folder: str) -> DataFrame:
 def ice_curves_lines(spark: SparkSession, folder: str) -> DataFrame:
     model, test = _line_model(Lake(spark, folder))
     curves = models.ice_curves(
-        model, test, F.col("c_custkey"), "n_items", LineFits.FEATURES, points=5, centered=True
+        model, test, F.col("c_custkey"), "n_items", quantiles=5, centered=True
     )
     return rounded(curves, "prediction")
 
@@ -641,6 +650,6 @@ def ice_curves_lines(spark: SparkSession, folder: str) -> DataFrame:
 def pdp_curve_lines(spark: SparkSession, folder: str) -> DataFrame:
     model, test = _line_model(Lake(spark, folder))
     curves = models.ice_curves(
-        model, test, F.col("c_custkey"), "n_items", LineFits.FEATURES, points=5
+        model, test, F.col("c_custkey"), "n_items", quantiles=5
     )
     return rounded(models.pdp_curve(curves), "prediction")

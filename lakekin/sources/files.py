@@ -1,19 +1,22 @@
 """Lakes kept as files: folders of CSV tables, zip archives of Parquet, web-table lines.
 
 Decoding is the only Python work. It streams: a decoder holds one block of
-rows of one file at a time.
+rows of one file at a time. A file is read through once before any of it is given
+out, so a table with an error anywhere gives an error and no cells.
 """
 
 from __future__ import annotations
 
 import csv
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 from pathlib import PurePosixPath
+from urllib.parse import unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakekin.functions.numeric import parse_number
@@ -24,8 +27,8 @@ from lakekin.sources.cells import (
     split_errors,
 )
 
-# Files above this size are read as splittable lines instead of whole.
-WHOLE_FILE_BYTES = 128 << 20
+# Fixed value: the most that Spark holds as one binary value.
+BINARY_LIMIT = (1 << 31) - 1024
 BLOCK_ROWS = 20_000
 # Fixed value: name pattern of web tables, by chunk and line.
 WEB_TABLE_ID = "dwtc-%03d_%d"
@@ -43,6 +46,23 @@ def _stem(path: str) -> str:
     return PurePosixPath(path).stem
 
 
+def table_name(path: str, root: str | None) -> str:
+    """A table's id: its path below ``root`` without the ending; without root the stem.
+
+    Files of one name in different folders are different tables.
+    """
+    plain = lambda p: unquote(re.sub(r"^[a-z][a-z0-9+.-]*:(//[^/]*)?", "", p)).rstrip("/")
+    if root is None or not plain(path).startswith(plain(root) + "/"):
+        return _stem(path)
+    below = PurePosixPath(plain(path)[len(plain(root)) + 1 :])
+    return str(below.with_suffix(""))
+
+
+def _missing(value: object) -> bool:
+    """Missing, for one cell of any type; a list is a value."""
+    return value is None or value is pd.NA or value is pd.NaT or (isinstance(value, float) and value != value)
+
+
 def _error(table_id: str, problem: object) -> pd.DataFrame:
     return pd.DataFrame(
         {
@@ -66,7 +86,7 @@ def _block_cells(table_id: str, first_row: int, names: list[str], block: pd.Data
             "row_id": pd.RangeIndex(first_row, first_row + rows).repeat(columns),
             "column_id": list(range(columns)) * rows,
             "column_name": names * rows,
-            "cell": [None if pd.isna(v) else str(v) for v in values],
+            "cell": [None if _missing(v) else str(v) for v in values],
             "error": None,
         }
     )
@@ -86,14 +106,16 @@ def _csv_blocks(content: bytes, separator: str) -> Iterator[tuple[int, pd.DataFr
         done += len(block)
 
 
-def csv_cells(files: DataFrame, separator: str = ";") -> CellSource:
-    """Cells of whole CSV files given as ``(path, content)``; the table id is the file stem."""
+def csv_cells(files: DataFrame, separator: str = ";", root: str | None = None) -> CellSource:
+    """Cells of whole CSV files given as ``(path, content)``; ids are :func:`table_name`."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                table_id = _stem(path)
+                table_id = table_name(path, root)
                 try:
+                    for _ in _csv_blocks(content, separator):
+                        pass
                     for first, block in _csv_blocks(content, separator):
                         yield _block_cells(table_id, first, list(block.columns), block)
                 except Exception as problem:
@@ -103,27 +125,18 @@ def csv_cells(files: DataFrame, separator: str = ";") -> CellSource:
 
 
 def numbered_lines(lines: DataFrame) -> DataFrame:
-    """Add ``line``, increasing and unique per file, to ``(value, path, start)``.
+    """Add ``line``, the number of the line in its file, to ``(value, path, start)``.
 
-    ``start`` is the byte where the file split begins. A split has fewer lines
-    than bytes, so start + position in the split is unique; in a file read as
-    one split it is the line number.
+    ``start`` is the byte where the file split begins. Lines are counted per
+    split first; the counts of the splits before give each split its offset, so
+    numbers do not depend on how files are split.
     """
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, position = None, 0
-        for batch in batches:
-            numbers = []
-            for here in zip(batch["path"], batch["start"]):
-                if here != split:
-                    split, position = here, 0
-                numbers.append(here[1] + position)
-                position += 1
-            yield pd.DataFrame({"path": batch["path"], "line": numbers, "value": batch["value"]})
-
-    return lines.select("path", "start", "value").mapInPandas(
-        count, "path string, line bigint, value string"
-    )
+    placed = lines.select("path", "start", "value", F.monotonically_increasing_id().alias("id"))
+    splits = placed.groupBy("path", "start").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "start", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    numbered = placed.join(splits, ["path", "start"])
+    return numbered.select("path", (F.col("id") - F.col("first") + F.col("offset")).alias("line"), "value")
 
 
 def _text_lines(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
@@ -134,25 +147,41 @@ def _text_lines(spark: SparkSession, path: str, pattern: str | None) -> DataFram
         "value",
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_block_start").alias("start"),
-        F.col("_metadata.file_size").alias("size"),
     )
 
 
-def csv_line_cells(lines: DataFrame, separator: str = ";") -> CellSource:
+def _distinct_names(names: list[str | None]) -> list[str]:
+    """Headers as a CSV reader names them: repeated ones numbered, empty ones by place."""
+    out: list[str] = []
+    for i, name in enumerate(names):
+        own = name if name else f"Unnamed: {i}"
+        free, n = own, 0
+        while free in out:
+            n += 1
+            free = f"{own}.{n}"
+        out.append(free)
+    return out
+
+
+def csv_line_cells(lines: DataFrame, separator: str = ";", root: str | None = None) -> CellSource:
     """Cells of CSV files given as numbered lines ``(path, line, value)``.
 
-    For files too large to be read whole: lines of one file are decoded by
-    many tasks. A field that spans lines is reported as an error of its table.
+    For files that no task can hold: lines of one file are decoded by many tasks.
+    A table with a field that spans lines, or with a row longer than its header,
+    is an error and has no cells.
     """
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, block in batch.groupby("path", sort=False):
-                table_id = _stem(path)
-                if (block["value"].str.count('"') % 2 == 1).any():
+                table_id = table_name(path, root)
+                broken = block["value"].str.count('"') % 2 == 1
+                if broken.any():
                     yield _error(table_id, ValueError("a quoted field spans lines"))
-                    continue
+                block = block[~broken & (block["value"] != "")]
                 rows = list(csv.reader(block["value"], delimiter=separator))
+                if not rows:
+                    continue
                 columns = [list(range(len(r))) for r in rows]
                 yield pd.DataFrame(
                     {
@@ -165,46 +194,51 @@ def csv_line_cells(lines: DataFrame, separator: str = ";") -> CellSource:
                     }
                 )
 
-    header = (
-        lines.where(F.col("line") == 0)
-        .mapInPandas(decode, RAW_SCHEMA)
-        .select(
-            "table_id", "column_id", F.regexp_replace("cell", "^\ufeff", "").alias("column_name")
-        )
-    )
-    body = lines.where(F.col("line") > 0).mapInPandas(decode, RAW_SCHEMA).drop("column_name")
-    named = body.join(header, ["table_id", "column_id"], "left")
-    return split_errors(named.withColumn("row_id", F.col("row_id") - 1))
+    def head(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, value in zip(batch["path"], batch["value"]):
+                names = _distinct_names(next(csv.reader([value.removeprefix("\ufeff")], delimiter=separator), []))
+                yield pd.DataFrame({"table_id": table_name(path, root), "column_id": range(len(names)), "column_name": names})
 
+    header = lines.where(F.col("line") == 0).mapInPandas(head, "table_id string, column_id int, column_name string")
+    raw = lines.where(F.col("line") > 0).mapInPandas(decode, RAW_SCHEMA).drop("column_name")
+    named = raw.join(header, ["table_id", "column_id"], "left")
+    long = F.col("error").isNull() & F.col("column_name").isNull()
+    named = named.withColumn("error", F.when(long, "ValueError: a row is longer than the header").otherwise(F.col("error")))
+    source = split_errors(named.withColumn("row_id", F.col("row_id") - 1))
+    errors = source.errors.groupBy("table_id").agg(F.min("error").alias("error"))
+    return CellSource(source.cells.join(errors.select("table_id"), "table_id", "left_anti"), errors)
 
-def read_csv_lake(
-    spark: SparkSession, path: str, separator: str = ";", whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> CellSource:
-    """All ``*.csv`` tables below ``path``.
 
-    Files up to ``whole_file_bytes`` are decoded whole, one table per step;
-    larger ones as splittable lines. The size tests are file filters: no file
-    is read by both ways.
+def read_csv_lake(spark: SparkSession, path: str, separator: str = ";") -> CellSource:
+    """All ``*.csv`` tables below ``path``, each decoded whole by one task.
+
+    A file that is no single Spark value (2 GB) is an error that names
+    :func:`read_csv_lines`, which decodes lines of a file by many tasks.
     """
-    whole = (
+    files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", "*.csv")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .where(F.col("length") <= whole_file_bytes)
     )
-    lines = _text_lines(spark, path, "*.csv").where(F.col("size") > whole_file_bytes)
-    small = csv_cells(whole, separator)
-    large = csv_line_cells(numbered_lines(lines), separator)
-    return CellSource(
-        small.cells.unionByName(large.cells), small.errors.unionByName(large.errors)
+    found = csv_cells(files.where(F.col("length") <= BINARY_LIMIT), separator, path)
+    large = files.where(F.col("length") > BINARY_LIMIT).select(
+        F.col("path").alias("table_id"), F.lit("too large for one value: use read_csv_lines").alias("error")
     )
+    return CellSource(found.cells, found.errors.unionByName(large))
+
+
+def read_csv_lines(spark: SparkSession, path: str, separator: str = ";") -> CellSource:
+    """CSV files of any size, read as lines; see :func:`csv_line_cells`."""
+    return csv_line_cells(numbered_lines(_text_lines(spark, path, "*.csv")), separator, path)
 
 
-def archive_cells(files: DataFrame) -> CellSource:
+def archive_cells(files: DataFrame, root: str | None = None) -> CellSource:
     """Cells of zip archives of Parquet tables given as ``(path, content)``.
 
-    The table id is the archive stem (without quotes) and the entry stem.
+    The table id is the archive's :func:`table_name` (without quotes) and the
+    entry's path in it without the ending.
     Entries that are not Parquet are left out; unreadable ones are errors.
     """
 
@@ -213,7 +247,7 @@ def archive_cells(files: DataFrame) -> CellSource:
 
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                chunk = _stem(path).replace("'", "")
+                chunk = table_name(path, root).replace("'", "")
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                 except Exception as problem:
@@ -222,9 +256,11 @@ def archive_cells(files: DataFrame) -> CellSource:
                 for entry in archive.namelist():
                     if not entry.endswith(".parquet"):
                         continue
-                    table_id = f"{chunk}_{_stem(entry)}"
+                    table_id = f"{chunk}_{PurePosixPath(entry).with_suffix('')}"
                     try:
                         table = pq.ParquetFile(io.BytesIO(archive.read(entry)))
+                        for _ in table.iter_batches(BLOCK_ROWS):
+                            pass
                         done = 0
                         for block in table.iter_batches(BLOCK_ROWS):
                             frame = block.to_pandas(integer_object_nulls=True)
@@ -245,7 +281,7 @@ def read_archives(spark: SparkSession, path: str) -> CellSource:
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    return archive_cells(files)
+    return archive_cells(files, path)
 
 
 def relation_cells(relations: DataFrame) -> DataFrame:

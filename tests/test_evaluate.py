@@ -132,7 +132,7 @@ def test_permutation_importance(linear_rows):
 
 
 def test_curves(linear_rows):
-    curves = models.ice_curves(Linear(), linear_rows, F.col("id"), "a", ["a", "b", "c"], points=7)
+    curves = models.ice_curves(Linear(), linear_rows, F.col("id"), "a", quantiles=7)
     rows = curves.collect()
     assert len(rows) == 300 * 7
     observed = {r["a"]: None for r in linear_rows.collect()}
@@ -141,7 +141,7 @@ def test_curves(linear_rows):
     for r in rows:
         assert r["prediction"] == pytest.approx(3 * r["grid_x"] + effects[r["instance_id"]])
     lowest = min(r["grid_x"] for r in rows)
-    centred = models.ice_curves(Linear(), linear_rows, F.col("id"), "a", ["a", "b", "c"], points=7, centered=True)
+    centred = models.ice_curves(Linear(), linear_rows, F.col("id"), "a", quantiles=7, centered=True)
     for r in centred.collect():
         assert r["prediction"] == pytest.approx(3 * (r["grid_x"] - lowest), abs=1e-9)
     pdp = models.pdp_curve(curves).collect()
@@ -152,9 +152,10 @@ def test_curves(linear_rows):
 
 
 def test_small_features_use_every_value(spark, linear_rows):
-    few = linear_rows.withColumn("a", F.pmod("id", F.lit(3)).cast("double"))
-    curves = models.ice_curves(Linear(), few, F.col("id"), "a", ["a", "b", "c"], points=10)
-    assert {r["grid_x"] for r in curves.select("grid_x").distinct().collect()} == {0.0, 1.0, 2.0}
+    rare = F.when(F.col("id") < 3, F.col("id") + 1).otherwise(0).cast("double")
+    few = linear_rows.withColumn("a", rare)
+    curves = models.ice_curves(Linear(), few, F.col("id"), "a", quantiles=None)
+    assert {r["grid_x"] for r in curves.select("grid_x").distinct().collect()} == {0.0, 1.0, 2.0, 3.0}
 
 
 def test_training_uses_the_columns(spark, linear_rows):
@@ -162,3 +163,30 @@ def test_training_uses_the_columns(spark, linear_rows):
     scored = models.train_eval(rows, "y", {"blind": ["c"], "seeing": ["a", "b"]}, ["t"], trees=5, depth=4)
     found = {r["config"]: r for r in scored.collect()}
     assert found["seeing"]["rmse"] < 0.7 * found["blind"]["rmse"]
+
+
+def test_importance_takes_all_rows_in_bounded_groups(linear_rows, monkeypatch):
+    monkeypatch.setattr(models, "SHUFFLE_ROWS", 25)
+    result = models.permutation_importance(Linear(), linear_rows, F.col("id"), "y", ["a", "c"])
+    found = {r["feature"]: r for r in result.collect()}
+    assert found["a"]["importance"] == pytest.approx(3 * 2**0.5, rel=0.15)
+    assert found["c"]["importance"] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_models_take_any_columns(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(0, 1), f"v{rng.randrange(150)}", None if i % 50 == 0 else float(i % 7)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, `Area(sq.mi.)` double, `a b.c` string, `y.z` double")
+    model = models.train_regressor(df, "y.z", ["Area(sq.mi.)"], ["a b.c"], trees=2, depth=2)
+    scored = models.predict(model, df)
+    assert scored.columns == [*df.columns, "prediction"] and scored.where("prediction is null").count() == 0
+    found = models.permutation_importance(model, df, F.col("id"), "y.z", ["Area(sq.mi.)"], ["a b.c"], shuffles=2)
+    assert {r["feature"] for r in found.collect()} == {"Area(sq.mi.)", "a b.c"}
+    curve = models.ice_curves(model, df, F.col("id"), "a b.c", quantiles=None)
+    assert curve.select("grid_x").distinct().count() == df.select("`a b.c`").distinct().count()
+
+
+def test_least_squares_finds_the_line(linear_rows):
+    model = models.train_regressor(linear_rows, "y", ["a", "b"], linear=True)
+    far = models.predict(model, linear_rows).select(F.max(F.abs(F.col("prediction") - 3 * F.col("a") + 2 * F.col("b")))).first()[0]
+    assert far < 0.1

@@ -144,7 +144,13 @@ def test_sketch_of_all_keys_is_the_mean_table(countries):
 def test_custom_hash_and_xxhash(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("key"), F.col("id").alias("v"))
     means = query_means(df, "key", "v")
-    custom = SketchOptions(size=20, hash_order=lambda key: F.xxhash64(key))
+
+    def own_hash(key):
+        return F.xxhash64(key)
+
+    with pytest.raises(ValueError, match="name"):
+        SketchOptions(hash_order=lambda key: F.xxhash64(key))
+    custom = SketchOptions(size=20, hash_order=own_hash)
     named = SketchOptions(size=20, hash_order="xxhash64")
     one, two = (
         {r["key"] for r in sketch.pair_sketch(means, o).collect()} for o in (custom, named)

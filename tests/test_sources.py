@@ -8,7 +8,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from lakekin.operators.mapper import map_tables
+from lakekin.operators.mapper import map_blocks, map_tables
 from lakekin.operators.pairs import cell_pair_means, wide_pair_means
 from lakekin.operators.profile import column_pairs, column_profile, large_tables, table_stats
 from lakekin.sources import cells as tall
@@ -47,10 +47,38 @@ def test_csv_folder(spark, csv_folder):
 
 def test_large_csv_files_are_read_as_lines(spark, csv_folder):
     whole = files.read_csv_lake(spark, str(csv_folder)).cells.where("table_id <> 'bad'")
-    lines = files.read_csv_lake(spark, str(csv_folder), whole_file_bytes=0)
-    assert as_rows(lines.cells.where("table_id <> 'bad'")) == as_rows(whole)
-    mixed = files.read_csv_lake(spark, str(csv_folder), whole_file_bytes=100)
-    assert as_rows(mixed.cells.where("table_id <> 'bad'")) == as_rows(whole)
+    lines = files.read_csv_lines(spark, str(csv_folder))
+    assert as_rows(lines.cells) == as_rows(whole)
+    assert [r["table_id"] for r in lines.errors.collect()] == ["bad"]
+
+
+def test_equal_stems_and_headers_and_late_errors(spark, tmp_path):
+    for name, text in {
+        "a/x.csv": "k;v\nr;10\n",
+        "b/x.csv": "k;v\nr;1\n",
+        "twice.csv": "k;v;v\na;1;100\n",
+        "late.csv": "k;v\n" + "p;1\n" * 25_000 + "p;1;2;3\n",
+    }.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    whole, lines = files.read_csv_lake(spark, str(tmp_path)), files.read_csv_lines(spark, str(tmp_path))
+    assert {r["table_id"] for r in whole.cells.select("table_id").distinct().collect()} == {"a/x", "b/x", "twice"}
+    assert as_rows(whole.cells) == as_rows(lines.cells)
+    assert [r["column_name"] for r in whole.cells.where("table_id = 'twice'").orderBy("column_id").collect()] == ["k", "v", "v.1"]
+    for source in (whole, lines):
+        assert [r["table_id"] for r in source.errors.collect()] == ["late"]
+
+
+def test_line_numbers_do_not_depend_on_splits(spark, tmp_path):
+    (tmp_path / "dwtc-007.json").write_text("".join(json.dumps({"relation": [[f"h{i}", "x"], ["1", "2"], ["3", "4"]]}) + "\n" for i in range(40)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    ids = []
+    for size in ("128m", "300"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        found = files.read_web_tables(spark, str(tmp_path), "*.json").cells.select("table_id").distinct().collect()
+        ids.append(sorted(r["table_id"] for r in found))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert ids[0] == ids[1] == sorted(f"dwtc-007_{i}" for i in range(40))
 
 
 def test_split_lines_keep_unique_ordered_row_ids(spark, tmp_path):
@@ -58,8 +86,7 @@ def test_split_lines_keep_unique_ordered_row_ids(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "32k")
     try:
-        cells = files.read_csv_lake(spark, str(tmp_path), whole_file_bytes=0).cells
-        assert cells.rdd.getNumPartitions() > 4
+        cells = files.read_csv_lines(spark, str(tmp_path)).cells
         keys = [r["cell"] for r in cells.where("column_name = 'k'").orderBy("row_id").collect()]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
@@ -70,7 +97,7 @@ def test_fields_over_lines_are_reported_not_broken(spark, tmp_path):
     (tmp_path / "multi.csv").write_text('k;v\n"a\nb";1\n')
     whole = files.read_csv_lake(spark, str(tmp_path))
     assert [r["cell"] for r in whole.cells.where("column_id = 0").collect()] == ["a\nb"]
-    lines = files.read_csv_lake(spark, str(tmp_path), whole_file_bytes=0)
+    lines = files.read_csv_lines(spark, str(tmp_path))
     assert {r["table_id"] for r in lines.errors.collect()} == {"multi"}
 
 
@@ -81,14 +108,16 @@ def test_archives(spark, tmp_path):
         return out.getvalue()
 
     with zipfile.ZipFile(tmp_path / "x'y.zip", "w") as z:
-        z.writestr("dir/good.parquet", entry(pa.table({"k": ["a", None], "v": [1, None], "f": [0.5, 2.0]})))
+        z.writestr("dir/good.parquet", entry(pa.table({"k": ["a", None], "v": [1, None], "f": [0.5, 2.0], "l": [[1, 2], None]})))
         z.writestr("broken.parquet", b"no parquet")
         z.writestr("skip.csv", b"a;b")
     (tmp_path / "junk.zip").write_bytes(b"not a zip")
     source = files.read_archives(spark, str(tmp_path))
     assert as_rows(source.cells) == [
-        ("xy_good", 0, 0, "k", "a", None), ("xy_good", 0, 1, "v", "1", 1.0), ("xy_good", 0, 2, "f", "0.5", 0.5),
-        ("xy_good", 1, 0, "k", None, None), ("xy_good", 1, 1, "v", None, None), ("xy_good", 1, 2, "f", "2.0", 2.0),
+        ("xy_dir/good", 0, 0, "k", "a", None), ("xy_dir/good", 0, 1, "v", "1", 1.0),
+        ("xy_dir/good", 0, 2, "f", "0.5", 0.5), ("xy_dir/good", 0, 3, "l", "[1 2]", None),
+        ("xy_dir/good", 1, 0, "k", None, None), ("xy_dir/good", 1, 1, "v", None, None),
+        ("xy_dir/good", 1, 2, "f", "2.0", 2.0), ("xy_dir/good", 1, 3, "l", None, None),
     ]
     assert {r["table_id"] for r in source.errors.collect()} == {"junk", "xy_broken"}
 
@@ -212,11 +241,19 @@ def test_map_tables(spark):
     results, errors = map_tables(cells, summary, schema)
     assert [tuple(r) for r in results.collect()] == [("long", 12, 66.0)]
     assert [tuple(r) for r in errors.collect()] == [("a__short", "RuntimeError: no")]
-    merged, _ = map_tables(
-        cells, summary, schema, block_rows=4,
-        combine=[F.sum("rows").alias("rows"), F.sum("total").alias("total")],
-    )
+    combine = [F.sum("rows").alias("rows"), F.sum("total").alias("total")]
+    merged, failed = map_blocks(cells, summary, schema, combine, block_rows=4)
     assert [tuple(r) for r in merged.collect()] == [("long", 12, 66.0)]
-    none, too_large = map_tables(cells, summary, schema, block_rows=4)
-    assert none.count() == 0
-    assert {r["table_id"] for r in too_large.collect()} == {"long", "a__short"}
+    assert [r["table_id"] for r in failed.collect()] == ["a__short"]
+
+
+def test_equal_headers_stay_apart(spark):
+    rows = [("t", r, c, n, str(v)) for r in range(4) for c, n, v in [(0, "k", f"key{r}"), (1, "v", r), (2, "v", 10 * r)]]
+    cells = spark.createDataFrame(rows, "table_id string, row_id long, column_id int, column_name string, cell string")
+    cells = cells.withColumn("num", F.expr("try_cast(cell as double)"))
+    found = {(r["value_col"], r["key"]): r["value"] for r in cell_pair_means(cells).collect()}
+    assert found == {(n, f"key{r}"): float(r * f) for r in range(4) for n, f in (("v", 1), ("v#2", 10))}
+    import pandas as pd
+
+    wide, _ = map_tables(cells, lambda t: pd.DataFrame({"n": [t.shape[1]]}), "n bigint")
+    assert wide.first()["n"] == 3
