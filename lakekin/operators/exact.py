@@ -65,6 +65,29 @@ def search_exact_cells(
     return correlate(means, query)
 
 
+#: The columns that tell the pairs of a query table apart.
+QUERY_PAIR = ["query_table", "query_key", "query_value"]
+
+
+def search_exact_multi(lake: Sequence[LakeTable], queries: DataFrame) -> DataFrame:
+    """:func:`search_exact` for every key and measure column of one or more query tables.
+
+    ``queries`` are pair means; results carry :data:`QUERY_PAIR` beside the lake
+    pair. All query pairs are searched in one pass over the lake.
+    """
+    probe = queries.select(
+        *[F.col(a).alias(b) for a, b in zip(PAIR, QUERY_PAIR)], "key", F.col("value").alias("x")
+    )
+    totals = probe.groupBy(*QUERY_PAIR).agg(F.count("key").alias("total"))
+    keys = filter_keys(probe.select("key").distinct())
+    joined = lake_means(lake, only_keys=keys).withColumnRenamed("value", "y").join(probe, "key")
+    found = joined.groupBy(*QUERY_PAIR, *PAIR).agg(
+        F.count("y").alias("n"), guarded_pearson(F.col("x"), F.col("y")).alias("correlation")
+    )
+    shares = found.join(totals, QUERY_PAIR).withColumn("joinability", F.col("n") / F.col("total"))
+    return shares.select(*QUERY_PAIR, *PAIR, "n", "joinability", "correlation")
+
+
 def correlate(means: DataFrame, query: DataFrame) -> DataFrame:
     """Exact result rows from lake pair means and query means."""
     probe = query.select("key", F.col("value").alias("x"))

@@ -186,28 +186,34 @@ def _grid_sql(k: int) -> str:
 
 
 def _lines(final: str) -> str:
-    """Model checks: two least squares lines, averaged, on the hash split of the customers."""
+    """Model checks: least squares on two features, by the normal equations."""
     views = _views(("cust_order_totals", "cust_item_totals"))
-    fits = ", ".join(
-        f"regr_slope(y, {f}) AS {f}_slope, regr_intercept(y, {f}) AS {f}_start"
-        for f in ("n_orders", "n_items")
-    )
     return f"""WITH {views}, all_rows AS (SELECT c_custkey, CAST(n_orders AS DOUBLE) AS n_orders,
   CAST(n_items AS DOUBLE) AS n_items, order_total / 1e8 AS y,
   substring(md5(concat('7:', CAST(c_custkey AS VARCHAR))), 1, 8) < 'e6666666' AS is_train
   FROM v_cust_order_totals JOIN v_cust_item_totals USING (c_name) JOIN customer USING (c_name)),
-fit AS (SELECT {fits} FROM all_rows WHERE is_train),
+moments AS (SELECT var_pop(n_orders) AS s11, var_pop(n_items) AS s22, covar_pop(n_orders, n_items) AS s12,
+  covar_pop(y, n_orders) AS s1y, covar_pop(y, n_items) AS s2y, avg(n_orders) AS m1, avg(n_items) AS m2, avg(y) AS my
+  FROM all_rows WHERE is_train),
+slopes AS (SELECT *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1,
+  (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2, s1y / s11 AS b0 FROM moments),
+fit AS (SELECT b0, b1, b2, my - b1 * m1 - b2 * m2 AS start, my - b0 * m1 AS start_one FROM slopes),
 test AS (SELECT * FROM all_rows WHERE NOT is_train),
 grid AS (SELECT DISTINCT unnest(quantile_disc(n_items, [0.0, 0.25, 0.5, 0.75, 1.0])) AS grid_x FROM test),
 {final}"""
 
 
 def _line(orders: str, items: str) -> str:
-    return (
-        f"((n_orders_start + n_orders_slope * {orders}) + (n_items_start + n_items_slope * {items})) / 2"
-    )
+    return f"(start + b1 * {orders} + b2 * {items})"
 
 
+METRICS = (
+    "CAST(count(*) AS BIGINT) AS n, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, "
+    "round(avg((y - p) * (y - p)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae, "
+    "round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2, "
+    "round(covar_samp(y, p) / nullif(stddev_samp(y) * stddev_samp(p), 0), 6) AS pearson, "
+    "round(median(abs(y - p)), 6) AS median_ae FROM predictions GROUP BY config"
+)
 ICE = f"ice AS (SELECT c_custkey AS instance_id, grid_x, {_line('n_orders', 'grid_x')} AS p FROM test, grid, fit)"
 IMPORTANCE = f"""base AS (SELECT *, CAST(c_custkey AS VARCHAR) AS row_key FROM test),
 placed AS (SELECT base.*, feature, round,
@@ -358,11 +364,7 @@ shared AS ({' UNION ALL '.join(
         f"{split_hash}) <= floor(0.9 * (SELECT count(*) FROM customer)) "
         "THEN 'train' ELSE 'test' END AS split FROM customer",
         "regression_metrics": f"WITH v_cust_order_totals AS ({totals}), {PREDICTIONS} SELECT config, "
-        "CAST(count(*) AS BIGINT) AS n, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, "
-        "round(avg((y - p) * (y - p)), 6) AS mse, round(avg(abs(y - p)), 6) AS mae, "
-        "round(1 - avg((y - p) * (y - p)) / var_pop(y), 6) AS r2, "
-        "round(covar_samp(y, p) / nullif(stddev_samp(y) * stddev_samp(p), 0), 6) AS pearson, "
-        "round(median(abs(y - p)), 6) AS median_ae FROM predictions GROUP BY config",
+        f"{METRICS}",
     }
     half = f"{T_995_19} * stddev_samp(d) / sqrt(20)"
     sql["perm_importance_lines"] = _lines(
@@ -370,6 +372,20 @@ shared AS ({' UNION ALL '.join(
         f"CAST(count(*) AS BIGINT) AS n, round(avg(d) + {half}, 6) AS p99_high, "
         f"round(avg(d) - {half}, 6) AS p99_low FROM drops GROUP BY feature"
     )
+    sql["train_eval_lines"] = _lines(
+        f"predictions AS (SELECT 'one' AS config, y, start_one + b0 * n_orders AS p FROM test, fit "
+        f"UNION ALL SELECT 'both', y, {_line('n_orders', 'n_items')} FROM test, fit) SELECT config, {METRICS}"
+    )
+    sql["exact_corr_multi"] = (
+        f"WITH {LAKE}, q AS (SELECT table_id AS query_table, key_col AS query_key, value_col AS query_value, "
+        f"key, value AS x FROM means WHERE {MULTI_QUERY}), "
+        "totals AS (SELECT query_table, query_key, query_value, CAST(count(*) AS DOUBLE) AS total FROM q GROUP BY ALL) "
+        f"SELECT query_table, query_key, query_value, {PAIR}, CAST(count(*) AS BIGINT) AS n, "
+        "round(count(*) / any_value(total), 6) AS joinability, "
+        "round(CASE WHEN count(*) < 2 OR var_samp(value) <= 1e-10 THEN 0.0 "
+        "ELSE covar_samp(x, value) / nullif(stddev_samp(x) * stddev_samp(value), 0) END, 6) AS correlation "
+        "FROM means JOIN q USING (key) JOIN totals USING (query_table, query_key, query_value) GROUP BY ALL"
+    )
     sql["ice_curves_lines"] = _lines(
         f"{ICE} SELECT instance_id, grid_x, round(p - first_value(p) OVER "
         "(PARTITION BY instance_id ORDER BY grid_x), 6) AS prediction FROM ice"

@@ -31,6 +31,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERY_TABLE = "cust_order_totals"
 QUERY_PAIR = ("c_name", "order_total")
+MULTI_QUERY = ("customer", "part")
 # Means of different engines may differ in the last bit; do not label by that bit.
 OPTIONS = SketchOptions(rel_eps=1e-9)
 
@@ -360,7 +361,7 @@ def search_multi_stored(spark: SparkSession, folder: str) -> DataFrame:
     lake = Lake(spark, folder)
     store = TermStore(spark, new_folder(spark, "index"), OPTIONS)
     store.append_tables(lake.tables(), "all")
-    query = lake_means(lake.tables(["customer", "part"]))
+    query = lake_means(lake.tables(MULTI_QUERY))
     return search.search_signed(store.for_query(query), query, 10, OPTIONS)
 
 
@@ -396,6 +397,14 @@ def exact_corr_cells(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(found, "joinability", "correlation")
 
 
+@register
+def exact_corr_multi(spark: SparkSession, folder: str) -> DataFrame:
+    """Every key and measure column of two query tables against the whole lake."""
+    lake = Lake(spark, folder)
+    found = exact.search_exact_multi(lake.tables(), lake_means(lake.tables(MULTI_QUERY)))
+    return rounded(found, "joinability", "correlation")
+
+
 @register
 def exact_topk(spark: SparkSession, folder: str) -> DataFrame:
     lake = Lake(spark, folder)
@@ -586,28 +595,7 @@ def pdp_curve(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-class LineFits:
-    """Mean of two one-feature least squares lines: a model that plain SQL can repeat.
-
-    It lets the importance and curve operators be checked value by value.
-    """
-
-    FEATURES = ("n_orders", "n_items")
-
-    def __init__(self, train: DataFrame, label: str) -> None:
-        y = F.col(label)
-        lines = train.agg(
-            *[F.regr_slope(y, F.col(f)).alias(f"{f}_slope") for f in self.FEATURES],
-            *[F.regr_intercept(y, F.col(f)).alias(f"{f}_start") for f in self.FEATURES],
-        ).first()
-        self.lines = lines.asDict()
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        parts = [
-            F.lit(self.lines[f"{f}_start"]) + F.lit(self.lines[f"{f}_slope"]) * F.col(f)
-            for f in self.FEATURES
-        ]
-        return df.withColumn("prediction", (parts[0] + parts[1]) / 2)
+LINE_FEATURES = ("n_orders", "n_items")
 
 
 def line_rows(lake: Lake) -> DataFrame:
@@ -622,17 +610,27 @@ def line_rows(lake: Lake) -> DataFrame:
     return split.hash_split(rows, F.col("c_custkey"), seed=7)
 
 
-def _line_model(lake: Lake) -> tuple[LineFits, DataFrame]:
+def _line_model(lake: Lake) -> tuple[models.FittedModel, DataFrame]:
+    """Least squares on two features, which plain SQL can repeat, and the test rows."""
     rows = materialize(line_rows(lake), "line-rows")
-    model = LineFits(rows.where(F.col("split") == "train"), "y")
+    model = models.train_regressor(rows.where(F.col("split") == "train"), "y", LINE_FEATURES, linear=True)
     return model, rows.where(F.col("split") == "test").drop("split")
 
 
+@register
+def train_eval_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Test error of least squares with one and with both features."""
+    rows = materialize(line_rows(Lake(spark, folder)), "line-rows")
+    configurations = {"one": LINE_FEATURES[:1], "both": LINE_FEATURES}
+    metrics = models.train_eval(rows, "y", configurations, linear=True)
+    return rounded(metrics, "rmse", "mse", "mae", "r2", "pearson", "median_ae")
+
+
 @register
 def perm_importance_lines(spark: SparkSession, folder: str) -> DataFrame:
     model, test = _line_model(Lake(spark, folder))
     found = models.permutation_importance(
-        model, test, F.col("c_custkey"), "y", LineFits.FEATURES
+        model, test, F.col("c_custkey"), "y", LINE_FEATURES
     ).drop("p_value")
     return rounded(found, "importance", "stddev", "p99_high", "p99_low")
 
