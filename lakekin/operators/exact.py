@@ -13,10 +13,9 @@ from lakekin.operators.pairs import (
     LakeTable,
     cell_pair_rows,
     lake_means,
-    restrict,
 )
 from lakekin.options import CONTAINMENT_THRESHOLD, OVERLAP_TOP, PAIR
-from lakekin.session import fits
+from lakekin.session import fits, materialize
 
 
 def filter_keys(query: DataFrame, small_query: bool | None = None) -> DataFrame | None:
@@ -151,11 +150,10 @@ def overlap_topk(
     )
 
 
-def key_moments(lake: Sequence[LakeTable], only_keys: DataFrame | None = None) -> DataFrame:
-    """Per key and pair: rows, and count, sum and square sum of the centred measure.
+def keyed_moments(lake: Sequence[LakeTable], only_keys: DataFrame | None = None) -> DataFrame:
+    """Per key and pair: rows, and count, mean and variance of the measure; written once.
 
-    Sums are taken around the mean of the pair's key means, which makes them
-    safe to subtract later and does not change r. One pass over the tables.
+    One pass over the tables. Overlaps, shares and r all follow from these rows.
     """
     sql = LakeSql(lake, only_keys)
     parts = []
@@ -167,16 +165,22 @@ def key_moments(lake: Sequence[LakeTable], only_keys: DataFrame | None = None) -
         names = ", ".join(f"(n{j}, a{j}, v{j}) AS `{j}`" for j in numbers)
         parts.append(
             f"SELECT {sql.table_id()} AS table_id, {sql.key_col()} AS key_col, "
-            f"{sql.value_col()} AS value_col, key, rows, n, mean, spread "
+            f"{sql.value_col()} AS value_col, {sql.position()} AS position, key, rows, n, mean, spread "
             f"FROM (SELECT k, key, count(*) AS rows, {moments} "
             f"FROM ({sql.long_rows(n)}) GROUP BY k, key) "
             f"UNPIVOT INCLUDE NULLS ((n, mean, spread) FOR m IN ({names}))"
         )
-    keys = sql.run(" UNION ALL ".join(parts))
-    # One row per pair of the listed tables.
-    centres = keys.groupBy(*PAIR).agg(F.avg("mean").alias("centre"))
+    return materialize(sql.run(" UNION ALL ".join(parts)), "moments")
+
+
+def centred(moments: DataFrame) -> DataFrame:
+    """Moments with sum and square sum around the mean of the pair's key means.
+
+    That makes the sums safe to subtract later and does not change r.
+    """
+    centres = moments.groupBy(*PAIR).agg(F.avg("mean").alias("centre"))
     moved = F.col("mean") - F.col("centre")
-    return keys.join(F.broadcast(centres), PAIR).select(
+    return moments.join(centres, PAIR).select(
         *PAIR,
         "key",
         "rows",
@@ -186,6 +190,13 @@ def key_moments(lake: Sequence[LakeTable], only_keys: DataFrame | None = None) -
     )
 
 
+def moment_overlap(moments: DataFrame, keys: DataFrame) -> DataFrame:
+    """:func:`key_overlap` from moments that are written already."""
+    own = moments.select("table_id", "key_col", "position", "key").distinct()
+    shared = own.join(keys.distinct(), "key", "left_semi")
+    return shared.groupBy("table_id", "key_col", "position").agg(F.count("*").alias("overlap"))
+
+
 def overlap_rank_corr(
     lake: Sequence[LakeTable],
     query: LakeTable,
@@ -199,7 +210,7 @@ def overlap_rank_corr(
     size and r follow from per-key counts and sums of both sides, so the
     repeated rows are never made. ``query`` has one key and one measure.
     """
-    ours = key_moments([query]).select(
+    ours = centred(keyed_moments([query])).select(
         "key",
         F.col("rows").alias("q_rows"),
         F.col("n").alias("q_n"),
@@ -207,19 +218,16 @@ def overlap_rank_corr(
         F.col("ss").alias("q_ss"),
     )
     query_keys = ours.select("key")
-    few = filter_keys(query_keys, small_query)
-    # At most k rows; only their columns are read again.
-    best = overlap_topk(lake, query_keys, k, small_query=few is not None).collect()
-    overlaps = {(r["table_id"], r["key_col"]): r["overlap"] for r in best}
-    chosen = restrict(lake, overlaps) or list(lake[:1])
-    sizes = query.df.sparkSession.createDataFrame(
-        [tuple(r) for r in best], "table_id string, key_col string, overlap bigint"
-    )
-    joined = (
-        key_moments(chosen, few)
-        .join(F.broadcast(sizes), ["table_id", "key_col"])
-        .join(ours, "key")
-    )
+    measured = [t for t in lake if t.measures]
+    moments = keyed_moments(measured, filter_keys(query_keys, small_query))
+    overlaps = moment_overlap(moments, query_keys)
+    if len(measured) < len(lake):
+        # Tables of keys alone count among the best but have no r.
+        others = [t for t in lake if not t.measures]
+        overlaps = overlaps.unionByName(key_overlap(others, query_keys, small_query))
+    best = overlaps.orderBy(F.desc("overlap"), "table_id", "key_col").limit(k)
+    best = best.select("table_id", "key_col", "overlap")
+    joined = centred(moments).join(best, ["table_id", "key_col"]).join(ours, "key")
     sums = joined.groupBy(*PAIR).agg(
         F.sum(F.col("rows") * F.col("q_rows")).alias("joinability"),
         F.max("overlap").alias("overlap"),
@@ -256,30 +264,18 @@ def containment_first(
     """
     total = query.agg(F.count_distinct("key")).scalar()
     keys = filter_keys(query, small_query)
-    shares = key_overlap(lake, query, keys is not None).withColumn(
-        "containment", F.col("overlap") / total
-    )
-    # One row per table of the list; only the best columns are read again.
-    best = (
-        shares.groupBy("table_id")
-        .agg(
-            F.max(
-                F.struct("containment", (-F.col("position")).alias("rank"), "key_col")
-            ).alias("b")
-        )
-        .select("table_id", "b.key_col", "b.containment")
-        .where(F.col("containment") > threshold)
-        .collect()
-    )
-    chosen = restrict(lake, [(r["table_id"], r["key_col"]) for r in best]) or list(lake[:1])
-    found = query.sparkSession.createDataFrame(
-        [tuple(r) for r in best], "table_id string, key_col string, containment double"
+    measured = [t for t in lake if t.measures]
+    moments = keyed_moments(measured, keys)
+    shares = moment_overlap(moments, query.select("key")).withColumn("containment", F.col("overlap") / total)
+    best = shares.groupBy("table_id").agg(
+        F.max(F.struct("containment", (-F.col("position")).alias("rank"), "key_col")).alias("b")
     )
+    found = best.select("table_id", "b.key_col", "b.containment").where(F.col("containment") > threshold)
     probe = query.select("key", F.col("value").alias("x"))
     joined = (
-        lake_means(chosen, only_keys=keys)
-        .withColumnRenamed("value", "y")
-        .join(F.broadcast(found), ["table_id", "key_col"])
+        moments.where("n > 0")
+        .withColumnRenamed("mean", "y")
+        .join(found, ["table_id", "key_col"])
         .join(probe, "key")
     )
     result = joined.groupBy(*PAIR).agg(
