@@ -57,11 +57,20 @@ def header_map(block: Column) -> Column:
 
 
 def parse_records(records: DataFrame, column: str = "record") -> DataFrame:
-    """Fields of WARC records given as strings; other columns unchanged."""
-    text = F.col(column)
-    head = F.regexp_extract(text, r"(?s)\A(WARC/[^\r\n]*.*?)\r?\n\r?\n", 1)
-    after = F.expr(f"regexp_replace(`{column}`, '(?s)\\\\AWARC/.*?\\\\r?\\\\n\\\\r?\\\\n', '', 1)")
-    parsed = records.withColumn("__warc", header_map(head)).withColumn("__http", F.regexp_extract(after, r"(?s)\A(HTTP/.*?)(\r?\n\r?\n|\z)", 1))
+    """Fields of WARC records given as strings; other columns unchanged.
+
+    Only the two header blocks at the front are searched, not the body.
+    """
+    text, end = F.col(column), "\r\n\r\n"
+    head = F.substring_index(text, end, 1)
+    both = F.substring_index(text, end, 2)
+    http = F.substring(both, F.length(head) + len(end) + 1, F.length(both))
+    parsed = records.withColumns(
+        {
+            "__warc": header_map(F.when(head.startswith("WARC/"), head)),
+            "__http": F.when(head.startswith("WARC/") & http.startswith("HTTP/"), http),
+        }
+    )
     status = F.regexp_extract("__http", r"\AHTTP/\S+ +(\d{3})", 1)
     own = F.col("__warc")
     url = F.regexp_replace(own["warc-target-uri"], "^<|>$", "")
@@ -145,7 +154,8 @@ def resolve(records: DataFrame) -> DataFrame:
     response is given unless missing, merged headers unless missing or mismatched.
     """
     fields = ("record_id", "warc_type", "canonical_url", "warc_date", "profile", "status", "headers")
-    narrow = records.select(*fields).filter(is_full() | is_not_modified())
+    # Written before anything is asked of it, so each record is parsed once.
+    narrow = materialize(records.select(*fields), "records").filter(is_full() | is_not_modified())
     revisits = latest_full(narrow).filter(is_not_modified())
     stored, own = F.col("full.headers"), F.col("headers")
     result = outcome(stored, own)
