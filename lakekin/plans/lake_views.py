@@ -173,6 +173,20 @@ CELL_VIEWS: dict[str, tuple[str, tuple[tuple[str, bool], ...]]] = {
         f"{_cents('o_totalprice')} AS totalprice FROM {{orders}}",
         (("o_orderpriority", True), ("o_orderstatus", True), ("totalprice", False)),
     ),
+    # The largest table, one row per order and line number.
+    "lineitem": (
+        "SELECT l_orderkey * 16 + l_linenumber AS row_id, max(l_returnflag) AS l_returnflag, "
+        "max(l_linestatus) AS l_linestatus, max(l_suppkey) AS l_suppkey, "
+        f"sum({_cents('l_extendedprice')}) AS extendedprice, CAST(sum(l_quantity) AS BIGINT) AS quantity "
+        "FROM {lineitem} GROUP BY l_orderkey * 16 + l_linenumber",
+        (
+            ("l_returnflag", True),
+            ("l_linestatus", True),
+            ("l_suppkey", False),
+            ("extendedprice", False),
+            ("quantity", False),
+        ),
+    ),
     "events": (
         f"SELECT event_id AS row_id, event_type, props, {_cents('value')} AS value FROM {{events}}",
         (("event_type", True), ("props", True), ("value", False)),

@@ -443,19 +443,19 @@ def containment_best(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def search_quality(spark: SparkSession, folder: str) -> DataFrame:
     lake = Lake(spark, folder)
-    means = full_means(lake)
+    means = materialize(full_means(lake), "means")
     query = the_query(lake)
     found = search.search_signed(sketch.term_index(means, OPTIONS), query, 10, OPTIONS)
-    truth = exact.exact_topk(exact.correlate(means, query), 10)
+    truth = materialize(exact.exact_topk(exact.correlate(means, query), 10), "truth")
     return rounded(evaluate.search_quality(truth, found), "precision", "recall", "f1")
 
 
 @register
 def quality_grid(spark: SparkSession, folder: str) -> DataFrame:
     lake = Lake(spark, folder)
-    means = full_means(lake)
+    means = materialize(full_means(lake), "means")
     query = the_query(lake)
-    truth = exact.exact_topk(exact.correlate(means, query), 8)
+    truth = materialize(exact.exact_topk(exact.correlate(means, query), 8), "truth")
     grid = evaluate.quality_grid(means, query, truth, 8, opts=OPTIONS)
     return rounded(grid, "precision", "recall", "f1")
 
