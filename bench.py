@@ -75,6 +75,39 @@ def main() -> None:
         run(exact.exact_topk(found, 10))
 
     seconds["search_exact"] = timed(exact_search)
+    # A lake of very many small tables, as tall cells: one table per order.
+    def order_cells() -> DataFrame:
+        lines = spark.read.parquet(f"{FOLDER}/lineitem.parquet")
+        once = lines.groupBy("l_orderkey", "l_partkey").agg(F.max("l_extendedprice").alias("price"))
+        column = lambda i, name, cell, num: F.struct(
+            F.lit(i).alias("column_id"), F.lit(name).alias("column_name"), cell.alias("cell"), num.alias("num")
+        )
+        part = column(0, "part", F.concat(F.lit("part"), F.col("l_partkey").cast("string")), F.lit(None).cast("double"))
+        price = column(1, "price", F.col("price").cast("string"), F.col("price"))
+        cells = once.select(
+            F.concat(F.lit("order"), F.col("l_orderkey").cast("string")).alias("table_id"),
+            F.col("l_partkey").cast("long").alias("row_id"),
+            F.explode(F.array(part, price)).alias("c"),
+        )
+        return cells.select("table_id", "row_id", "c.*")
+
+    def many_build() -> TermStore:
+        found = TermStore(spark, new_folder(spark, "bench-many"), q.OPTIONS)
+        found.append_cells(order_cells(), "all")
+        return found
+
+    start = time.perf_counter()
+    many = many_build()
+    seconds["many_tables_build"] = round(time.perf_counter() - start, 3)
+    many_tables = many.tables().count()
+    parts = spark.read.parquet(f"{FOLDER}/part.parquet").select(
+        F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("key"),
+        F.col("p_retailprice").cast("double").alias("value"),
+    )
+    many_query = q.query_means(parts, "key", "value")
+    seconds["many_tables_search"] = timed(
+        lambda: run(search.search_signed(many.for_query(many_query), many_query, 100, q.OPTIONS))
+    )
     for name in (
         "pair_means",
         "term_index",
@@ -101,6 +134,7 @@ def main() -> None:
                 "sf": os.path.basename(FOLDER.rstrip("/")),
                 "index_rows": rows[0],
                 "index_pairs": rows[1],
+                "many_tables": many_tables,
             }
         )
     )
