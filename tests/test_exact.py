@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakekin.operators import exact
-from lakekin.operators.pairs import LakeTable, wide_pair_means
+from lakekin.operators.pairs import LakeTable, lake_means, wide_pair_means
 
 
 @pytest.fixture(scope="module")
@@ -133,3 +133,23 @@ def test_unused_columns_are_not_read(spark, tmp_path):
     spark.range(10).selectExpr("string(id) k", "id v", "id surplus").write.parquet(path)
     plan = wide_pair_means(spark.read.parquet(path), "t", ["k"], ["v"])
     assert "surplus" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_several_query_columns_at_once(spark):
+    rows = [(f"a{i}", f"b{i % 7}", float(i), float(i * i % 11)) for i in range(40)]
+    table = spark.createDataFrame(rows, "k1 string, k2 string, v1 double, v2 double")
+    lake = [LakeTable("lake", table, ("k1", "k2"), ("v1", "v2"))]
+    query = LakeTable("q", table.where("v1 < 25"), ("k1", "k2"), ("v1", "v2"))
+    found = exact.search_exact_multi(lake, lake_means([query])).collect()
+    for key in query.keys:
+        for value in query.measures:
+            one = exact.search_exact(lake, lake_means([LakeTable("q", query.df, (key,), (value,))]).select("key", "value"))
+            want = {(r["key_col"], r["value_col"]): (r["n"], r["joinability"], r["correlation"]) for r in one.collect()}
+            got = {
+                (r["key_col"], r["value_col"]): (r["n"], r["joinability"], r["correlation"])
+                for r in found
+                if (r["query_key"], r["query_value"]) == (key, value)
+            }
+            assert got.keys() == want.keys()
+            for pair in want:
+                assert got[pair] == pytest.approx(want[pair], nan_ok=True)

@@ -44,12 +44,43 @@ def test_unfinished_batch_is_ignored_and_repaired(spark, lake, tmp_path):
     store = TermStore(spark, path)
     store.append(lake_means(lake[:1]), "one")
     # An attempt that died after its terms and before its list of tables.
-    term_index(lake_means(lake[1:2])).write.parquet(f"{path}/terms/batch=two")
+    term_index(lake_means(lake[1:2])).write.parquet(f"{path}/terms/attempt=dead")
     assert rows(store.terms()) == rows(term_index(lake_means(lake[:1])))
     store.append(lake_means(lake[1:2]), "two")
     assert rows(store.terms()) == rows(term_index(lake_means(lake[:2])))
 
 
+def test_rewrite_compact_and_vacuum(spark, lake, tmp_path):
+    path = tmp_path / "index"
+    store = TermStore(spark, str(path))
+    store.append(lake_means(lake[:1]), "one")
+    store.append(lake_means(lake[1:2]), "two")
+    before = rows(store.terms())
+    opened = store.terms()
+    # A second attempt at a committed batch leaves the first one readable.
+    store.append(lake_means(lake[1:2]), "two")
+    assert rows(opened) == rows(store.terms()) == before
+    store.compact()
+    assert rows(store.terms()) == before and len(store.attempts()) == 1
+    assert {r["table_id"] for r in store.tables().collect()} == {"t0", "t1"}
+    assert len(store.vacuum()) == 6 and store.vacuum() == []
+    assert rows(store.terms()) == before
+    assert len(list((path / "terms").glob("attempt=*"))) == 1
+
+
+def test_query_of_any_number_of_pairs(spark, lake, tmp_path, monkeypatch):
+    store = TermStore(spark, str(tmp_path / "index"))
+    store.append(lake_means(lake), "one")
+    query = lake_means(lake)
+    want = search.search_signed(store.terms(), query, 10).collect()
+    assert want[0]["count"] >= 128
+    assert search.search_signed(store.for_query(query), query, 10).collect() == want
+    monkeypatch.setattr(search, "MAX_LITERALS", 5)
+    joined = store.for_query(query)
+    assert "In(term" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert search.search_signed(joined, query, 10).collect() == want
+
+
 def test_replace_and_options(spark, lake, tmp_path):
     path = str(tmp_path / "index")
     store = TermStore(spark, path)
