@@ -37,6 +37,9 @@ TREES = 16
 DEPTH = 4
 #: Neighbours before a row, in sorted order, that it is paired with.
 REACH = 8
+#: Trees that must offer a pair. Of ten trees, one that offers a similar pair in
+#: none or one only happens in 3 of 100,000 cases.
+LEAST_TREES = 2
 #: A document crowded in more trees than this is joined exactly as well.
 CROWDED_TREES = 6
 #: Percent of the union that two sets must share.
@@ -116,101 +119,114 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, set binary")
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates among rows sorted by (tree, label, id); pairs with b null mark crowding.
+class _Sorted:
+    """Rows sorted by (tree, label, id), some at a time, as candidates.
 
     Rows are handled with REACH rows of context on either side. The first row of the
     region open at each depth is carried on, whatever the region's size.
     """
-    tree = np.zeros(0, np.int64)
-    words = np.zeros((0, DEPTH), np.uint64)
-    ids = np.zeros(0, np.int64)
-    heads = np.zeros((0, DEPTH), np.int64)
-    begun = 0  # rows at the front that serve as context only
-
-    def emit(last: bool) -> pa.RecordBatch | None:
-        n = len(ids)
-        stop = n if last else max(begun, n - REACH)
-        left, right = [], []
+
+    def __init__(self) -> None:
+        self.tree = np.zeros(0, np.int64)
+        self.words = np.zeros((0, DEPTH), np.uint64)
+        self.ids = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
+        #: per row and depth the id and set size of its region's first row.
+        self.heads = np.zeros((0, DEPTH, 2), np.int64)
+        self.begun = 0  # rows at the front that serve as context only
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        raw = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u8").reshape(-1, DEPTH)
+        old = len(self.ids)
+        self.tree = np.concatenate([self.tree, batch.column("tree").to_numpy().astype(np.int64)])
+        self.words = np.concatenate([self.words, raw.astype(np.uint64)])
+        self.ids = np.concatenate([self.ids, batch.column("rep").to_numpy()])
+        self.sizes = np.concatenate([self.sizes, batch.column("n").to_numpy()])
+        new = np.arange(old, len(self.ids))
+        own = np.stack([self.ids[new], self.sizes[new]], axis=1)
+        heads = np.zeros((len(new), DEPTH, 2), np.int64)
+        for d in range(DEPTH):
+            opens = np.ones(len(new), bool)
+            now = new[new > 0]
+            same = (self.tree[now] == self.tree[now - 1]) & np.all(self.words[now, : d + 1] == self.words[now - 1, : d + 1], axis=1)
+            opens[len(opens) - len(now) :] = ~same
+            at = np.maximum.accumulate(np.where(opens, np.arange(len(new)), -1))
+            heads[:, d] = own[np.maximum(at, 0)]
+            if old:
+                heads[at < 0, d] = self.heads[-1, d]
+        self.heads = np.concatenate([self.heads, heads])
+
+    def emit(self, last: bool) -> pa.RecordBatch:
+        n = len(self.ids)
+        stop = n if last else max(self.begun, n - REACH)
+        left, right, trees = [], [], []
         full = np.zeros(n, bool)
-        same = lambda lag, d: (tree[lag:] == tree[: n - lag]) & np.all(words[lag:, :d] == words[: n - lag, :d], axis=1)
+
+        def offer(rows: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+            small, large = np.minimum(self.sizes[rows], sizes), np.maximum(self.sizes[rows], sizes)
+            fit = (self.ids[rows] != ids) & (100 * small >= SIMILAR * large)
+            left.append(self.ids[rows][fit])
+            right.append(ids[fit])
+            trees.append(self.tree[rows][fit])
+
         for lag in range(1, min(REACH, n - 1) + 1):
-            hit = same(lag, 1)
+            hit = (self.tree[lag:] == self.tree[:-lag]) & (self.words[lag:, 0] == self.words[:-lag, 0])
             if lag == REACH:
                 full[lag:] |= hit
-                full[: n - lag] |= hit
+                full[:-lag] |= hit
             at = np.flatnonzero(hit) + lag
-            at = at[(at >= begun) & (at < stop)]
-            left.append(ids[at])
-            right.append(ids[at - lag])
-        rows = np.arange(begun, stop)
+            at = at[(at >= self.begun) & (at < stop)]
+            offer(at, self.ids[at - lag], self.sizes[at - lag])
+        rows = np.arange(self.begun, stop)
         for d in range(DEPTH):
-            left.append(ids[rows])
-            right.append(heads[rows, d])
+            head = self.heads[rows, d]
+            new = head[:, 0] != self.heads[rows, d - 1, 0] if d else np.ones(len(rows), bool)
+            offer(rows[new], head[new, 0], head[new, 1])
+        crowded = rows[full[rows]]
         a, b = np.concatenate(left), np.concatenate(right)
-        differ = a != b
-        a, b = a[differ], b[differ]
-        crowded = ids[rows[full[rows]]]
-        if not len(a) + len(crowded):
-            return None
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        return pa.RecordBatch.from_arrays(
+        found = pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([low, crowded])),
-                pa.array(np.concatenate([high, crowded]), mask=np.arange(len(low) + len(crowded)) >= len(low)),
+                pa.array(np.concatenate([np.minimum(a, b), self.ids[crowded]])),
+                pa.array(np.concatenate([np.maximum(a, b), self.ids[crowded]]), mask=np.arange(len(a) + len(crowded)) >= len(a)),
+                pa.array((1 << np.concatenate([*trees, self.tree[crowded]])).astype(np.int64)),
             ],
-            names=["a", "b"],
+            names=["a", "b", "tree"],
         )
+        cut = max(0, stop - REACH)
+        for name in ("tree", "words", "ids", "sizes", "heads"):
+            setattr(self, name, getattr(self, name)[cut:])
+        self.begun = stop - cut
+        return found
+
 
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates ``a, b`` with the bit of their tree; ``b`` null marks crowding."""
+    rows = _Sorted()
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        raw = np.frombuffer(b"".join(batch.column("label").to_pylist()), ">u8").reshape(-1, DEPTH)
-        new_tree = batch.column("tree").to_numpy().astype(np.int64)
-        old = len(ids)
-        tree = np.concatenate([tree, new_tree])
-        words = np.concatenate([words, raw.astype(np.uint64)])
-        ids = np.concatenate([ids, batch.column("rep").to_numpy()])
-        grown = np.zeros((len(ids), DEPTH), np.int64)
-        grown[:old] = heads
-        heads = grown
-        for d in range(DEPTH):
-            opens = np.ones(len(ids) - old, bool)
-            before = np.arange(old, len(ids)) - 1
-            if old == 0:
-                before = before[1:]
-            now = before + 1
-            opens[len(opens) - len(now) :] = (tree[now] != tree[before]) | np.any(words[now, : d + 1] != words[before, : d + 1], axis=1)
-            at = np.where(opens, np.arange(len(opens)), -1)
-            at = np.maximum.accumulate(at)
-            own = ids[old:][np.maximum(at, 0)]
-            heads[old:, d] = np.where(at >= 0, own, heads[old - 1, d] if old else 0)
-        if len(ids) > 4 * REACH:
-            found = emit(False)
-            if found is not None:
-                yield found
-            done = max(begun, len(ids) - REACH)
-            cut = max(0, done - REACH)
-            tree, words, ids, heads = tree[cut:], words[cut:], ids[cut:], heads[cut:]
-            begun = done - cut
-    if len(ids):
-        found = emit(True)
-        if found is not None:
-            yield found
+        if batch.num_rows:
+            rows.add(batch)
+            if len(rows.ids) > 4 * REACH:
+                yield rows.emit(False)
+    if len(rows.ids):
+        yield rows.emit(True)
 
 
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``a, b, trees`` of the forest's candidates, and ``rep`` of crowded documents."""
+    """``a, b, trees`` of the forest's candidates, and ``rep`` of crowded documents.
+
+    ``reps`` has ``rep, n, labels``.
+    """
     trees = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")
     size = 8 * DEPTH
-    rows = reps.select("rep", "labels", trees)
-    rows = rows.select("rep", "tree", F.expr(f"substring(labels, 1 + {size} * tree, {size})").alias("label"))
+    rows = reps.select("rep", "n", "labels", trees)
+    rows = rows.select("rep", "n", "tree", F.expr(f"substring(labels, 1 + {size} * tree, {size})").alias("label"))
     order = ["tree", "label", "rep"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = rows.mapInArrow(_neighbours, "a long, b long").groupBy("a", "b").agg(F.count("*").alias("trees"))
+    found = rows.mapInArrow(_neighbours, "a long, b long, tree long")
+    found = found.groupBy("a", "b").agg(F.bit_count(F.bit_or("tree")).alias("trees"))
+    found = found.filter(F.col("trees") >= F.when(F.col("b").isNull(), CROWDED_TREES + 1).otherwise(LEAST_TREES))
     found = materialize(found, "candidates")
-    pairs = found.filter("b is not null")
-    return pairs, found.filter(f"b is null and trees > {CROWDED_TREES}").select(F.col("a").alias("rep"))
+    return found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("rep"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,23 +257,42 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``node, component``: the smallest node reachable, for every node with a link.
 
-    Each round takes the smallest component among a node's neighbours and then that
-    component's own, which halves the way left. A round is written and read back.
+    Nodes hang in trees. In each round every node hears of the grandparents of its
+    neighbours, and it and its own parent move below the smallest; then paths are
+    halved. The number of rounds grows with the logarithm of a component. A round is
+    written and read back; all aggregates are minima, so no node is too large.
     """
     edges = links.select("a", "b").union(links.select("b", "a")).distinct()
     edges = materialize(edges, "edges")
-    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")), "labels")
+    first = edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("parent"))
+    trees = materialize(first.withColumn("above", F.col("parent")), "trees")
     while True:
-        there = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
-        offered = edges.join(there, "b").groupBy(F.col("a").alias("node")).agg(F.min("theirs").alias("theirs"))
-        stepped = labels.join(offered, "node").select("node", F.col("component").alias("was"), F.least("component", "theirs").alias("component"))
-        root = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        stepped = stepped.join(root, "component").select("node", "was", F.least("component", "root").alias("component"))
-        stepped = materialize(stepped, "labels")
-        moved = stepped.filter("was <> component").limit(1).count()
-        labels = stepped.select("node", "component")
-        if not moved:
-            return labels
+        there = trees.select(F.col("node").alias("b"), F.col("above").alias("low"))
+        heard = edges.join(there, "b").groupBy(F.col("a").alias("node")).agg(F.min("low").alias("low"))
+        known = trees.join(heard, "node")
+        moves = known.select("node", F.least("parent", "above", "low").alias("to")).union(known.select(F.col("parent").alias("node"), F.col("low").alias("to")))
+        moved = moves.groupBy("node").agg(F.min("to").alias("to"))
+        parents = trees.select("node", "parent", "above").join(moved, "node")
+        parents = parents.select("node", F.least("to", "node").alias("now"), "parent", "above")
+        upper = parents.select(F.col("node").alias("now"), F.col("now").alias("up"))
+        stepped = parents.join(upper, "now").select(
+            "node", F.col("now").alias("parent"), F.col("up").alias("above"), ((F.col("now") != F.col("parent")) | (F.col("up") != F.col("above"))).alias("moved")
+        )
+        trees = materialize(stepped, "trees")
+        if trees.filter("moved").isEmpty():
+            return trees.select("node", F.col("parent").alias("component"))
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` after further links, solved between components alone."""
+    between = materialize(apart(links, labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "between")
+    if between.isEmpty():
+        return labels
+    solved = components(between)
+    single = solved.select("node").join(labels.select("node"), "node", "left_anti").withColumn("component", F.col("node"))
+    roots = solved.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    known = labels.union(single.select("node", "component")).join(roots, "component", "left")
+    return materialize(known.select("node", F.coalesce("root", "component").alias("component")), "labels")
 
 
 def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -270,12 +305,12 @@ def apart(pairs: DataFrame, labels: DataFrame | None) -> DataFrame:
     return pairs.filter("ca <> cb")
 
 
-def crowded_pairs(crowded: DataFrame, sets: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Every pair of crowded documents that may be similar and is not connected yet.
+def prefixes(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """``doc_id, n, rank, shingle``: the rarest shingles of each crowded document.
 
     Two similar sets share one of their rarest shingles: of n, all but 75% + 1 may be
-    left out. Lists of documents that are all connected already are dropped as a
-    whole.
+    left out. Shingles of one document only come first in the order and pair with
+    nothing; they are counted and dropped.
     """
     own = sets.join(crowded.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
     n = (F.length("set") / 8).cast("long").alias("n")
@@ -284,23 +319,40 @@ def crowded_pairs(crowded: DataFrame, sets: DataFrame, labels: DataFrame | None)
     exploded = materialize(exploded, "shingles")
     often = exploded.groupBy("shingle").agg(F.count("*").alias("often"))
     rare = Window.partitionBy("doc_id").orderBy("often", "shingle")
-    ranked = exploded.join(often, "shingle").filter("often > 1").withColumn("rank", F.row_number().over(rare))
-    # Shingles of one document only come first in the order and pair with nothing.
-    alone = exploded.join(often, "shingle").filter("often = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    ranked = ranked.join(alone, "doc_id", "left").withColumn("rank", F.col("rank") + F.coalesce("alone", F.lit(0)))
-    prefix = ranked.filter(f"rank <= n - ceil({SIMILAR} * n / 100) + 1").select("doc_id", "n", "shingle")
-    if labels is None:
-        prefix = prefix.withColumn("component", F.col("doc_id"))
+    ranked = exploded.join(often, "shingle").withColumn("rank", F.row_number().over(rare))
+    ranked = ranked.filter(f"often > 1 and rank <= n - ceil({SIMILAR} * n / 100) + 1")
+    return materialize(ranked.select("doc_id", "n", "rank", "shingle"), "prefixes")
+
+
+def crowded_pairs(prefix: DataFrame, labels: DataFrame | None, stars: bool) -> DataFrame:
+    """Pairs of crowded documents that may be similar and are not connected yet.
+
+    Of the documents that share a rare shingle, either each meets the one with the
+    least rarer shingles before it (``stars``), or all meet that are in different
+    components. Lists of one component are dropped as a whole. A pair must be able to
+    reach the similarity with what stands after its shared shingle on both sides,
+    which any similar pair can at the first shingle it shares.
+    """
+    named = prefix.withColumn("component", F.col("doc_id"))
+    if labels is not None:
+        own = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+        named = prefix.join(own, "doc_id", "left").withColumn("component", F.coalesce("c", "doc_id")).drop("c")
+    head = F.struct("rank", "n", "doc_id", "component")
+    mixed = named.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(head).alias("head"))
+    mixed = mixed.filter("low < high")
+    left = named.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("rank").alias("ra"), F.col("component").alias("ca"))
+    if stars:
+        right = mixed.select("shingle", *[F.col(f"head.{c}").alias(n) for c, n in (("doc_id", "b"), ("n", "nb"), ("rank", "rb"), ("component", "cb"))])
     else:
-        named = labels.select(F.col("node").alias("doc_id"), "component")
-        prefix = prefix.join(named, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    prefix = materialize(prefix, "prefixes")
-    mixed = prefix.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    lists = prefix.join(mixed.select("shingle"), "shingle", "left_semi")
-    left = lists.select("shingle", F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = lists.select("shingle", F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    met = left.join(right, "shingle").filter("a < b and ca <> cb")
-    return met.filter(f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)").select("a", "b").distinct()
+        left = left.join(mixed.select("shingle"), "shingle", "left_semi")
+        right = left.toDF("shingle", "b", "nb", "rb", "cb")
+    enough = F.expr(
+        f"100 * least(na, nb) >= {SIMILAR} * greatest(na, nb)"
+        f" and (100 + {SIMILAR}) * (1 + least(na - ra, nb - rb)) >= {SIMILAR} * (na + nb)"
+    )
+    order = F.col("a") != F.col("b") if stars else F.col("a") < F.col("b")
+    both = left.alias("l").join(right.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & order & (F.col("ca") != F.col("cb")) & enough)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,10 +364,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     classes = usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("labels").alias("labels"))
     classes = materialize(classes, "classes")
     # Two different sets of one repeated id keep their own classes through that id.
-    pairs, crowded = candidates(classes.select("rep", "labels").dropDuplicates(["rep"]))
+    pairs, crowded = candidates(classes.select("rep", F.col("n_shingles").alias("n"), "labels").dropDuplicates(["rep"]))
 
     ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    sets = sets_of(narrow.join(ends, "doc_id", "left_semi")).dropDuplicates(["doc_id"])
+    # Documents with candidates grow with the corpus: planned alike at every size.
+    sets = sets_of(narrow.join(ends.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
     sets = materialize(sets, "sets")
 
     # First a few edges of each document: the likeliest and two random ones.
@@ -328,17 +381,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     chosen = chosen.select("v", F.explode("to").alias("w"))
     chosen = chosen.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct()
-    links = materialize(confirmed(chosen, sets), "links")
-    labels = components(links)
-    # Then all others that would connect two components.
-    rest = apart(pairs.join(chosen, ["a", "b"], "left_anti"), labels).select("a", "b")
-    more = materialize(confirmed(rest, sets), "links")
-    links = links.union(more)
-    labels = components(links)
+    labels = components(materialize(confirmed(chosen, sets), "links"))
+    # Then the others that would connect two components. Pairs of crowded documents
+    # that few trees offer are left to the exact join.
+    for end in "ab":
+        mark = crowded.select(F.col("rep").alias(end), F.lit(True).alias(f"crowded_{end}"))
+        pairs = pairs.join(mark, end, "left")
+    rest = pairs.filter(f"trees > {CROWDED_TREES} or crowded_a is null or crowded_b is null").select("a", "b")
+    rest = apart(rest.join(chosen, ["a", "b"], "left_anti"), labels).select("a", "b")
+    labels = joined_components(labels, materialize(confirmed(rest, sets), "links"))
     if not crowded.isEmpty():
-        met = crowded_pairs(crowded, sets, labels).join(pairs, ["a", "b"], "left_anti")
-        links = links.union(materialize(confirmed(met, sets), "links"))
-        labels = components(links)
+        prefix = prefixes(crowded, sets)
+        for stars in (True, False):
+            met = materialize(crowded_pairs(prefix, labels, stars), "met")
+            labels = joined_components(labels, materialize(confirmed(met, sets), "links"))
 
     members = classes.select(*[F.col(c).alias(f"__{c}") for c in same], "rep")
     members = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
@@ -353,4 +409,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group, all columns unchanged."""
     gone = near_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("__gone"), "left_anti")
+    # What goes grows with the corpus: planned alike at every size.
+    return docs.join(gone.distinct().hint("merge"), docs[id_col] == F.col("__gone"), "left_anti")

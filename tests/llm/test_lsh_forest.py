@@ -96,8 +96,10 @@ def test_exact_join_of_crowded(spark, make_docs):
     rows = [(i, varied(rng, base, rng.randrange(0, 6)), "s") for i in range(60)]
     df = make_docs(rows)
     sets = lsh_forest.sets_of(df.select("doc_id", "text"))
-    crowded = df.select(df.doc_id.alias("rep"))
-    met = {(r["a"], r["b"]) for r in lsh_forest.crowded_pairs(crowded, sets, None).collect()}
+    prefix = lsh_forest.prefixes(df.select(df.doc_id.alias("rep")), sets)
+    met = {(r["a"], r["b"]) for r in lsh_forest.crowded_pairs(prefix, None, False).collect()}
+    stars = {(r["a"], r["b"]) for r in lsh_forest.crowded_pairs(prefix, None, True).collect()}
+    assert stars and all(a < b for a, b in stars)
     own = {i: shingles(t) for i, t, _ in rows}
     for a in own:
         for b in own:
