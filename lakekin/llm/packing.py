@@ -137,7 +137,8 @@ def pack(pieces: DataFrame, row: int = ROW, pad_id: int = PAD_ID) -> DataFrame:
         bounds = np.concatenate([[0], np.cumsum(counts)])
         sorted_lengths = lengths[by_row]
         used = np.bincount(placed, weights=lengths, minlength=rows).astype(np.int64)
-        pieces = [table.column("ids").combine_chunks()[int(i)].as_buffer() for i in by_row]
+        ids = table.column("ids").combine_chunks()
+        pieces = [ids[i].as_buffer() for i in by_row.tolist()]
         fill = np.full(row, pad_id, np.uint16).tobytes()
         matrix, cumulative, resets = [], [], []
         for r in range(rows):
