@@ -160,7 +160,7 @@ WITH d AS (
   FROM d LEFT JOIN r USING (doc_id)
 ), f AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words OR 10 * n_dup_lines > 3 * n_lines AS own_failed
+         10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words AS own_failed
   FROM m
 ), h AS (
   SELECT host, count(*) AS docs, count(*) FILTER (base_failed OR own_failed) AS failures FROM f GROUP BY host
