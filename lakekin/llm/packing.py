@@ -26,8 +26,9 @@ from lakekin.llm import text as tx
 ROW = 2048
 #: Ids of a shard, about. A piece is no longer than a row, so no shard gets much more.
 SHARD_IDS = 8 << 20
-#: Byte vocabulary: a byte's id is its value; then the end of a document and filling.
-END_ID, PAD_ID = 256, 257
+#: Byte vocabulary: a byte's id is its value. The ids of the end of a document and of
+#: filling are bytes that UTF-8 never uses.
+END_ID, PAD_ID = 0xFF, 0xFE
 
 
 class RoomTree:
@@ -85,7 +86,7 @@ def best_fit(lengths: np.ndarray, row: int = ROW) -> np.ndarray:
 
 
 def byte_pieces(docs: DataFrame, shards: int, row: int = ROW) -> DataFrame:
-    """``shard, doc_id, start, n, ids`` of ``doc_id, text``; ids as 16-bit values.
+    """``shard, doc_id, start, n, ids`` of ``doc_id, text``; ids as one byte each.
 
     A document's ids are its UTF-8 bytes and :data:`END_ID`.
     """
@@ -97,7 +98,7 @@ def byte_pieces(docs: DataFrame, shards: int, row: int = ROW) -> DataFrame:
                 sizes = np.diff(offsets)
                 lengths = np.where(sizes > 0, sizes + 1, 0)
                 bounds = np.concatenate([[0], np.cumsum(lengths)])
-                ids = np.full(bounds[-1], END_ID, np.uint16)
+                ids = np.full(bounds[-1], END_ID, np.uint8)
                 ends = np.zeros(bounds[-1], bool)
                 ends[bounds[1:][lengths > 0] - 1] = True
                 ids[~ends] = data
@@ -105,9 +106,9 @@ def byte_pieces(docs: DataFrame, shards: int, row: int = ROW) -> DataFrame:
                 doc = np.repeat(np.arange(len(sizes)), count)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * row
                 n = np.minimum(row, lengths[doc] - start)
-                first = 2 * (bounds[doc] + start)
+                first = bounds[doc] + start
                 raw = ids.tobytes()
-                pieces = pa.array([raw[a:b] for a, b in zip(first, first + 2 * n)], pa.binary())
+                pieces = pa.array([raw[a:b] for a, b in zip(first, first + n)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").take(pa.array(doc)), pa.array(start), pa.array(n), pieces],
                     names=["doc_id", "start", "n", "ids"],
@@ -118,10 +119,11 @@ def byte_pieces(docs: DataFrame, shards: int, row: int = ROW) -> DataFrame:
     return pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(shards)).cast("int"))
 
 
-def pack(pieces: DataFrame, row: int = ROW, pad_id: int = PAD_ID) -> DataFrame:
+def pack(pieces: DataFrame, row: int = ROW, pad_id: int = PAD_ID, width: int = 1) -> DataFrame:
     """One line per packed row, from ``shard, doc_id, start, n, ids``.
 
-    ``shard, row, n_ids, ids`` (16-bit values, filled up), ``cumulative`` (bounds of
+    ``width`` is the bytes of an id (little endian; 2 for most vocabularies).
+    ``shard, row, n_ids, ids`` (filled up), ``cumulative`` (bounds of
     the segments), ``resets`` (where position ids start anew), and per segment
     ``doc_ids`` and ``starts`` (its first id's place in the document).
     """
@@ -139,11 +141,11 @@ def pack(pieces: DataFrame, row: int = ROW, pad_id: int = PAD_ID) -> DataFrame:
         used = np.bincount(placed, weights=lengths, minlength=rows).astype(np.int64)
         ids = table.column("ids").combine_chunks()
         pieces = [ids[i].as_buffer() for i in by_row.tolist()]
-        fill = np.full(row, pad_id, np.uint16).tobytes()
+        fill = np.full(row, pad_id, f"<u{width}").tobytes()
         matrix, cumulative, resets = [], [], []
         for r in range(rows):
             a, b = bounds[r], bounds[r + 1]
-            matrix.append(b"".join(pieces[a:b]) + fill[: 2 * (row - used[r])])
+            matrix.append(b"".join(pieces[a:b]) + fill[: width * (row - used[r])])
             at = np.concatenate([[0], np.cumsum(sorted_lengths[a:b])])
             cumulative.append(at)
             resets.append(at[:-1])

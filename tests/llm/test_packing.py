@@ -34,7 +34,7 @@ def check(df, rows, row, shard_ids):
     docs = Counter()
     pieces = {}
     for r in found:
-        ids = np.frombuffer(r["ids"], np.uint16)
+        ids = np.frombuffer(r["ids"], np.uint8)
         assert len(ids) == row and r["cumulative"][0] == 0 and r["cumulative"][-1] == r["n_ids"]
         assert r["resets"] == r["cumulative"][:-1]
         assert (ids[r["n_ids"] :] == packing.PAD_ID).all()
@@ -66,3 +66,12 @@ def test_one_hot_document_spreads_over_shards(make_docs):
 
 def test_empty(no_docs):
     assert packing.pack_documents(no_docs).collect() == []
+
+
+def test_wider_ids(spark):
+    ids = {1: [5, 60_000, 7], 2: [300], 3: [1, 2]}
+    rows = [(0, d, 0, len(v), bytearray(np.array(v, "<u2").tobytes())) for d, v in ids.items()]
+    df = spark.createDataFrame(rows, "shard int, doc_id long, start long, n long, ids binary")
+    found = packing.pack(df, row=4, pad_id=9, width=2).orderBy("row").collect()
+    got = [np.frombuffer(r["ids"], "<u2").tolist() for r in found]
+    assert got == [[5, 60_000, 7, 300], [1, 2, 9, 9]]
