@@ -36,8 +36,8 @@ PLAIN = 0x180
 #: Stands for the mark at the end of a word; no symbol of a vocabulary.
 MARK = "\u0100"
 #: Trie nodes and words a worker keeps before it starts afresh.
-MAX_NODES = 1_500_000
-MAX_WORDS = 500_000
+MAX_NODES = 500_000
+MAX_WORDS = 180_000
 
 
 def byte_symbols() -> list[str]:
