@@ -2,8 +2,8 @@
 
 Markup is stripped to lines: a block element's begin and end each end a line, so
 structure between two texts shows as empty lines. Elements that say themselves that
-they are no article text (by tag, role, class or id) leave their lines empty. Over
-the lines, text lengths outside links are summed in a sliding window: where the sums
+they are no article text (by tag, role, class or id) leave their lines empty, unless
+they hold the page's article or most of its text. Over the lines, text lengths outside links are summed in a sliding window: where the sums
 rise from nothing is a surge, where they fall back a dive, and the text between a
 surge and its dive is kept. A page that marks its article gives lines only there.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lakekin.llm import text as tx
 
-#: Lines in a window, and the text a surge needs where a page marks no article.
+#: Lines in a window, and the text a surge needs.
 WINDOW = 3
 SURGE = 80
 #: A further stretch is kept when it has this share of the longest one's text.
@@ -40,11 +40,12 @@ BLOCKS = frozenset(
 )
 RAW = frozenset("script style textarea title noscript iframe template svg math object canvas audio video noembed noframes xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Of these, forms and headers may also hold the page.
 ASIDE = frozenset("head nav header footer aside form button select dialog menu label input option".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Roles of page parts that are no article text.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-#: Words in a class or id that name such parts.
+#: Classes and ids that name such parts, alone or joined with each other or with PARTS.
 NAMES = frozenset(
     "ad ads adsbygoogle advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted"
     " nav navbar navigation menu submenu breadcrumb breadcrumbs pagination pager toc"
@@ -54,82 +55,127 @@ NAMES = frozenset(
     " comment comments commentlist respond replies reply disqus discussion reactions"
     " share sharing social follow search form skip hidden".split()
 )
+PARTS = frozenset(
+    "site main global top bottom left right primary secondary wrapper wrap container area list box block section bar inner outer"
+    " col row item items link links icon icons button buttons btn slot unit title posts articles stories text media holder group"
+    " panel module region body".split()
+)
+#: Of an article's own.
+ARTICLE_NAMES = frozenset("comment comments reply ad promo related".split())
 #: Elements never left out for their class: they hold the page or are text themselves.
 KEPT = frozenset("html body main article".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPLIT_NAME = re.compile(r"[^a-z]+")
+#: A tag that ends itself; the slash of a value without quotes does not.
+ENDED = re.compile(r"(?<!\S)/$|[\"']/$|^/$|^[^=]*/$")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
-SPACES = re.compile(r"\s+")
+
+
+@dataclass
+class Part:
+    """A piece of text, the left-out element around it (or 0) and what it stands in."""
+
+    text: str
+    size: int
+    within: int
+    linked: bool
+    heading: bool
+    running: bool
+    mark: int
+
+
+@dataclass
+class Aside:
+    """An element left out for its name, with what it holds."""
+
+    around: int
+    block: bool
+    size: int = 0
+    article: int = 0
+    main: bool = False
 
 
 @dataclass
 class Line:
     """Text up to the next block boundary."""
 
-    parts: list[str] = field(default_factory=list)
-    linked: int = 0
-    heading: bool = False
-    article: int = 0
+    parts: list[Part] = field(default_factory=list)
+    #: A left-out block lies here, or an edge of the article.
+    cut: bool = False
 
     def text(self) -> str:
-        return SPACES.sub(" ", "".join(self.parts)).strip()
+        return " ".join("".join(p.text for p in self.parts).split())
 
+    def own(self) -> int:
+        return sum(p.size for p in self.parts if not p.linked)
 
-def marks_aside(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element says that it is no article text."""
+    def mark(self) -> int:
+        """Number of the article, -1 for other text of ``main``, or 0."""
+        return next((p.mark for p in self.parts if p.size), 0)
+
+
+def names(token: str, parts: frozenset[str]) -> bool:
+    """Whether a whole class or id is made of words that name a part."""
+    words = set(SPLIT_NAME.split(CAMEL.sub(" ", token).lower())) - {""}
+    return bool(words & parts) and words <= parts | PARTS
+
+
+def marks_aside(tag: str, attributes: str, in_article: bool) -> str:
+    """``always`` or ``named`` for an element that says that it is no article text."""
     if tag == "header" and in_article:
-        return False
+        return ""
     if tag in ASIDE:
-        return True
+        return "named" if tag in ("form", "header") else "always"
     if not attributes or tag in KEPT and tag != "article":
-        return False
+        return ""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true":
-        return True
+        return "always"
     if "display:none" in found.get("style", "").lower().replace(" ", ""):
-        return True
+        return "always"
     if found.get("role", "").lower() in ROLES:
-        return True
+        return "named" if found["role"].lower() in ("form", "banner") else "always"
     if tag in HEADINGS:
-        return False
-    named = " ".join(found.get(k, "") for k in ("class", "id"))
-    words = set(SPLIT_NAME.split(CAMEL.sub(" ", named).lower()))
-    if tag == "article":
-        return bool(words & {"comment", "comments", "reply", "ad", "promo", "related"})
-    return bool(words & NAMES)
+        return ""
+    tokens = f"{found.get('class', '')} {found.get('id', '')}".split()
+    return "named" if any(names(t, ARTICLE_NAMES if tag == "article" else NAMES) for t in tokens) else ""
 
 
 def lines(html: str) -> list[Line]:
-    """The page's lines in order, empty ones included."""
+    """The page's lines in order, empty ones included; none without any markup."""
     out = [Line()]
-    # Open elements as (tag, whether it opened a part that is left out).
-    stack: list[tuple[str, bool]] = []
-    aside = article = mains = link = heading = articles = 0
-    at, end = 0, len(html)
+    # Open elements as (tag, how it is left out, whether it counts as the article).
+    stack: list[tuple[str, str, bool]] = []
+    asides = [Aside(0, False)]
+    always = within = article = mains = link = heading = running = articles = 0
+    at, end, tags = 0, len(html), False
 
     def add(raw: str) -> None:
-        if aside or not raw:
+        if always or not raw:
             return
         text = unescape(raw)
-        line = out[-1]
-        line.parts.append(text)
-        line.article = articles if article else -1 if mains else 0
-        if link:
-            line.linked += len(SPACES.sub("", text))
-        if heading and text.strip():
-            line.heading = True
+        mark = articles if article else -1 if mains else 0
+        size = sum(map(len, text.split()))
+        out[-1].parts.append(Part(text, size, within, link > 0, heading > 0, running > 0, mark))
+        asides[within].size += size
+        asides[within].article += size * (article > 0)
 
     def close(depth: int) -> None:
-        nonlocal aside, article, mains, link, heading
+        nonlocal always, within, article, mains, link, heading, running
         while len(stack) > depth:
-            tag, left_out = stack.pop()
-            aside -= left_out
-            article -= tag == "article"
+            tag, left_out, counts = stack.pop()
+            always -= left_out == "always"
+            if left_out == "named":
+                within = asides[within].around
+            article -= counts
             mains -= tag == "main"
             link -= tag == "a"
             heading -= tag in HEADINGS
+            running -= tag == "p"
+            if counts or tag == "main":
+                out[-1].cut = True
 
     while at < end:
         m = TOKEN.search(html, at)
@@ -140,6 +186,7 @@ def lines(html: str) -> list[Line]:
         at = m.end()
         if not m[2]:
             continue
+        tags = True
         tag, closing = m[2].lower(), bool(m[1])
         if tag in BLOCKS:
             out.append(Line())
@@ -151,11 +198,12 @@ def lines(html: str) -> list[Line]:
                     close(depth)
                     break
             continue
-        if tag in RAW and not m[3].endswith("/"):
+        ended = m[3].endswith("/") and ENDED.search(m[3])
+        if tag in RAW and not ended:
             over = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = over.end() if over else end
             continue
-        if tag in VOID or m[3].endswith("/"):
+        if tag in VOID or ended:
             continue
         # A new paragraph or item ends an open one; a part that follows the head ends it.
         if tag in BLOCKS and stack:
@@ -166,18 +214,45 @@ def lines(html: str) -> list[Line]:
                     break
                 if open_tag in BLOCKS:
                     break
-            if tag == "body" and any(t == "head" for t, _ in stack):
-                close(next(i for i, (t, _) in enumerate(stack) if t == "head"))
+            if tag == "body" and any(t == "head" for t, *_ in stack):
+                close(next(i for i, (t, *_) in enumerate(stack) if t == "head"))
         left_out = marks_aside(tag, m[3], article > 0 or mains > 0)
-        stack.append((tag, left_out))
-        aside += left_out
-        if tag == "article":
+        counts = tag == "article" and not left_out
+        stack.append((tag, left_out, counts))
+        always += left_out == "always"
+        if left_out == "named":
+            asides.append(Aside(within, tag in BLOCKS))
+            within = len(asides) - 1
+        if counts:
             articles += article == 0
             article += 1
-        mains += tag == "main"
+        if tag == "main":
+            mains += 1
+            asides[within].main = True
         link += tag == "a"
         heading += tag in HEADINGS
-    return out
+        running += tag == "p"
+        if left_out == "always" and tag in BLOCKS or counts or tag == "main":
+            out[-1].cut = True
+    return without_asides(out, asides) if tags else []
+
+
+def without_asides(page: list[Line], asides: list[Aside]) -> list[Line]:
+    """The lines without the elements left out for their names, but for those that hold the page."""
+    for a in reversed(asides[1:]):
+        around = asides[a.around]
+        around.size, around.article, around.main = around.size + a.size, around.article + a.article, around.main or a.main
+    whole = asides[0]
+    gone, blocks = [False], [False]
+    for a in asides[1:]:
+        holds = a.main or 2 * a.article > whole.article
+        holds = holds or not (whole.article or whole.main) and 2 * a.size > whole.size
+        gone.append(gone[a.around] or not holds)
+        blocks.append(gone[-1] and (blocks[a.around] or a.block))
+    for line in page:
+        line.cut = line.cut or any(blocks[p.within] for p in line.parts)
+        line.parts = [p for p in line.parts if not gone[p.within]]
+    return page
 
 
 def stretches(lengths: np.ndarray, surge: int) -> list[tuple[int, int]]:
@@ -201,15 +276,17 @@ def stretches(lengths: np.ndarray, surge: int) -> list[tuple[int, int]]:
 def main_text(html: str) -> str:
     """The blocks of a page's main text, joined by line breaks."""
     page = lines(html)
+    if not page:
+        return ""
     texts = [line.text() for line in page]
-    marked = np.array([line.article for line in page])
+    marked = np.array([line.mark() for line in page])
     filled = np.array([bool(t) for t in texts])
     region = marked > 0 if (marked > 0)[filled].any() else marked < 0
     if region[filled].any():
         # The page marks its article: nothing else has a length, and any text surges.
         found = stretches(np.where(region, [len(t) for t in texts], 0), 1)
         return "\n".join(texts[i] for a, b in found for i in range(a, b) if region[i] and texts[i])
-    own = np.array([max(0, len(t.replace(" ", "")) - line.linked) for t, line in zip(texts, page)])
+    own = np.array([line.own() for line in page])
     found = stretches(own, SURGE)
     if not found:
         return ""
@@ -219,7 +296,7 @@ def main_text(html: str) -> str:
         if s >= STRETCH * max(size):
             # A heading next above belongs to the stretch.
             above = [i for i in range(max(0, a - 2 * WINDOW), a) if texts[i]]
-            if above and page[above[-1]].heading and above[-1] not in kept:
+            if above and any(p.heading for p in page[above[-1]].parts) and above[-1] not in kept:
                 kept.append(above[-1])
             # Lines of links alone inside a stretch are lists of other pages.
             kept += [i for i in range(a, b) if texts[i] and own[i] and i not in kept[-1:]]

@@ -54,3 +54,13 @@ def test_rows(spark):
     want = [(1, "u1", text, len(text))] * 2 + [(2, None, "", 0), (None, "u3", "", 0)]
     assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
     assert extract(pages.limit(0)).collect() == []
+
+
+def test_wrappers_named_after_parts_keep_their_page():
+    for wrapper in ('class="page no-sidebar"', 'class="content-area has-sidebar"', 'id="site" class="nav-open"', 'class="post-form"', 'class="sidebar"'):
+        page = f'<body><div {wrapper}><div class="site-nav">No</div><article><div class="article-header"><h1>Title</h1></div><p>{LONG}</p></article></div></body>'
+        assert main_text(page) == f"Title\n{LONG}", wrapper
+    assert main_text(f'<form id="aspnetForm"><main><p>{LONG}</p></main></form>') == LONG
+    # Most of a page without marks, and teasers beside the article.
+    assert main_text(f'<div class="content comments"><p>{LONG}</p><p>{LONG}</p></div><div>Foot</div>').startswith(f"{LONG}\n{LONG}")
+    assert main_text(f'<article><p>{LONG}</p><p>{LONG}</p></article><div class="related"><article>{LONG}</article></div>') == f"{LONG}\n{LONG}"
