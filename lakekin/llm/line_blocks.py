@@ -1,11 +1,15 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines: a block element's begin and end each end a line, so
-structure between two texts shows as empty lines. Elements that say themselves that
-they are no article text (by tag, role, class or id) leave their lines empty, unless
-they hold the page's article or most of its text. Over the lines, text lengths outside links are summed in a sliding window: where the sums
-rise from nothing is a surge, where they fall back a dive, and the text between a
-surge and its dive is kept. A page that marks its article gives lines only there.
+Markup is stripped to lines: a block element's begin and end each end a line. Elements
+that say themselves that they are no article text (by tag, role, class or id) are left
+out, unless they hold the page's article or most of its text. Over the filled lines,
+text lengths outside links are summed in a sliding window: where the sums rise from
+nothing is a surge, where they fall back a dive. Left-out blocks and the edges of
+``article`` and ``main`` count as empty lines, the tags of nested sections do not.
+
+Lines in ``article`` or ``main`` weigh more. Articles with a surge are kept, unless a
+stretch outside has more text than any of them; then ``main``, and at last the whole
+page, takes their place, there from each surge to its dive.
 
 Defined results: a null page counts as empty and has an empty text; broken and
 unclosed markup is read as far as it goes; repeated rows repeat; an empty table
@@ -31,6 +35,8 @@ WINDOW = 3
 SURGE = 80
 #: A further stretch is kept when it has this share of the longest one's text.
 STRETCH = 0.25
+#: Weight of text that the page marks as its article.
+MARKED = 4
 
 #: Elements by their part in HTML.
 BLOCKS = frozenset(
@@ -275,25 +281,41 @@ def stretches(lengths: np.ndarray, surge: int) -> list[tuple[int, int]]:
 
 def main_text(html: str) -> str:
     """The blocks of a page's main text, joined by line breaks."""
-    page = lines(html)
+    # Filled lines, and where something was cut out a window of empty ones.
+    page: list[Line] = []
+    cut = False
+    for line in lines(html):
+        cut = cut or line.cut
+        if any(p.size for p in line.parts):
+            page += [Line() for _ in range(WINDOW * cut)] + [line]
+            cut = line.cut
     if not page:
         return ""
     texts = [line.text() for line in page]
-    marked = np.array([line.mark() for line in page])
-    filled = np.array([bool(t) for t in texts])
-    region = marked > 0 if (marked > 0)[filled].any() else marked < 0
-    if region[filled].any():
-        # The page marks its article: nothing else has a length, and any text surges.
-        found = stretches(np.where(region, [len(t) for t in texts], 0), 1)
-        return "\n".join(texts[i] for a, b in found for i in range(a, b) if region[i] and texts[i])
-    own = np.array([line.own() for line in page])
-    found = stretches(own, SURGE)
+    filled = np.array([bool(t) for t in texts], bool)
+    own = np.array([line.own() for line in page], np.int64)
+    mark = np.array([line.mark() for line in page], np.int64)
+    weighted = np.where(mark != 0, MARKED, 1) * own
+    size = lambda lengths, found: max((int(lengths[a:b].sum()) for a, b in found), default=0)
+
+    # The articles, or else the main part, unless more text surges outside.
+    for region in (mark > 0, mark != 0):
+        if not region[filled].any():
+            continue
+        group = np.where(mark > 0, mark, 0) if (region == (mark > 0)).all() else region.astype(np.int64)
+        outside = np.where(region, 0, own)
+        if size(outside, stretches(outside, SURGE)) > np.bincount(group[region], own[region]).max():
+            continue
+        risen = {int(g) for a, b in stretches(np.where(region, weighted, 0), SURGE) for g in group[a:b] if g}
+        return "\n".join(t for t, g, r in zip(texts, group, region) if t and r and (not risen or g in risen))
+
+    found = stretches(weighted, SURGE)
     if not found:
         return ""
-    size = [int(own[a:b].sum()) for a, b in found]
+    sums = [int(own[a:b].sum()) for a, b in found]
     kept = []
-    for (a, b), s in zip(found, size):
-        if s >= STRETCH * max(size):
+    for (a, b), s in zip(found, sums):
+        if s >= STRETCH * max(sums):
             # A heading next above belongs to the stretch.
             above = [i for i in range(max(0, a - 2 * WINDOW), a) if texts[i]]
             if above and any(p.heading for p in page[above[-1]].parts) and above[-1] not in kept:

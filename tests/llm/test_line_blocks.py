@@ -64,3 +64,14 @@ def test_wrappers_named_after_parts_keep_their_page():
     # Most of a page without marks, and teasers beside the article.
     assert main_text(f'<div class="content comments"><p>{LONG}</p><p>{LONG}</p></div><div>Foot</div>').startswith(f"{LONG}\n{LONG}")
     assert main_text(f'<article><p>{LONG}</p><p>{LONG}</p></article><div class="related"><article>{LONG}</article></div>') == f"{LONG}\n{LONG}"
+
+
+def test_windows_decide_on_marked_pages():
+    story = "".join(f"<p>{LONG} {i}</p>" for i in range(4))
+    text = "\n".join(f"{LONG} {i}" for i in range(4))
+    cards = "".join(f"<article><a href=/{i}>Teaser {i}</a></article>" for i in range(3))
+    assert main_text(f"<body><div>{story}</div>{cards}</body>") == text
+    assert text in main_text(f"<div>{story}</div><article><p>{LONG}</p></article>")
+    assert text in main_text(f"<main><div>{story}</div><article><p>{LONG}</p></article></main>")
+    # Cards of links do not surge, other articles do.
+    assert main_text(f"<article>{story}</article>{cards}<article><p>Another short article.</p></article>") == text + "\nAnother short article."
