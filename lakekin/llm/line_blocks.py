@@ -9,7 +9,9 @@ nothing is a surge, where they fall back a dive. Left-out blocks and the edges o
 
 Lines in ``article`` or ``main`` weigh more. Articles with a surge are kept, unless a
 stretch outside has more text than any of them; then ``main``, and at last the whole
-page, takes their place, there from each surge to its dive.
+page, takes their place: all from the first surge to the last dive but lists of links.
+Where nothing surges, all text of the same part is kept. A string without any markup
+is no page and gives nothing.
 
 Defined results: a null page counts as empty and has an empty text; broken and
 unclosed markup is read as far as it goes; repeated rows repeat; an empty table
@@ -33,8 +35,6 @@ from lakekin.llm import text as tx
 #: Lines in a window, and the text a surge needs.
 WINDOW = 3
 SURGE = 80
-#: A further stretch is kept when it has this share of the longest one's text.
-STRETCH = 0.25
 #: Weight of text that the page marks as its article.
 MARKED = 4
 
@@ -310,19 +310,23 @@ def main_text(html: str) -> str:
         return "\n".join(t for t, g, r in zip(texts, group, region) if t and r and (not risen or g in risen))
 
     found = stretches(weighted, SURGE)
-    if not found:
-        return ""
-    sums = [int(own[a:b].sum()) for a, b in found]
-    kept = []
-    for (a, b), s in zip(found, sums):
-        if s >= STRETCH * max(sums):
-            # A heading next above belongs to the stretch.
-            above = [i for i in range(max(0, a - 2 * WINDOW), a) if texts[i]]
-            if above and any(p.heading for p in page[above[-1]].parts) and above[-1] not in kept:
-                kept.append(above[-1])
-            # Lines of links alone inside a stretch are lists of other pages.
-            kept += [i for i in range(a, b) if texts[i] and own[i] and i not in kept[-1:]]
-    return "\n".join(texts[i] for i in kept)
+    first, last = (found[0][0], found[-1][1]) if found else (0, len(page))
+    # A heading next above belongs to the stretch.
+    above = [i for i in range(max(0, first - 2 * WINDOW), first) if texts[i]]
+    if above and any(p.heading for p in page[above[-1]].parts):
+        first = above[-1]
+    # Many lines of links alone are lists of other pages.
+    loose = [bool(t) and not n and not any(p.running or p.heading for p in line.parts) for t, n, line in zip(texts, own, page)]
+    kept, i = [], first
+    while i < last:
+        stop = i
+        while stop < last and loose[stop]:
+            stop += 1
+        if stop - i < WINDOW:
+            stop = max(stop, i + 1)
+            kept += [t for t in texts[i:stop] if t]
+        i = stop
+    return "\n".join(kept)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

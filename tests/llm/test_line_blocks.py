@@ -75,3 +75,13 @@ def test_windows_decide_on_marked_pages():
     assert text in main_text(f"<main><div>{story}</div><article><p>{LONG}</p></article></main>")
     # Cards of links do not surge, other articles do.
     assert main_text(f"<article>{story}</article>{cards}<article><p>Another short article.</p></article>") == text + "\nAnother short article."
+
+
+def test_short_sections_are_kept():
+    between = "</p></div></section><section><div><p>"
+    parts = ["Short introduction.", LONG * 8, "Short middle.", f"<a href=/x>All of it is a link</a>", LONG, "The end."]
+    want = [p.replace("<a href=/x>", "").replace("</a>", "") for p in parts]
+    assert main_text(f"<body><section><div><p>{between.join(parts)}</p></div></section></body>") == "\n".join(want)
+    assert main_text("<body><div><p>A short article.</p></div></body>") == "A short article."
+    links = "<ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul>"
+    assert main_text(f"<p>{LONG} a</p><p>{LONG} b</p>{links}<p>Near.</p>{links}<p>{LONG} c</p><p>{LONG} d</p>") == f"{LONG} a\n{LONG} b\nNear.\n{LONG} c\n{LONG} d"
