@@ -1,7 +1,7 @@
 """Secret scanning: fixed patterns, and a character network for what they miss.
 
-Three patterns give the base findings. Every other long run of key characters is a
-candidate; a small convolutional network reads it with its surroundings, whole
+Three patterns give the base findings. Every other long run of key characters, or the
+rest of one beside a base finding, is a candidate; a small convolutional network reads it with its surroundings, whole
 however long, and adds it when its calibrated probability reaches a threshold that
 keeps a set recall on held-out findings. The network is trained in numpy on labelled
 findings: a bounded sample of the corpus's base findings, and generated secrets and
@@ -46,12 +46,12 @@ _NOT_HEX = np.ones(256, bool)
 _NOT_HEX[list(b"0123456789abcdef")] = False
 _NOT_KEY = np.ones(256, bool)
 _NOT_KEY[list((string.ascii_letters + string.digits + "+/_=-").encode())] = False
-_DIGIT = np.zeros(256, bool)
-_DIGIT[list(string.digits.encode())] = True
 _SETS = np.zeros(256, bool)
 _SETS[list(b":=")] = True
 
 WIDTH, EMBED, FILTERS = 5, 8, 24
+#: Windows of a long candidate that are read at once.
+PIECE = 1 << 16
 
 
 # --- the network -----------------------------------------------------------------
@@ -90,6 +90,19 @@ class Network:
         pooled = np.concatenate([a.max(axis=1), a.sum(axis=1) / seen.sum(axis=1)], axis=1)
         return windows, z, seen, top, pooled
 
+    def pooled(self, rows: list[tuple[bytes, int, int]]) -> np.ndarray:
+        """Responses over each row; a single long row is read in pieces."""
+        if len(rows) > 1 or len(rows[0][0]) <= PIECE:
+            return self.respond(*padded(rows))[-1]
+        ((raw, start, end),) = rows
+        n, top, total = len(raw) - WIDTH + 1, [], []
+        for at in range(0, n, PIECE):
+            part = raw[at : at + PIECE + WIDTH - 1]
+            own = self.respond(*padded([(part, max(0, start - at), max(0, end - at))]))[-1]
+            top.append(own[:, :FILTERS])
+            total.append(own[:, FILTERS:] * (len(part) - WIDTH + 1))
+        return np.concatenate([np.max(top, axis=0), np.sum(total, axis=0) / n], axis=1)
+
     def probability(self, rows: list[tuple[bytes, int, int]]) -> np.ndarray:
         """Calibrated probabilities; rows of similar length are read together."""
         found = np.zeros(len(rows))
@@ -100,7 +113,7 @@ class Network:
             while stop < len(order) and (stop - at) < 256 and len(rows[order[stop]][0]) * (stop - at) < 1 << 16:
                 stop += 1
             part = order[at:stop]
-            pooled = self.respond(*padded([rows[i] for i in part]))[-1]
+            pooled = self.pooled([rows[i] for i in part])
             logit = pooled @ self.out + self.shift
             found[part] = 1 / (1 + np.exp(-self.scale * logit))
             at = stop
@@ -119,11 +132,14 @@ def padded(rows: list[tuple[bytes, int, int]]) -> tuple[np.ndarray, np.ndarray,
     return chars, inside, mask
 
 
-def train(rows: list[tuple[bytes, int, int]], labels: np.ndarray, epochs: int = 6, seed: int = 7) -> Network:
-    """Fit on four fifths; calibrate and set the threshold on the rest."""
+def train(rows: list[tuple[bytes, int, int]], labels: np.ndarray, epochs: int = 6, seed: int = 7, more: list[tuple[bytes, int, int]] = ()) -> Network:
+    """Fit on four fifths and ``more`` secrets; calibrate and set the threshold on the rest."""
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     held, used = order[: len(rows) // 5], order[len(rows) // 5 :]
+    # Base findings are no candidates: learned from, but no part of the recall.
+    used = np.concatenate([used, np.arange(len(rows), len(rows) + len(more))])
+    rows, labels = rows + list(more), np.concatenate([labels, np.ones(len(more))])
     net = Network.fresh(rng)
     names = ("embed", "kernel", "bias", "out")
     first = {n: np.zeros_like(getattr(net, n)) for n in names}
@@ -175,7 +191,11 @@ def train(rows: list[tuple[bytes, int, int]], labels: np.ndarray, epochs: int =
 
 
 def generated(rng: np.random.Generator, words: list[str], n: int = GENERATED) -> tuple[list[tuple[bytes, int, int]], np.ndarray]:
-    """Secrets of common shapes and look-alikes, each set between words."""
+    """Candidates with secrets of common shapes and look-alikes, each set between words.
+
+    They come from the texts by the same step as in a scan; what the base patterns
+    find is left to them.
+    """
     low, hexa, b64 = string.ascii_lowercase, "0123456789abcdef", string.ascii_letters + string.digits + "+/"
     key = string.ascii_letters + string.digits
     one = lambda values: values[int(rng.integers(len(values)))]
@@ -203,6 +223,8 @@ def generated(rng: np.random.Generator, words: list[str], n: int = GENERATED) ->
         lambda: pick(one("-=_/+"), int(rng.integers(16, 60))),
         lambda: word() + "-" + word() + "-" + pick(string.digits, 3) + "-" + word(),
         lambda: pick(low, 1) * int(rng.integers(16, 40)),
+        lambda: "".join(word() for _ in range(int(rng.integers(2, 6)))),
+        lambda: "".join(word() for _ in range(int(rng.integers(2, 6)))).lower().capitalize(),
     ]
     rows, labels = [], []
     for i in range(n):
@@ -212,9 +234,12 @@ def generated(rng: np.random.Generator, words: list[str], n: int = GENERATED) ->
             value += value
         before = " ".join(one(words) for _ in range(4)) + one([" ", " ", ": ", "=", ' "'])
         after = " " + " ".join(one(words) for _ in range(3))
-        left, right = before.encode()[-BEFORE:], after.encode()[:AFTER]
-        rows.append((left + value.encode() + right, len(left), len(left) + len(value)))
-        labels.append(label)
+        start = len(before.encode())
+        texts = pa.array([before + value + after], pa.string())
+        for row, (_, (a, b)) in zip(*candidates(*tx.utf8(texts), scan_block(texts, None, points=False))):
+            if a < start + len(value) and start < b:
+                rows.append(row)
+                labels.append(label)
     return rows, np.array(labels, float)
 
 
@@ -241,7 +266,7 @@ def fit(docs: DataFrame, text_col: str = "text", seed: int = 7) -> Network:
             left = raw[max(0, m.start() - BEFORE) : m.start()]
             right = raw[m.end() : m.end() + AFTER]
             real.append((left + m.group() + right, len(left), len(left) + len(m.group())))
-    return train(rows + real, np.concatenate([labels, np.ones(len(real))]), seed=seed)
+    return train(rows, labels, seed=seed, more=real)
 
 
 # --- scanning --------------------------------------------------------------------
@@ -259,8 +284,29 @@ def base_spans(raw: bytes) -> list[tuple[int, int, int]]:
     return found
 
 
-def scan_block(texts: pa.Array, net: Network | None) -> list[list[tuple[int, int, int]]]:
-    """Per text the sorted ``start, kind, end`` of all spans, in code points."""
+def candidates(data: np.ndarray, offsets: np.ndarray, found: list[list[tuple[int, int, int]]]) -> tuple[list, list]:
+    """Runs of key characters outside the base spans, with their surroundings, and
+    ``text, (start, end)`` of each in bytes."""
+    raw = data.tobytes()
+    starts, ends = tx.spans(data, offsets, _NOT_KEY)
+    long = ends - starts >= LEAST["model"]
+    rows, at = [], []
+    for s, e, doc in zip(starts[long], ends[long], tx.owners(offsets, starts[long])):
+        first = int(offsets[doc])
+        own, end, pieces = int(s) - first, int(e) - first, []
+        for start, _, stop in sorted(x for x in found[doc] if own < x[2] and x[0] < end):
+            pieces.append((own, start))
+            own = max(own, stop)
+        for a, b in [*pieces, (own, end)]:
+            if b - a >= LEAST["model"]:
+                left, right = max(first, first + a - BEFORE), min(int(offsets[doc + 1]), first + b + AFTER)
+                rows.append((raw[left:right], first + a - left, first + b - left))
+                at.append((doc, (a, b)))
+    return rows, at
+
+
+def scan_block(texts: pa.Array, net: Network | None, points: bool = True) -> list[list[tuple[int, int, int]]]:
+    """Per text the sorted ``start, kind, end`` of all spans, in code points or bytes."""
     data, offsets = tx.utf8(texts)
     n = len(offsets) - 1
     raw = data.tobytes()
@@ -275,27 +321,15 @@ def scan_block(texts: pa.Array, net: Network | None) -> list[list[tuple[int, int
     for s, e, doc in zip(starts[long], ends[long], tx.owners(offsets, starts[long])):
         found[doc].append((int(s - offsets[doc]), 2, int(e - offsets[doc])))
     if net is not None:
-        starts, ends = tx.spans(data, offsets, _NOT_KEY)
-        long = ends - starts >= LEAST["model"]
-        starts, ends = starts[long], ends[long]
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        some = digits[ends] > digits[starts]
-        rows, at = [], []
-        for s, e, doc in zip(starts[some], ends[some], tx.owners(offsets, starts[some])):
-            own = (int(s - offsets[doc]), int(e - offsets[doc]))
-            if any(own[0] < end and start < own[1] for start, _, end in found[doc]):
-                continue
-            left, right = max(offsets[doc], s - BEFORE), min(offsets[doc + 1], e + AFTER)
-            rows.append((raw[left:right], int(s - left), int(e - left)))
-            at.append((doc, own))
+        rows, at = candidates(data, offsets, found)
         for (doc, (s, e)), p in zip(at, net.probability(rows) if rows else []):
             if p >= net.threshold:
                 found[doc].append((s, 3, e))
     for doc in range(n):
-        if found[doc]:
+        if found[doc] and points:
             own = data[offsets[doc] : offsets[doc + 1]]
-            points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
-            found[doc] = sorted((int(points[s]), k, int(points[e])) for s, k, e in found[doc])
+            place = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
+            found[doc] = sorted((int(place[s]), k, int(place[e])) for s, k, e in found[doc])
     return found
 
 

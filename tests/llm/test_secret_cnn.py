@@ -1,5 +1,6 @@
 import hashlib
 import re
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -86,3 +87,23 @@ def test_fit_on_a_corpus(make_docs, no_docs):
     df = make_docs([(i, f"some words here AKIA{i:016d} and more", "s") for i in range(5)])
     assert len(s.sampled(df, "text")) == 5 and s.sampled(no_docs, "text") == []
     assert s.scan(no_docs, None).collect() == []
+
+
+def test_every_key_run_is_judged():
+    every = SimpleNamespace(probability=lambda rows: np.ones(len(rows)), threshold=0.5)
+    text = "é qWertYuIopAsDfGhJkLz sk_live_0123456789abcdef01234567XYZqweRTYasdFGHzxc short"
+    (found,) = s.scan_block(pa.array([text]), every)
+    assert [(k, text[a:b]) for a, k, b in found] == [(3, "qWertYuIopAsDfGhJkLz"), (2, "0123456789abcdef01234567"), (3, "XYZqweRTYasdFGHzxc")]
+
+
+def test_secrets_without_digits(net):
+    rng = np.random.default_rng(5)
+    keys = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"), 32)) for _ in range(200)]
+    found = s.scan_block(pa.array([f"some words {k} and more" for k in keys]), net)
+    assert np.mean([any(x[1] == 3 for x in f) for f in found]) >= 0.9
+
+
+def test_long_candidates_are_read_in_pieces(net):
+    raw = b"k=" + b"Ab3-" * 40_000
+    whole = net.respond(*s.padded([(raw, 2, len(raw))]))[-1]
+    assert np.allclose(net.pooled([(raw, 2, len(raw))]), whole)
