@@ -36,7 +36,8 @@ SAMPLE_FINDINGS = 512
 SAMPLE_CONTEXT = 60
 #: Generated examples, half of them secrets.
 GENERATED = 3000
-#: Share of held-out secrets that the threshold must keep, and the least probability.
+#: Share of held-out secrets that the threshold must keep, and the least probability
+#: where that share allows it.
 RECALL = 0.98
 LEAST_PROBABILITY = 0.5
 #: Bytes of context before and after a candidate.
@@ -183,7 +184,8 @@ def train(rows: list[tuple[bytes, int, int]], labels: np.ndarray, epochs: int =
     # likeliest look-alike any other is as good, so take the middle.
     allowed = float(secret[int((1 - RECALL) * len(secret))]) if len(secret) else 1.0
     worst = min(allowed, float(plain.max())) if len(plain) else 0.0
-    net.threshold = max(LEAST_PROBABILITY, (allowed + worst) / 2)
+    # A little below, as the same probability may come out with another last digit.
+    net.threshold = min(allowed * (1 - 1e-9), max(LEAST_PROBABILITY, (allowed + worst) / 2))
     return net
 
 

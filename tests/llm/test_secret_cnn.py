@@ -107,3 +107,10 @@ def test_long_candidates_are_read_in_pieces(net):
     raw = b"k=" + b"Ab3-" * 40_000
     whole = net.respond(*s.padded([(raw, 2, len(raw))]))[-1]
     assert np.allclose(net.pooled([(raw, 2, len(raw))]), whole)
+
+
+def test_recall_comes_before_the_floor():
+    rows, labels = [(b"k=" + b"Ab3" * 9, 2, 29)] * 400, (np.arange(400) % 4 == 0).astype(float)
+    net = s.train(rows, labels)
+    assert net.threshold < s.LEAST_PROBABILITY
+    assert (net.probability(rows)[labels > 0] >= net.threshold).mean() >= s.RECALL
