@@ -366,8 +366,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Two different sets of one repeated id keep their own classes through that id.
     pairs, crowded = candidates(classes.select("rep", F.col("n_shingles").alias("n"), "labels").dropDuplicates(["rep"]))
 
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    # Documents with candidates grow with the corpus: planned alike at every size.
+    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+    # The exact join takes every crowded document, with or without candidates.
+    ends = ends.union(crowded.select(F.col("rep").alias("doc_id"))).distinct()
+    # These documents grow with the corpus: planned alike at every size.
     sets = sets_of(narrow.join(ends.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id"])
     sets = materialize(sets, "sets")
 

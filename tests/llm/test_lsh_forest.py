@@ -150,3 +150,15 @@ def test_empty_and_kept_rows(no_docs, edge_docs, edge_rows):
     want = brute(edge_rows)
     found = {r["doc_id"] for r in kept.collect()}
     assert {i for i in found if i is not None} == {i for i in want if want[i] == i} and None in found
+
+
+def test_crowded_documents_without_candidates_are_joined(make_docs, monkeypatch):
+    texts = [" ".join(f"w{k}" for k in range(60)) + f" end{i}" for i in range(4)]
+    docs = make_docs([(i, t, "s") for i, t in enumerate(texts)])
+
+    def none_offered(classes):
+        pairs = classes.selectExpr("rep as a", "rep as b", "1 as trees").filter("a < 0")
+        return pairs, classes.select("rep")
+
+    monkeypatch.setattr(lsh_forest, "candidates", none_offered)
+    assert {r["component_id"] for r in lsh_forest.near_groups(docs).collect()} == {0}
