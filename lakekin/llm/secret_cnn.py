@@ -225,8 +225,6 @@ def generated(rng: np.random.Generator, words: list[str], n: int = GENERATED) ->
         lambda: pick(one("-=_/+"), int(rng.integers(16, 60))),
         lambda: word() + "-" + word() + "-" + pick(string.digits, 3) + "-" + word(),
         lambda: pick(low, 1) * int(rng.integers(16, 40)),
-        lambda: "".join(word() for _ in range(int(rng.integers(2, 6)))),
-        lambda: "".join(word() for _ in range(int(rng.integers(2, 6)))).lower().capitalize(),
     ]
     rows, labels = [], []
     for i in range(n):
