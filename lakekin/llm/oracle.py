@@ -179,6 +179,82 @@ SELECT doc_id, f.host, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_r
 FROM f JOIN v ON f.host IS NOT DISTINCT FROM v.host
 """
 
+#: CRC-32 of the bytes whose hex text is {hex}.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all({hex}, '..'), lambda x: ('0x' || x)::BIGINT)),
+         lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"""
+
+#: A leaf of the manifest; {text} is the text or the tampered text.
+MERKLE_LEAF = """sha256(array_to_string(list_transform([doc_id::VARCHAR, source, lang, n_chars::VARCHAR, {text}],
+         lambda v: coalesce(strlen(v) || ':' || v, '-')), ''))"""
+
+MERKLE_MANIFEST = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, {MERKLE_LEAF.format(text="text")} AS leaf, {MERKLE_LEAF.format(text="replace(text, chr(10), '')")} AS changed,
+         coalesce({CRC32.format(hex="hex(doc_id::VARCHAR)")} % 2 = 0, false) AS tampered
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER w - 1 AS pos FROM d WINDOW w AS (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf)
+), up AS (
+  SELECT source, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY source) AS n FROM leaves
+  UNION ALL
+  SELECT source, level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3
+  FROM up WHERE n > 1 GROUP BY source, level, pos // 3
+), subroots AS (
+  SELECT source, h AS subroot, level AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos FROM up WHERE n = 1
+), top AS (
+  SELECT 0 AS level, pos, subroot AS h, count(*) OVER () AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY level, pos // 3
+), low_steps AS (
+  SELECT l.source, l.pos, u.level, coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos < l.pos // (3 ** u.level)::BIGINT), '') AS lefts,
+         coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (u.pos > l.pos // (3 ** u.level)::BIGINT), '') AS rights
+  FROM leaves l JOIN up u ON u.source IS NOT DISTINCT FROM l.source AND u.n > 1 AND u.pos // 3 = l.pos // (3 ** (u.level + 1))::BIGINT
+  GROUP BY l.source, l.pos, u.level
+), top_steps AS (
+  SELECT s.source, t.level, coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < s.pos // (3 ** t.level)::BIGINT), '') AS lefts,
+         coalesce(string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > s.pos // (3 ** t.level)::BIGINT), '') AS rights
+  FROM subroots s JOIN top t ON t.n > 1 AND t.pos // 3 = s.pos // (3 ** (t.level + 1))::BIGINT
+  GROUP BY s.source, t.level
+), steps AS (
+  SELECT source, pos, level, lefts, rights FROM low_steps
+  UNION ALL
+  SELECT l.source, l.pos, 1000 + t.level, t.lefts, t.rights FROM leaves l JOIN top_steps t ON t.source IS NOT DISTINCT FROM l.source
+), paths AS (
+  SELECT source, pos, list(lefts ORDER BY level) AS lefts, list(rights ORDER BY level) AS rights FROM steps GROUP BY source, pos
+), whole AS (
+  SELECT l.doc_id, l.leaf, CASE WHEN l.tampered THEN l.changed ELSE l.leaf END AS shown, s.subroot, (SELECT h FROM top WHERE n = 1) AS root,
+         coalesce(p.lefts, []) AS lefts, coalesce(p.rights, []) AS rights
+  FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+  LEFT JOIN paths p ON p.source IS NOT DISTINCT FROM l.source AND p.pos = l.pos
+), folding AS (
+  SELECT *, 0 AS done, shown AS cur FROM whole
+  UNION ALL
+  SELECT * EXCLUDE (done, cur), done + 1, sha256(lefts[done + 1] || cur || rights[done + 1]) FROM folding WHERE done < len(lefts)
+)
+SELECT doc_id, leaf, subroot, root,
+       sha256(array_to_string(list_transform(range(1, len(lefts) + 1), lambda i: lefts[i] || rights[i]), '')) AS proof_sha256,
+       cur AS folded_root, cur = root AS verified
+FROM folding WHERE done = len(lefts)
+"""
+
+#: One heap step per group, for as many groups as one heap of the operator takes.
+LPT_SHARDS = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, strlen(coalesce(text, '')) + 1 AS size FROM documents
+), g AS (
+  SELECT text, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY sum(size) DESC, min(doc_id), sha256(text)) AS i FROM d GROUP BY text
+), heap AS (
+  SELECT 0::BIGINT AS i, -1 AS shard, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[] AS loads
+  UNION ALL
+  SELECT g.i, list_position(loads, list_min(loads)) - 1,
+         list_transform(loads, lambda l, k: l + CASE WHEN k = list_position(loads, list_min(loads)) THEN g.size ELSE 0 END)
+  FROM heap JOIN g ON g.i = heap.i + 1
+)
+SELECT doc_id, d.size, {CRC32.format(hex="hex(d.text)")} AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, sha256(d.text)) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN g USING (text) JOIN heap USING (i)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -187,4 +263,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_winnow_lines": WINNOW_LINES,
         "op7_exact_dedup": EXACT_DEDUP,
         "op8_host_rules": HOST_RULES,
+        "op11_merkle_manifest": MERKLE_MANIFEST,
+        "op13_lpt_shards": LPT_SHARDS,
     }

@@ -13,10 +13,13 @@ from lakekin.llm import (
     host_rules,
     line_blocks,
     lsh_forest,
+    merkle,
     mixing,
     packing,
     secret_cnn,
+    sharding,
     warc_revisit,
+    whitening,
     winnowing,
 )
 from lakekin.session import materialize
@@ -113,3 +116,29 @@ def op3_pack_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_winnow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.dedup_lines(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_deleted", F.sha2("text", 256).alias("text_sha256"))
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "leaf", "subroot", "root", merkle.sibling_digest(F.col("steps")).alias("proof_sha256"), "folded_root", "verified")
+
+
+@register
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op13_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts dealt to eight shards so that bytes are level."""
+    found = sharding.shard_rows(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
