@@ -12,12 +12,13 @@ in a text are encoded as such; repeated rows repeat; other columns are not neede
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,8 @@ END = "</w>"
 PLAIN = 0x180
 #: Stands for the mark at the end of a word; no symbol of a vocabulary.
 MARK = "\u0100"
-#: Trie nodes and words a worker keeps before it starts afresh.
+MARK_SYMBOL = ord(MARK)
+#: Trie nodes a worker keeps before it starts afresh; words it keeps, in two generations.
 MAX_NODES = 500_000
 MAX_WORDS = 180_000
 
@@ -55,7 +57,7 @@ class TrieEncoder:
     def __init__(self, path: str, max_nodes: int = MAX_NODES, max_words: int = MAX_WORDS):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         vocab: dict[str, int] = model["model"]["vocab"]
         #: Inside, a byte's symbol is the character of its number.
         self.bytes_of = {s: b for b, s in enumerate(byte_symbols())}
@@ -63,30 +65,89 @@ class TrieEncoder:
         self.names = {i: t for t, i in [*vocab.items(), *self.special.items()]}
         self.cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self.plain = self.plain_split()
-        self.tokens = {self.own(t): i for t, i in vocab.items()}
-        self.text_of = {i: t for t, i in self.tokens.items()}
-        self.longest = max(map(len, self.tokens))
         #: what two tokens merge to and when; what a token was merged from.
-        self.merge: dict[tuple[int, int], int] = {}
+        self.merge: dict[int, int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.age = dict.fromkeys(self.names, -1)
         for rank, (a, b) in enumerate(model["model"]["merges"]):
             left, right, both = vocab[a], vocab[b], vocab[a + b]
-            self.merge[left, right] = rank
+            self.merge[left << 32 | right] = rank
             if both not in self.parts:
                 self.parts[both] = (left, right)
                 self.age[both] = rank
-        self.follows: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
+        self.build_automaton(vocab)
         self.max_nodes, self.max_words = max_nodes, max_words
         self.reset()
 
     def reset(self) -> None:
-        #: child of node and symbol; per node its last token and the node before that.
+        self.clear_trie()
+        #: per word its ids in decimal, and its tokens, each joined by spaces.
+        self.ids_of: dict[str, str] = {}
+        self.names_of: dict[str, str] = {}
+        #: the words of the generation before, to be kept when they are met again.
+        self.older: tuple[dict[str, str], dict[str, str]] = ({}, {})
+
+    def clear_trie(self) -> None:
+        #: child of node and symbol; per node its last token, the node before that,
+        #: and where the vocabulary's automaton stands.
         self.child: dict[int, int] = {}
-        self.last, self.back = array("i", [-1]), array("i", [0])
-        #: per word its ids in decimal and its tokens, both joined by spaces.
-        self.known: dict[str, tuple[str, str]] = {}
+        self.last, self.back, self.stand = array("i", [-1]), array("i", [0]), array("i", [0])
+        #: answers met before: of may_follow(), and of step() where a suffix goes on.
+        self.follows: dict[int, bool] = {}
+        self.moves: dict[int, int] = {}
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        """Read only when a text needs the library's tables of rare scripts."""
+        return Tokenizer.from_file(self.path)
+
+    def build_automaton(self, vocab: dict[str, int]) -> None:
+        """All suffixes of a prefix that are tokens, found by one step per symbol.
+
+        States are the prefixes of tokens. ``fall`` leads to the longest proper suffix
+        that is a state, ``ends`` to the longest suffix, the state itself included, that
+        is a token which its own symbols merge to.
+        """
+        own = {self.own(t): i for t, i in vocab.items()}
+        self.goto: dict[int, int] = {}
+        self.token, self.size = array("i", [-1]), array("i", [0])
+        above, symbols = array("i", [0]), array("i", [0])
+        states: dict[str, int] = {"": 0}
+        for text in own:
+            at = 0
+            for depth, c in enumerate(text, 1):
+                step = at << 9 | ord(c)
+                at = self.goto.get(step)
+                if at is None:
+                    at = self.goto[step] = len(self.token)
+                    self.token.append(-1)
+                    self.size.append(depth)
+                    above.append(step >> 9)
+                    symbols.append(ord(c))
+            states[text] = at
+        for text, i in own.items():
+            if self.is_sound(i):
+                self.token[states[text]] = i
+        n = len(self.token)
+        self.fall, self.ends, self.next_end = array("i", [0]) * n, array("i", [0]) * n, array("i", [0]) * n
+        for state in sorted(range(1, n), key=self.size.__getitem__):
+            if self.size[state] > 1:
+                self.fall[state] = self.step(self.fall[above[state]], symbols[state])
+            after = self.ends[self.fall[state]]
+            self.next_end[state] = after
+            self.ends[state] = state if self.token[state] >= 0 else after
+
+    def step(self, state: int, symbol: int) -> int:
+        """The state of the longest suffix after one more symbol."""
+        goto, fall = self.goto, self.fall
+        found = goto.get(state << 9 | symbol)
+        while found is None:
+            if not state:
+                return 0
+            state = fall[state]
+            found = goto.get(state << 9 | symbol)
+        return found
 
     def own(self, token: str) -> str:
         """A token as characters of byte numbers, and one mark at the end of a word."""
@@ -111,27 +172,22 @@ class TrieEncoder:
         the two. So undo the merges of both next to the border, youngest first, and
         look at each pair that then meets there.
         """
-        key = left << 32 | right
-        known = self.follows.get(key)
-        if known is None:
-            a, b, known = left, right, True
-            undone_a = undone_b = len(self.merge) + 1
-            while True:
-                # Left of two equally ready pairs goes first: a merge over the border
-                # beats an equal one to its right, not one to its left.
-                over = self.merge.get((a, b))
-                if over is not None and over < undone_a and over <= undone_b:
-                    known = False
-                    break
-                age_a, age_b = self.age[a], self.age[b]
-                if age_a < 0 and age_b < 0:
-                    break
-                if age_a >= age_b:
-                    undone_a, a = age_a, self.parts[a][1]
-                else:
-                    undone_b, b = age_b, self.parts[b][0]
-            self.follows[key] = known
-        return known
+        merge, age = self.merge, self.age
+        a, b = left, right
+        undone_a = undone_b = len(merge) + 1
+        while True:
+            # Left of two equally ready pairs goes first: a merge over the border
+            # beats an equal one to its right, not one to its left.
+            over = merge.get(a << 32 | b)
+            if over is not None and over < undone_a and over <= undone_b:
+                return False
+            age_a, age_b = age[a], age[b]
+            if age_a < 0 and age_b < 0:
+                return True
+            if age_a >= age_b:
+                undone_a, a = age_a, self.parts[a][1]
+            else:
+                undone_b, b = age_b, self.parts[b][0]
 
     def is_sound(self, token: int) -> bool:
         """Whether merging the token's own symbols gives the token."""
@@ -149,7 +205,7 @@ class TrieEncoder:
         """Whether no merge over the border of ``a`` and ``b`` comes before ``rank``."""
         undone_a = undone_b = rank
         while True:
-            over = self.merge.get((a, b))
+            over = self.merge.get(a << 32 | b)
             if over is not None and over < undone_a and over <= undone_b and over != rank:
                 return False
             age_a, age_b = self.age[a], self.age[b]
@@ -160,58 +216,83 @@ class TrieEncoder:
             else:
                 undone_b, b = age_b, self.parts[b][0]
 
-    def insert(self, words: list[str]) -> list[int]:
+    def insert(self, words: list[bytes]) -> list[int]:
         """Insert words in sorted order, which walks the trie depth first.
 
         The path to the word before is the stack; nodes shared with it are kept, and
-        each new node gets its state from the nodes above it. A word's last step is
-        its last symbol with the mark.
+        each new node gets its state from the nodes above it: the automaton names the
+        tokens that end there, longest first, and the first that may follow the last
+        token of what precedes it is the one. A word's last step is its last symbol
+        with the mark.
         """
         ends = [0] * len(words)
-        path, before = [0], ""
-        child, last, back = self.child, self.last, self.back
+        path, before = [0], b""
+        child, last, back, stand = self.child, self.last, self.back, self.stand
+        goto, step, token, size, ends_at, next_end = self.goto, self.step, self.token, self.size, self.ends, self.next_end
+        follows, moves, may_follow = self.follows, self.moves, self.may_follow
         for at in sorted(range(len(words)), key=words.__getitem__):
             word = words[at]
-            size = len(word)
+            final = len(word) - 1
             shared = 0
-            for a, b in zip(before, word[:-1]):
-                if a != b:
+            for a, b in zip(before, word):
+                if a != b or shared == final:
                     break
                 shared += 1
             del path[shared + 1 :]
-            for depth in range(shared, size):
-                final = depth == size - 1
-                key = path[-1] << 22 | ord(word[depth]) << 1 | final
+            for depth in range(shared, final + 1):
+                symbol = word[depth]
+                above = path[-1]
+                key = above << 9 | symbol << 1 | (depth == final)
                 node = child.get(key)
                 if node is None:
                     node = child[key] = len(last)
-                    prefix = word + MARK if final else word[: depth + 1]
-                    token, start = self.state(prefix, depth + 1, path)
-                    last.append(token)
+                    state = stand[above]
+                    move = state << 9 | symbol
+                    state = goto.get(move)
+                    if state is None:
+                        state = moves.get(move)
+                        if state is None:
+                            state = moves[move] = step(move >> 9, symbol)
+                    stand.append(state)
+                    end = depth + 1
+                    if depth == final:
+                        move = state << 9 | MARK_SYMBOL
+                        state = moves.get(move)
+                        if state is None:
+                            state = moves[move] = step(move >> 9, MARK_SYMBOL)
+                        end += 1
+                    found = ends_at[state]
+                    while found:
+                        start = end - size[found]
+                        if start <= 0:
+                            start = 0
+                            break
+                        pair = last[path[start]] << 32 | token[found]
+                        known = follows.get(pair)
+                        if known is None:
+                            known = follows[pair] = may_follow(last[path[start]], token[found])
+                        if known:
+                            break
+                        found = next_end[found]
+                    else:
+                        raise ValueError("the vocabulary lacks a byte symbol")
+                    last.append(token[found])
                     back.append(path[start])
                 path.append(node)
             ends[at] = path.pop()
             before = word[:-1]
         return ends
 
-    def state(self, prefix: str, end: int, path: list[int]) -> tuple[int, int]:
-        """Last token of a prefix and where it starts; the longest candidate first."""
-        tokens, last = self.tokens, self.last
-        for start in range(max(0, end - self.longest), end):
-            token = tokens.get(prefix[start:])
-            if token is not None and self.is_sound(token):
-                if start == 0 or self.may_follow(last[path[start]], token):
-                    return token, start
-        raise ValueError("the vocabulary lacks a byte symbol")
-
-    def word_ids(self, words: list[str]) -> list[tuple[int, ...]]:
+    def word_ids(self, words: list[str]) -> list[list[int]]:
+        last, back = self.last, self.back
         found = []
-        for node in self.insert([w.encode().decode("latin-1") for w in words]):
+        for node in self.insert([w.encode() for w in words]):
             ids = []
             while node:
-                ids.append(self.last[node])
-                node = self.back[node]
-            found.append(tuple(reversed(ids)))
+                ids.append(last[node])
+                node = back[node]
+            ids.reverse()
+            found.append(ids)
         return found
 
     def split_words(self, text: str) -> list[str]:
@@ -232,13 +313,31 @@ class TrieEncoder:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Ids and tokens of words not met before."""
-        if len(self.last) > self.max_nodes or len(self.known) > self.max_words:
-            self.reset()
-        new = [w for w in words if w not in self.known and w not in self.special]
-        found = [*zip(new, self.word_ids(new)), *((name, (i,)) for name, i in self.special.items())]
-        for word, ids in found:
-            self.known[word] = (" ".join(map(str, ids)), " ".join([self.names[i] for i in ids]))
+        """Ids and tokens of words not met before.
+
+        When a generation of words is full, a new one begins; words of the last one
+        move over when they are met, older ones are forgotten.
+        """
+        if len(self.last) > self.max_nodes:
+            self.clear_trie()
+        if len(self.ids_of) > self.max_words // 2:
+            self.older = self.ids_of, self.names_of
+            self.ids_of, self.names_of = {}, {}
+        ids_of, names_of = self.ids_of, self.names_of
+        old_ids, old_names = self.older
+        new = []
+        for word in words.difference(ids_of):
+            kept = old_ids.get(word)
+            if kept is not None:
+                ids_of[word], names_of[word] = kept, old_names[word]
+            elif word in self.special:
+                ids_of[word], names_of[word] = str(self.special[word]), word
+            else:
+                new.append(word)
+        names = self.names
+        for word, ids in zip(new, self.word_ids(new)):
+            ids_of[word] = " ".join(map(str, ids))
+            names_of[word] = " ".join([names[i] for i in ids])
 
     def batch(self, texts: list[str]) -> list[list[str]]:
         """The words of each text; all of them are known afterwards."""
@@ -247,7 +346,7 @@ class TrieEncoder:
         return parts
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[int(i) for w in found for i in self.known[w][0].split()] for found in self.batch(texts)]
+        return [[int(i) for w in found for i in self.ids_of[w].split()] for found in self.batch(texts)]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens' own strings joined by spaces; this vocabulary has no other decoder."""
@@ -278,15 +377,16 @@ def encoded(docs: DataFrame, path: str, text_col: str, carry: list[str], with_id
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = encoder(path)
+        # Nothing here makes cycles, and looking for them among all known words is dear.
+        gc.disable()
         for batch in batches:
             for part in tx.blocks(batch, "__text"):
                 parts = trie.batch([t or "" for t in part.column("__text").to_pylist()])
                 decimal, texts = [], []
                 for words in parts:
-                    found = [*map(trie.known.__getitem__, words)]
-                    decimal.append(" ".join([f[0] for f in found]))
+                    decimal.append(" ".join(map(trie.ids_of.__getitem__, words)))
                     if with_digests:
-                        texts.append(" ".join([f[1] for f in found]))
+                        texts.append(" ".join(map(trie.names_of.__getitem__, words)))
                 counts = [d.count(" ") + 1 if d else 0 for d in decimal]
                 columns = [*[part.column(c) for c in carry], pa.array(counts, pa.int64())]
                 if with_digests:
@@ -296,6 +396,7 @@ def encoded(docs: DataFrame, path: str, text_col: str, carry: list[str], with_id
                     flat = np.fromstring(" ".join(filter(None, decimal)), np.int32, sep=" ")
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        gc.enable()
 
     narrow = docs.select(*carry, docs[text_col].alias("__text"))
     return narrow.mapInArrow(work, schema)
