@@ -399,4 +399,4 @@ def encoded(docs: DataFrame, path: str, text_col: str, carry: list[str], with_id
         gc.enable()
 
     narrow = docs.select(*carry, docs[text_col].alias("__text"))
-    return narrow.mapInArrow(work, schema)
+    return narrow.mapInArrow(tx.tidy(work), schema)

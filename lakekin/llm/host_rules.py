@@ -88,7 +88,7 @@ def with_measures(docs: DataFrame, text_col: str, name: str) -> DataFrame:
                 struct = pa.StructArray.from_arrays([pa.array(x) for x in found], list(MEASURES))
                 yield pa.RecordBatch.from_arrays([*part.columns, struct], names=[*part.schema.names, name])
 
-    return docs.mapInArrow(work, schema)
+    return docs.mapInArrow(tx.tidy(work), schema)
 
 
 def base_failed(m: str) -> Column:

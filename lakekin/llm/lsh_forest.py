@@ -103,7 +103,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_a", "set_b", "labels"],
                 )
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, set_a long, set_b long, labels binary")
+    return docs.mapInArrow(tx.tidy(work), "doc_id long, n_shingles long, set_a long, set_b long, labels binary")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
                 sets = [hashes[i:j].tobytes() for i, j in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets, pa.binary())], names=["doc_id", "set"])
 
-    return docs.mapInArrow(work, "doc_id long, set binary")
+    return docs.mapInArrow(tx.tidy(work), "doc_id long, set binary")
 
 
 class _Sorted:
@@ -222,7 +222,7 @@ def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.select("rep", "n", "tree", F.expr(f"substring(labels, 1 + {size} * tree, {size})").alias("label"))
     order = ["tree", "label", "rep"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = rows.mapInArrow(_neighbours, "a long, b long, tree long")
+    found = rows.mapInArrow(tx.tidy(_neighbours), "a long, b long, tree long")
     found = found.groupBy("a", "b").agg(F.bit_count(F.bit_or("tree")).alias("trees"))
     found = found.filter(F.col("trees") >= F.when(F.col("b").isNull(), CROWDED_TREES + 1).otherwise(LEAST_TREES))
     found = materialize(found, "candidates")
@@ -251,7 +251,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     a = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
     b = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
     joined = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(work, "a long, b long")
+    return joined.mapInArrow(tx.tidy(work), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -1,29 +1,36 @@
 """Vectorised work on the texts of an Arrow batch: words, lines, hashes.
 
 All positions are byte positions in the UTF-8 buffer of a block of texts. Equality
-of words, lines and runs is equality of 64-bit hashes computed here.
+of words, lines and runs is equality of 64-bit hashes computed here. A hash chains
+every eight bytes through a bijection of the state, so no pattern of the bytes alone
+makes two spans meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once inside a task (or one text, if that is longer).
 BLOCK_BYTES = 2 << 20
 
-BASE = np.uint64(0x9E6F4A7C15D3B1E5)
+#: Spans longer than this are hashed one by one.
+LONG = 256
+#: Starts every hash.
+SEED = np.uint64(0x9E6F4A7C15D3B1E5)
+#: Masks that keep the first 0 to 8 bytes of a little-endian word.
+FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 NEWLINE = np.zeros(256, bool)
 NEWLINE[10] = True
 
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts come to ``limit`` bytes, or one row."""
@@ -70,22 +77,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _grow(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < n:
-        n = max(n, BLOCK_BYTES + 1)
-        base, inverse = np.full(n, BASE), np.full(n, np.uint64(pow(int(BASE), -1, 1 << 64)))
-        base[0] = inverse[0] = 1
-        _powers, _inverse = np.cumprod(base), np.cumprod(inverse)
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every span, from one prefix polynomial over the buffer."""
-    _grow(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=sums[1:])
-    length = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix((sums[ends] - sums[starts]) * _inverse[starts] + length)
+    """A 64-bit hash of every span: of its length, then of eight bytes after eight."""
+    size = ends - starts
+    hashes = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + SEED)
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        buffer = memoryview(np.ascontiguousarray(data))
+        hashes[long] = [xxhash.xxh3_64_intdigest(buffer[a:b]) for a, b in zip(starts[long], ends[long])]
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    if not len(live):
+        return hashes
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    at, left = starts[live], size[live]
+    while len(live):
+        chunk = words[at].view("<u8").ravel() & FIRST[np.minimum(left, 8)]
+        hashes[live] = mix(hashes[live] ^ chunk)
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    return hashes
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``work`` that gives unused memory back when its task ends, as workers live on."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
 
 
 def owners(offsets: np.ndarray, positions: np.ndarray) -> np.ndarray:

@@ -57,3 +57,18 @@ def test_one_host_that_does_not_vary(make_docs):
 def test_empty(no_docs):
     assert host_rules.judge(no_docs).collect() == []
     assert host_rules.keep_good(no_docs).collect() == []
+
+
+def thue_morse(n=2048):
+    """A word and its complement: any polynomial modulo a power of two takes them for equal."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_equal_polynomials(make_docs):
+    for size in (64, 256, 2048):
+        one, other = thue_morse(size)
+        rows = [(1, f"{one}\n{other}", "a"), (2, f"{one} x y {other} x y", "a"), (3, f"{one}\n{one}", "a")]
+        found = {r.doc_id: r for r in host_rules.judge(make_docs(rows)).collect()}
+        assert [found[i].n_dup_lines for i in (1, 2, 3)] == [0, 0, 1]
+        assert found[2].n_repeat_words == 0

@@ -162,3 +162,11 @@ def test_crowded_documents_without_candidates_are_joined(make_docs, monkeypatch)
 
     monkeypatch.setattr(lsh_forest, "candidates", none_offered)
     assert {r["component_id"] for r in lsh_forest.near_groups(docs).collect()} == {0}
+
+
+def test_words_of_equal_polynomials(make_docs):
+    """Different one-word documents stay apart, however alike their bits are."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    rows = [(1, "".join("ab"[b] for b in bits), "a"), (2, "".join("ba"[b] for b in bits), "a"), (3, "".join("ab"[b] for b in bits), "a")]
+    found = {r.doc_id: r.component_id for r in lsh_forest.near_groups(make_docs(rows)).collect()}
+    assert found == {1: 1, 2: 2, 3: 1}
