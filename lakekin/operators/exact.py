@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakekin.functions.stats import guarded_pearson, pearson, score, t_statistic, two_sided_p
@@ -231,22 +231,33 @@ def overlap_rank_corr(
     sums = joined.groupBy(*PAIR).agg(
         F.sum(F.col("rows") * F.col("q_rows")).alias("joinability"),
         F.max("overlap").alias("overlap"),
+        *row_join_sums(),
+    )
+    return (
+        sums.select(*PAIR, "overlap", "joinability", row_join_r().alias("correlation"))
+        .orderBy(F.desc_nulls_last(F.abs("correlation")), *PAIR)
+    )
+
+
+def row_join_sums() -> list[Column]:
+    """Sums over a row join, from counts and sums per key of both sides."""
+    return [
         F.sum(F.col("n") * F.col("q_n")).cast("double").alias("w"),
         F.sum(F.col("n") * F.col("q_s")).alias("sx"),
         F.sum(F.col("q_n") * F.col("s")).alias("sy"),
         F.sum(F.col("s") * F.col("q_s")).alias("sxy"),
         F.sum(F.col("n") * F.col("q_ss")).alias("sxx"),
         F.sum(F.col("q_n") * F.col("ss")).alias("syy"),
-    )
+    ]
+
+
+def row_join_r() -> Column:
+    """Pearson r of a row join from its :func:`row_join_sums`."""
     cov = F.col("w") * F.col("sxy") - F.col("sx") * F.col("sy")
     var_x = F.col("w") * F.col("sxx") - F.col("sx") * F.col("sx")
     var_y = F.col("w") * F.col("syy") - F.col("sy") * F.col("sy")
     defined = (var_x > 0) & (var_y > 0)
-    r = F.when(defined, F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y)))
-    return (
-        sums.select(*PAIR, "overlap", "joinability", r.alias("correlation"))
-        .orderBy(F.desc_nulls_last(F.abs("correlation")), *PAIR)
-    )
+    return F.when(defined, F.try_divide(cov, F.sqrt(var_x) * F.sqrt(var_y)))
 
 
 def containment_first(

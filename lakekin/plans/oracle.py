@@ -400,5 +400,62 @@ SELECT {PAIR}, CAST(count(*) AS BIGINT) AS n,
   round(CASE WHEN count(*) < 2 OR var_samp(value) <= 1e-10 THEN 0.0
     ELSE covar_samp(x, value) / nullif(stddev_samp(x) * stddev_samp(value), 0) END, 6) AS correlation
 FROM means JOIN q USING (key) GROUP BY ALL"""
+    key_rows = (
+        CELL_MEANS.format(roles=STRICT)
+        + """,
+lists AS (SELECT k.table_id, r.column_name AS key_col, k.column_id AS position, k.cell AS key, count(*) AS rows
+  FROM cells k JOIN roles r ON r.table_id = k.table_id AND r.column_id = k.column_id AND r.role = 'key'
+  JOIN big ON big.table_id = k.table_id
+  WHERE k.cell IS NOT NULL AND k.table_id IN (SELECT table_id FROM roles WHERE role = 'measure') GROUP BY ALL)"""
+    )
+    sql["key_lists"] = (
+        f"{key_rows} SELECT *, count(*) OVER (PARTITION BY key) AS columns FROM lists"
+    )
+    tall_rows = " UNION ALL ".join(
+        f"SELECT '{i}' AS query_table, '{k}' AS query_key, '{m}' AS query_value, {k} AS key, CAST({m} AS DOUBLE) AS x FROM v_{i} WHERE {k} IS NOT NULL"
+        for i in ("docs", "customer")
+        for k in VIEWS[i][1]
+        for m in VIEWS[i][2]
+    )
+    tall = f"""{key_rows}, {_views(("docs", "customer"))}, qrows AS ({tall_rows}),
+qkeys AS (SELECT query_table, query_key, key, count(*) AS q_rows FROM qrows GROUP BY ALL),
+qmeans AS (SELECT query_table, query_key, query_value, key, avg(x) AS x FROM qrows GROUP BY ALL HAVING count(x) > 0),
+shared AS (SELECT query_table, query_key, table_id, key_col, position, CAST(count(*) AS BIGINT) AS overlap,
+  CAST(sum(rows * q_rows) AS BIGINT) AS joinability FROM qkeys JOIN lists USING (key) GROUP BY ALL),
+best AS (SELECT * FROM shared QUALIFY row_number() OVER (PARTITION BY query_table, query_key ORDER BY overlap DESC, table_id, key_col) <= 2)"""
+    sql["overlap_topk_cells"] = (
+        f"{tall} SELECT query_table, query_key, table_id, key_col, overlap, joinability FROM best"
+    )
+    sql["overlap_rank_corr_cells"] = f"""{tall},
+rowjoin AS (SELECT q.query_table, q.query_key, q.query_value, b.table_id, b.key_col, rv.column_name AS value_col,
+  covar_samp(q.x, v.num) / nullif(stddev_samp(q.x) * stddev_samp(v.num), 0) AS r
+  FROM best b JOIN roles rk ON rk.table_id = b.table_id AND rk.column_name = b.key_col
+  JOIN cells k ON k.table_id = b.table_id AND k.column_id = rk.column_id
+  JOIN cells v ON v.table_id = k.table_id AND v.row_id = k.row_id
+  JOIN roles rv ON rv.table_id = v.table_id AND rv.column_id = v.column_id AND rv.role = 'measure'
+  JOIN qrows q ON q.query_table = b.query_table AND q.query_key = b.query_key AND q.key = k.cell
+  WHERE v.num IS NOT NULL AND q.x IS NOT NULL GROUP BY ALL)
+SELECT b.query_table, b.query_key, m.query_value, b.table_id, b.key_col, p.column_name AS value_col, overlap, joinability, round(r, 6) AS correlation
+FROM best b JOIN (SELECT DISTINCT query_table, query_key, query_value FROM qrows) m USING (query_table, query_key)
+JOIN roles p ON p.table_id = b.table_id AND p.role = 'measure'
+LEFT JOIN rowjoin j ON j.query_table = b.query_table AND j.query_key = b.query_key AND j.query_value = m.query_value
+  AND j.table_id = b.table_id AND j.key_col = b.key_col AND j.value_col = p.column_name"""
+    sql["containment_best_cells"] = f"""{tall},
+shares AS (SELECT s.*, overlap / total AS containment FROM shared s
+  JOIN (SELECT query_table, query_key, CAST(count(*) AS DOUBLE) AS total FROM qkeys GROUP BY ALL) USING (query_table, query_key)),
+chosen AS (SELECT * FROM shares WHERE containment > 0.5
+  QUALIFY row_number() OVER (PARTITION BY query_table, query_key, table_id ORDER BY containment DESC, position) = 1)
+SELECT query_table, query_key, query_value, {PAIR}, round(max(containment), 6) AS containment, CAST(count(*) AS BIGINT) AS n,
+  round(covar_samp(x, value) / nullif(stddev_samp(x) * stddev_samp(value), 0), 6) AS correlation
+FROM chosen JOIN qmeans USING (query_table, query_key) JOIN means USING (table_id, key_col, key) GROUP BY ALL"""
+    sql["augment_multi_cells"] = CELL_MEANS.format(roles=STRICT) + f""",
+q AS (SELECT source AS key, avg(CAST(n_chars AS DOUBLE)) AS x FROM documents GROUP BY source),
+found AS (SELECT {PAIR}, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM q) AS joinability,
+  CASE WHEN count(*) < 2 OR var_samp(value) <= 1e-10 THEN 0.0
+    ELSE covar_samp(x, value) / nullif(stddev_samp(x) * stddev_samp(value), 0) END AS r FROM means JOIN q USING (key) GROUP BY ALL),
+hits AS (SELECT {PAIR}, row_number() OVER (ORDER BY round(sqrt(joinability * abs(r)), 9) DESC NULLS LAST, {PAIR}) AS place FROM found)
+SELECT doc_id, source, {", ".join(f"round(max(CASE WHEN place = {p} THEN value END), 6) AS hit_{p}" for p in (2, 3, 4))}
+FROM documents d LEFT JOIN (SELECT key, value, place FROM means JOIN hits USING ({PAIR}) WHERE place <= 4) m ON m.key = d.source
+GROUP BY doc_id, source"""
     sql["pair_sketch_two_pass"] = sql["pair_sketch"]
     return sql

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakekin.operators import augment, evaluate, exact, models, profile, search, sketch, split
+from lakekin.operators import augment, evaluate, exact, key_index, models, profile, search, sketch, split
 from lakekin.operators.index_store import TermStore, append_terms
 from lakekin.operators.mapper import map_blocks
 from lakekin.operators.pairs import (
@@ -460,6 +460,63 @@ def quality_grid(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(grid, "precision", "recall", "f1")
 
 
+# ------------------------------------------------- searches of the tall lake
+
+#: Query tables of the tall searches, each with all its key and measure columns.
+TALL_QUERY = ("docs", "customer")
+
+
+def stored_keys(lake: Lake) -> key_index.KeyIndex:
+    """The inverted key index of the tall lake, written to files."""
+    cells = materialize(lake_cell_rows(lake), "cells")
+    return key_index.save_index(cells, new_folder(lake.spark, "key-index"), min_rows=COMPAT_MIN_ROWS)
+
+
+def tall_queries(lake: Lake) -> DataFrame:
+    return exact.keyed_moments(lake.tables(TALL_QUERY))
+
+
+@register
+def key_lists(spark: SparkSession, folder: str) -> DataFrame:
+    """The posting lists as stored, with the rarity of each key."""
+    index = stored_keys(Lake(spark, folder))
+    return index.lists.join(index.rarity, "key")
+
+
+@register
+def overlap_topk_cells(spark: SparkSession, folder: str) -> DataFrame:
+    lake = Lake(spark, folder)
+    found = key_index.overlap_topk_cells(stored_keys(lake), tall_queries(lake), 2)
+    return found.select("query_table", "query_key", "table_id", "key_col", "overlap", "joinability")
+
+
+@register
+def overlap_rank_corr_cells(spark: SparkSession, folder: str) -> DataFrame:
+    lake = Lake(spark, folder)
+    found = key_index.overlap_rank_corr_cells(stored_keys(lake), tall_queries(lake), 2)
+    return rounded(found, "correlation")
+
+
+@register
+def containment_best_cells(spark: SparkSession, folder: str) -> DataFrame:
+    lake = Lake(spark, folder)
+    found = key_index.containment_first_cells(stored_keys(lake), tall_queries(lake))
+    return rounded(found, "containment", "correlation")
+
+
+@register
+def augment_multi_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with the best columns for their source's mean length, the first (leaking) one left out."""
+    lake = Lake(spark, folder)
+    index = stored_keys(lake)
+    query = query_means(lake.read("documents"), "source", "n_chars").select("key", "value")
+    top = exact.exact_topk(exact.correlate(key_index.index_means(index), query), 4)
+    hits = augment.ranked_hits(materialize(top, "hits"), "score", 4)
+    base = lake.read("documents").select("doc_id", "source")
+    joined = key_index.augment_hits_cells(base, "source", index, hits, 4, skip_first=1)
+    return rounded(joined, "hit_2", "hit_3", "hit_4")
+
+
 # ---------------------------------------------------------- use of results
 
 
