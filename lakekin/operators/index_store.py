@@ -35,6 +35,9 @@ def append_terms(index: DataFrame, terms: DataFrame) -> DataFrame:
 class TermStore:
     """One stored index."""
 
+    #: Folders of which every attempt has one of its own.
+    PARTS: tuple[str, ...] = ("terms", "tables")
+
     def __init__(self, spark: SparkSession, path: str, opts: SketchOptions = SketchOptions()) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
@@ -134,6 +137,10 @@ class TermStore:
         written = self.spark.read.schema(TERM_SCHEMA).parquet(target)
         listed = written.select("table_id").distinct().withColumn("batch", F.lit(batch))
         listed.write.parquet(f"{self.path}/tables/attempt={attempt}")
+        self._commit(attempt, batch, alone)
+
+    def _commit(self, attempt: str, batch: str, alone: bool) -> None:
+        """Put an attempt that is written whole in force."""
         number = self._read("commits", "number bigint").agg(F.coalesce(F.max("number"), F.lit(0))).scalar()
         row = self.spark.range(1).select(
             (number + 1).alias("number"), F.lit(batch).alias("batch"), F.lit(attempt).alias("attempt"), F.lit(alone).alias("alone")
@@ -157,7 +164,7 @@ class TermStore:
         used = set(self.attempts().values())
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         removed = []
-        for part in ("terms", "tables"):
+        for part in self.PARTS:
             root = fs_path(f"{self.path}/{part}")
             fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
             for status in fs.listStatus(root) if fs.exists(root) else []:

@@ -25,6 +25,17 @@ def column_label(column_id: Column, column_name: Column, label_by: str = "name")
     return position if label_by == "position" else F.coalesce(column_name, position)
 
 
+def role_of(rule: str, null_as_nan: bool) -> Column:
+    """Role of a column by its counters (see :func:`column_profile`)."""
+    if rule == "strict":
+        numbers = F.col("n_numbers")
+        if null_as_nan:
+            numbers = numbers + F.col("n_missing")
+        return F.when(numbers == F.col("n_cells"), "measure").when(numbers == 0, "key")
+    text = F.col("n_cells") - F.col("n_numbers") - F.col("n_missing")
+    return F.when(text > 0, "key").when(F.col("n_numbers") > 0, "measure")
+
+
 def column_profile(cells: DataFrame, *, rule: str = "strict", null_as_nan: bool = True) -> DataFrame:
     """Counts and role (``key``, ``measure`` or NULL) of every column.
 
@@ -41,15 +52,7 @@ def column_profile(cells: DataFrame, *, rule: str = "strict", null_as_nan: bool
         F.count("num").alias("n_numbers"),
         F.count_if(missing).alias("n_missing"),
     )
-    if rule == "strict":
-        numbers = F.col("n_numbers")
-        if null_as_nan:
-            numbers = numbers + F.col("n_missing")
-        role = F.when(numbers == F.col("n_cells"), "measure").when(numbers == 0, "key")
-    else:
-        text = F.col("n_cells") - F.col("n_numbers") - F.col("n_missing")
-        role = F.when(text > 0, "key").when(F.col("n_numbers") > 0, "measure")
-    return counts.withColumn("role", role)
+    return counts.withColumn("role", role_of(rule, null_as_nan))
 
 
 def table_stats(cells: DataFrame) -> DataFrame:

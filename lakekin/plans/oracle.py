@@ -457,5 +457,15 @@ hits AS (SELECT {PAIR}, row_number() OVER (ORDER BY round(sqrt(joinability * abs
 SELECT doc_id, source, {", ".join(f"round(max(CASE WHEN place = {p} THEN value END), 6) AS hit_{p}" for p in (2, 3, 4))}
 FROM documents d LEFT JOIN (SELECT key, value, place FROM means JOIN hits USING ({PAIR}) WHERE place <= 4) m ON m.key = d.source
 GROUP BY doc_id, source"""
+    sql["index_merge"] = sql["cell_term_index"]
+    sql["index_merge_stream"] = (
+        f"WITH {csv_blocks}, means AS ("
+        + " UNION ALL ".join(
+            f"SELECT 'customers' AS table_id, '{k}' AS key_col, 'acctbal' AS value_col, {k} AS key, "
+            f"avg(CAST(acctbal AS DOUBLE)) AS value FROM blocks GROUP BY {k}"
+            for k in ("c_name", "c_mktsegment")
+        )
+        + f"), {_index(128)} SELECT term, {PAIR} FROM terms"
+    )
     sql["pair_sketch_two_pass"] = sql["pair_sketch"]
     return sql

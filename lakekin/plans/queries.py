@@ -20,6 +20,7 @@ from lakekin.operators.pairs import (
     query_means,
     sketch_candidates,
 )
+from lakekin.operators.sketch_store import SketchStore
 from lakekin.options import COMPAT_MIN_ROWS, PAIR, SketchOptions
 from lakekin.plans.lake_views import CELL_VIEWS, Lake
 from lakekin.session import materialize, new_folder
@@ -299,6 +300,38 @@ def index_store(spark: SparkSession, folder: str) -> DataFrame:
     return store.terms()
 
 
+@register
+def index_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """The tall lake in three parts, rows dealt by number; the second part comes twice."""
+    lake = Lake(spark, folder)
+    cells = materialize(lake_cell_rows(lake), "cells")
+    store = SketchStore(spark, new_folder(spark, "merged-index"), OPTIONS, min_rows=COMPAT_MIN_ROWS)
+    for part in (0, 1, 1, 2):
+        store.append_cells(cells.where(F.col("row_id") % 3 == part), f"part-{part}")
+    return store.terms()
+
+
+@register
+def index_merge_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers as one table that arrives in many files."""
+    arriving = new_folder(spark, "arriving")
+    lake = Lake(spark, folder)
+    files = csv_files(lake).withColumn("path", F.concat(F.lit("customers/"), "path"))
+    files.repartition(4).write.parquet(arriving)
+    store = SketchStore(spark, new_folder(spark, "stream-index"), OPTIONS)
+    stream = spark.readStream.schema("path string, content binary").option("maxFilesPerTrigger", 2).parquet(arriving)
+    query = start_index_stream(stream, store, new_folder(spark, "stream-state"), decode=folder_tables)
+    query.awaitTermination()
+    return store.terms()
+
+
+def folder_tables(files: DataFrame) -> tall.CellSource:
+    """Numbered CSV files as parts of one table; its rows are numbered by file and line."""
+    found = lake_files.csv_cells(files)
+    row = F.regexp_extract("table_id", r"(\d+)$", 1).cast("long") * (1 << 32) + F.col("row_id")
+    return found._replace(cells=found.cells.withColumns({"row_id": row, "table_id": F.lit("customers")}))
+
+
 @register
 def index_stats(spark: SparkSession, folder: str) -> DataFrame:
     terms = sketch.term_index(full_means(Lake(spark, folder)), OPTIONS)
