@@ -125,10 +125,10 @@ def candidates(index: KeyIndex, prefix: DataFrame) -> DataFrame:
 def overlaps(index: KeyIndex, known: DataFrame, found: DataFrame) -> DataFrame:
     """Exact ``overlap`` and ``joinability`` (rows of the row join) of candidate columns only."""
     lists = index.lists.join(found.select(*COLUMN).distinct(), COLUMN, "left_semi")
-    shared = lists.join(known.select(*QUERY, "key", "q_rows"), "key").join(found, [*QUERY, *COLUMN], "left_semi")
-    return shared.groupBy(*QUERY, *COLUMN, "position").agg(
-        F.count("*").alias("overlap"), F.sum(F.col("rows") * F.col("q_rows")).alias("joinability")
-    )
+    shared = lists.join(known.select(*QUERY, "key", "q_rows"), "key").groupBy(*QUERY, *COLUMN, "position")
+    # Counted in each task before the exchange, so a column with most keys is no hot spot.
+    counted = shared.agg(F.count("*").alias("overlap"), F.sum(F.col("rows") * F.col("q_rows")).alias("joinability"))
+    return counted.join(found, [*QUERY, *COLUMN], "left_semi")
 
 
 def best_columns(found: DataFrame, k: int) -> DataFrame:
