@@ -95,28 +95,20 @@ WITH raw AS (
 ), tidy AS (
   SELECT *, trim(regexp_replace(line, '{GAP}', ' ', 'g')) AS t FROM raw
 ), lines AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY doc_id) AS n,
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS i,
          ('0x' || substr(md5(t), 1, 15))::BIGINT AS h, length(t) - length(replace(t, ' ', '')) + 1 AS words
   FROM tidy WHERE t <> ''
-), minima AS (
-  SELECT s.doc_id, -min(struct_pack(h := x.h, k := -x.i)).k AS i
-  FROM lines s JOIN lines x ON x.doc_id = s.doc_id AND x.i BETWEEN s.i AND s.i + 2
-  WHERE s.i <= greatest(s.n - 3, 0) GROUP BY s.doc_id, s.i
+), following AS (
+  SELECT *, lead(h, 1) OVER w AS h1, lead(h, 2) OVER w AS h2, lead(words, 1) OVER w AS words1
+  FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
 ), marks AS (
-  SELECT m.doc_id, m.i, l.h AS fp
-  FROM (SELECT doc_id, i FROM minima UNION SELECT doc_id, i FROM lines WHERE words >= 50) m JOIN lines l USING (doc_id, i)
-), firsts AS (
-  SELECT fp, min(struct_pack(d := doc_id, i := i)) AS f FROM marks GROUP BY fp HAVING count(*) > 1
-), diagonals AS (
-  SELECT DISTINCT doc_id, f.d AS a_id, i - f.i AS shift FROM marks JOIN firsts USING (fp) WHERE doc_id <> f.d OR i <> f.i
-), along AS (
-  SELECT g.*, l.i, l.words, l.i - row_number() OVER (PARTITION BY g.doc_id, g.a_id, g.shift ORDER BY l.i) AS run
-  FROM diagonals g JOIN lines l USING (doc_id) JOIN lines e ON e.doc_id = g.a_id AND e.i = l.i - g.shift AND e.h = l.h
-), runs AS (
-  SELECT doc_id, min(i) AS first, max(i) AS last FROM along GROUP BY doc_id, a_id, shift, run
-  HAVING max(i) - min(i) + 1 >= 3 OR max(words) >= 50
+  SELECT doc_id, i, 1 AS size, h, NULL AS h1, NULL AS h2 FROM following WHERE words >= 50
+  UNION ALL SELECT doc_id, i, 2, h, h1, NULL FROM following WHERE words + words1 >= 50
+  UNION ALL SELECT doc_id, i, 3, h, h1, h2 FROM following WHERE h2 IS NOT NULL
+), repeated AS (
+  SELECT doc_id, i, size FROM marks QUALIFY row_number() OVER (PARTITION BY size, h, h1, h2 ORDER BY doc_id, i) > 1
 ), gone AS (
-  SELECT DISTINCT l.doc_id, l.pos FROM runs r JOIN lines l ON l.doc_id = r.doc_id AND l.i BETWEEN r.first AND r.last
+  SELECT DISTINCT l.doc_id, l.pos FROM repeated r JOIN lines l ON l.doc_id = r.doc_id AND l.i BETWEEN r.i AND r.i + r.size - 1
 ), per AS (
   SELECT raw.doc_id, count(gone.pos) AS n_deleted,
          coalesce(string_agg(CASE WHEN gone.pos IS NULL THEN line END, chr(10) ORDER BY raw.pos), '') AS text

@@ -1,16 +1,12 @@
 """Line deduplication by winnowing, with DataFrame operations only.
 
 A document is the sequence of its filled lines. Of every window of consecutive line
-hashes the smallest is a fingerprint, so two documents that share a run of a
-window's length share a fingerprint of it; a line of many words is a fingerprint by
-itself. Each occurrence of a fingerprint meets the first one; the match gives a
-diagonal between two documents, along which it is extended both ways over equal
-lines. Of a matched run that is long enough, the later place is deleted.
-
-A fingerprint is the hash of one line. Where that line first stands between other
-lines, a run repeated between two later documents meets no earlier copy and stays. The
-query's SQL defines that; with ``whole`` every window around a fingerprint has a first
-occurrence of its own, and every repeated run is found; a shorter one counts by the words of all its lines.
+hashes the smallest is the fingerprint; shorter windows count when their lines have
+many words together. Two documents that share such a run share its fingerprint and the
+hashes around it. Every later occurrence meets the first one of the same fingerprint
+between the same lines, so a line that first stands elsewhere hides no repeated run.
+A match gives a diagonal between two documents, along which it is extended both ways
+over the neighbouring matches; of each run the later place is deleted.
 
 A deleted line always has an equal line at an earlier place, so nothing is lost
 altogether. Earlier means: smaller id (null last), then hash of the text, then line.
@@ -23,14 +19,14 @@ empty result. Lines are equal when 60 bits of their MD5 are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekin.session import materialize
 
 #: Lines of a window, and of the shortest run that is deleted for its lines.
 WINDOW = 3
-#: A run with a line of so many words is deleted however short.
+#: A run of so many words in all its lines is deleted however short.
 LONG_WORDS = 50
 GAP = r"[\x20\x09-\x0D]+"
 FILLED = r"[^\x20\x09-\x0D][^\n]*"
@@ -60,23 +56,8 @@ def sequences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), lines.alias("lines"))
 
 
-def fingerprints(lines: Column, window: int) -> Column:
-    """Indexes of the fingerprints of a sequence."""
-    size = F.size(lines)
-    starts = F.sequence(F.lit(0), F.greatest(size - window, F.lit(0)))
-
-    def smallest(start: Column) -> Column:
-        part = F.slice(lines, start + 1, F.lit(window))
-        # The last of equal ones, as neighbouring windows then agree most often.
-        return start - F.array_min(F.transform(part, lambda x, k: F.struct(x["h"].alias("h"), (-k).alias("k"))))["k"]
-
-    longs = F.filter(F.transform(lines, lambda x, i: F.when(x["words"] >= LONG_WORDS, i)), lambda i: i.isNotNull())
-    chosen = F.when(size > 0, F.array_union(F.transform(starts, smallest), longs))
-    return F.array_distinct(F.coalesce(chosen, F.array().cast("array<int>")))
-
-
 def contexts(lines: Column, window: int, long_words: int) -> Column:
-    """``i, fp, around``: the fingerprint of every shortest run that is deleted.
+    """``i, fp, around, start, size``: the fingerprint of every shortest run that is deleted.
 
     These are all windows, and all shorter runs that have ``long_words`` together.
     ``around`` tells apart the runs that one fingerprint stands in.
@@ -86,7 +67,8 @@ def contexts(lines: Column, window: int, long_words: int) -> Column:
         part = F.slice(lines, start + 1, F.lit(size))
         least = F.array_min(F.transform(part, lambda x, k: F.struct(x["h"].alias("h"), (-k).alias("k"))))
         around = F.xxhash64(F.transform(part, lambda x: x["h"]))
-        return F.struct((start - least["k"]).alias("i"), least["h"].alias("fp"), around.alias("around"))
+        i = (start - least["k"]).alias("i")
+        return F.struct(i, least["h"].alias("fp"), around.alias("around"), start.alias("start"), F.lit(size).alias("size"))
 
     def of_size(size: int) -> Column:
         starts = F.when(F.size(lines) >= size, F.sequence(F.lit(0), F.size(lines) - size))
@@ -99,48 +81,44 @@ def contexts(lines: Column, window: int, long_words: int) -> Column:
     return F.concat(*[of_size(size) for size in range(1, window + 1)])
 
 
-def repeated_runs(stored: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS, whole: bool = False) -> DataFrame:
+def repeated_runs(stored: DataFrame, window: int = WINDOW, long_words: int = LONG_WORDS) -> DataFrame:
     """``doc_id, th, first, last``: line indexes of the runs to delete."""
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", F.col("i"))
-    if whole:
-        marks = stored.select("doc_id", "th", F.explode(contexts(F.col("lines"), window, long_words)).alias("m"))
-        marks = marks.select("doc_id", "th", "m.i", F.struct("m.fp", "m.around").alias("fp"))
-    else:
-        marks = stored.select("doc_id", "th", "lines", F.explode(fingerprints(F.col("lines"), window)).alias("i"))
-        marks = marks.select("doc_id", "th", "i", F.element_at("lines", F.col("i") + 1)["h"].alias("fp"))
+    marks = stored.select("doc_id", "th", F.explode(contexts(F.col("lines"), window, long_words)).alias("m"))
+    marks = marks.select("doc_id", "th", "m.i", "m.start", "m.size", F.struct("m.fp", "m.around", "m.size").alias("fp"))
     firsts = marks.groupBy("fp").agg(F.min(place).alias("f"), F.count("*").alias("n")).filter("n > 1")
     # Written, so that both sides of the join are dealt out for it alone and the
     # occurrences of a very common fingerprint can be split over tasks.
     firsts = materialize(firsts.select("fp", "f"), "firsts")
     met = marks.join(firsts.hint("merge"), "fp").filter(place != F.col("f"))
-    # Many fingerprints of a copy lie on one diagonal.
-    diagonals = met.select(
-        "doc_id", "th", F.col("f.doc_id").alias("a_id"), F.col("f.th").alias("a_th"), (F.col("i") - F.col("f.i")).alias("shift")
-    ).distinct()
-    own = stored.withColumnsRenamed({"doc_id": "o_id", "th": "o_th", "lines": "own"})
-    theirs = stored.select(F.col("doc_id").alias("e_id"), F.col("th").alias("e_th"), F.transform("lines", lambda x: x["h"]).alias("theirs"))
-    both = diagonals.join(own, (F.col("th") == F.col("o_th")) & F.col("doc_id").eqNullSafe(F.col("o_id")))
-    both = both.join(theirs, (F.col("a_th") == F.col("e_th")) & F.col("a_id").eqNullSafe(F.col("e_id")))
-    along = F.transform("own", lambda x, i: F.struct(i.alias("i"), x["h"].alias("h"), x["words"].alias("words")))
-    # get() gives null outside the earlier document.
-    equal = F.filter(along, lambda x: F.coalesce(F.get("theirs", x["i"] - F.col("shift")) == x["h"], F.lit(False)))
-    key = ["doc_id", "th", "a_id", "a_th", "shift"]
-    lines = both.select(*key, F.posexplode(equal).alias("k", "x"))
-    runs = lines.groupBy(*key, (F.col("x.i") - F.col("k")).alias("run")).agg(
-        F.min("x.i").alias("first"), F.max("x.i").alias("last"), (F.sum if whole else F.max)("x.words").alias("words")
+    matches = met.select(
+        "doc_id",
+        "th",
+        F.col("f.doc_id").alias("a_id"),
+        F.col("f.th").alias("a_th"),
+        (F.col("i") - F.col("f.i")).alias("shift"),
+        F.col("start").alias("first"),
+        (F.col("start") + F.col("size") - 1).alias("last"),
+    )
+    # One exchange, by document, serves the extension here and the caller's grouping.
+    diagonal = ["doc_id", "th", "a_id", "a_th", "shift"]
+    along = Window.partitionBy(*diagonal).orderBy("first", "last")
+    reached = F.max("last").over(along.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(F.col("first") <= reached + 1, 0).otherwise(1)
+    runs = matches.repartition("doc_id", "th").withColumn("begins", begins).withColumn("run", F.sum("begins").over(along))
+    return runs.groupBy(*diagonal, "run").agg(F.min("first").alias("first"), F.max("last").alias("last")).select(
+        "doc_id", "th", "first", "last"
     )
-    enough = (F.col("last") - F.col("first") + 1 >= window) | (F.col("words") >= long_words)
-    return runs.filter(enough).select("doc_id", "th", "first", "last").distinct()
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_lines, n_deleted, text``: every document without its repeated runs.
 
     ``n_lines`` counts filled lines. Deleted lines go with the line break after them.
     """
     stored = materialize(sequences(docs, id_col, text_col), "lines")
     once = stored.dropDuplicates(["doc_id", "th"])
-    runs = repeated_runs(once, whole=whole).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = repeated_runs(once).groupBy("doc_id", "th").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     lines = once.join(
         runs.withColumnsRenamed({"doc_id": "r_id", "th": "r_th"}),
         (F.col("th") == F.col("r_th")) & F.col("doc_id").eqNullSafe(F.col("r_id")),

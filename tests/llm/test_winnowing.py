@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 
@@ -8,40 +7,21 @@ GAP = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def brute(rows):
-    """The operator's definition, one document at a time."""
-    docs = {}
-    for i, t, _ in rows:
-        lines = (t or "").split("\n")
-        tidy = [(n, GAP.sub(" ", x).strip(" ")) for n, x in enumerate(lines)]
-        filled = [(n, int(hashlib.md5(x.encode()).hexdigest()[:15], 16), x.count(" ") + 1) for n, x in tidy if x]
-        docs[i] = (lines, filled)
-    order = sorted(docs, key=lambda i: (i is None, i))
-    marks = {}
-    for i in order:
-        h = [x[1] for x in docs[i][1]]
-        chosen = {k for k, x in enumerate(docs[i][1]) if x[2] >= 50}
-        for s in range(max(len(h) - 3, 0) + 1 if h else 0):
-            part = h[s : s + 3]
-            chosen.add(s + max(k for k, x in enumerate(part) if x == min(part)))
-        marks[i] = sorted(chosen)
-    first, diagonals = {}, set()
-    for i in order:
-        for k in marks[i]:
-            place = first.setdefault(docs[i][1][k][1], (i, k))
-            if place != (i, k):
-                diagonals.add((i, place[0], k - place[1]))
-    gone = {i: set() for i in order}
-    for b, a, shift in diagonals:
-        own, theirs = docs[b][1], docs[a][1]
-        run = []
-        for k in range(len(own) + 1):
-            if k < len(own) and 0 <= k - shift < len(theirs) and own[k][1] == theirs[k - shift][1]:
-                run.append(k)
-                continue
-            if len(run) >= 3 or any(own[x][2] >= 50 for x in run):
-                gone[b].update(own[x][0] for x in run)
-            run = []
-    return {i: (len(docs[i][1]), len(gone[i]), "\n".join(x for n, x in enumerate(docs[i][0]) if n not in gone[i])) for i in order}
+    """Every run of three lines, or of 50 words, that stands at any earlier place goes."""
+    seen, found = set(), {}
+    for i, text, _ in sorted(dict.fromkeys(rows), key=lambda r: (r[0] is None, r[0])):
+        lines = (text or "").split("\n")
+        filled = [(n, GAP.sub(" ", x).strip(" ")) for n, x in enumerate(lines)]
+        filled = [x for x in filled if x[1]]
+        gone = set()
+        for size in (1, 2, 3):
+            for s in range(len(filled) - size + 1):
+                part = tuple(x for _, x in filled[s : s + size])
+                if size == 3 or sum(x.count(" ") + 1 for x in part) >= 50:
+                    gone |= {n for n, _ in filled[s : s + size]} if part in seen else set()
+                    seen.add(part)
+        found[i] = (len(filled), len(gone), "\n".join(x for n, x in enumerate(lines) if n not in gone))
+    return found
 
 
 def check(df, rows):
@@ -84,41 +64,30 @@ def test_empty(no_docs):
     assert winnowing.dedup_lines(no_docs).collect() == []
 
 
-def every_copy(rows, pairs):
-    """Deleted lines by document: those of each run that stands at any earlier place."""
-    seen, gone = set(), {}
-    for i, text, _ in sorted(rows, key=lambda r: r[0]):
-        lines = [(n, GAP.sub(" ", x).strip(" ")) for n, x in enumerate(text.split("\n"))]
-        lines = [x for x in lines if x[1]]
-        gone[i] = set()
-        for size in (1, 2, 3) if pairs else (1, 3):
-            for s in range(len(lines) - size + 1):
-                part = tuple(x for _, x in lines[s : s + size])
-                if size == 3 or sum(x.count(" ") + 1 for x in part) >= 50:
-                    gone[i] |= {n for n, _ in lines[s : s + size]} if part in seen else set()
-                    seen.add(part)
-    return {i: "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i]) for i, t, _ in rows}
-
-
-def whole(df):
-    return {r["doc_id"]: r["text"] for r in winnowing.dedup_lines(df, whole=True).collect()}
-
-
-def test_whole_finds_runs_in_every_context(make_docs):
+def test_runs_in_every_context(make_docs):
     # The least hash of the run first stands alone.
     rows = [(1, "beta 3", "s"), (2, "alpha 3\nbeta 3\ngamma 3", "s"), (3, "alpha 3\nbeta 3\ngamma 3", "s")]
-    assert whole(make_docs(rows)) == {1: rows[0][1], 2: rows[1][1], 3: ""}
+    assert {i: t for i, (_, _, t) in check(make_docs(rows), rows).items()} == {1: rows[0][1], 2: rows[1][1], 3: ""}
     rng = random.Random(9)
     rows = [(i, "\n".join(f"line {rng.randrange(9)}" for _ in range(rng.randrange(9))), "s") for i in range(80)]
-    assert whole(make_docs(rows).repartition(4)) == every_copy(rows, True)
+    check(make_docs(rows).repartition(4), rows)
 
 
-def test_whole_counts_the_words_of_all_lines(make_docs):
+def test_words_of_all_lines_count(make_docs):
     text = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
     a, b, short = text("a", 30), text("b", 30), text("s", 4)
     rows = [(1, f"x\n{a}\n{b}\ny", "s"), (2, f"{a}\n{b}", "s"), (3, f"z\n{a}\n{b}\nw", "s"), (4, f"{a}\n{short}", "s"), (5, f"v\n{a}\n{short}", "s")]
-    assert whole(make_docs(rows)) == {1: rows[0][1], 2: "", 3: "z\nw", 4: rows[3][1], 5: rows[4][1]}
+    want = check(make_docs(rows), rows)
+    assert {i: t for i, (_, _, t) in want.items()} == {1: rows[0][1], 2: "", 3: "z\nw", 4: rows[3][1], 5: rows[4][1]}
     rng = random.Random(8)
     lines = [text("q", n) for n in (3, 10, 24, 25, 26, 46, 6, 50, 70)]
     rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randrange(7))), "s") for i in range(60)]
-    assert whole(make_docs(rows).repartition(4)) == every_copy(rows, True)
+    check(make_docs(rows).repartition(4), rows)
+
+
+def test_many_lines_that_repeat_from_everywhere(make_docs):
+    # Each run of the last document first stands in a document of its own.
+    parts = [f"a {k}\nb {k}\nc {k}" for k in range(300)]
+    rows = [(k, p, "s") for k, p in enumerate(parts)] + [(300, "\n".join(parts), "s"), (301, "\n".join(["same"] * 3000), "s")]
+    want = check(make_docs(rows).repartition(4), rows)
+    assert want[300] == (900, 900, "") and want[301] == (3000, 2999, "same")
