@@ -10,17 +10,19 @@ nothing is a surge, where they fall back a dive. Left-out blocks and the edges o
 Lines in ``article`` or ``main`` weigh more. Articles with a surge are kept, unless a
 stretch outside has more text than any of them; then ``main``, and at last the whole
 page, takes their place: all from the first surge to the last dive but lists of links.
-Where nothing surges, all text of the same part is kept. A string without any markup
-is no page and gives nothing.
+Where nothing surges, all text of the same part is kept; so is that of a string
+without any markup.
 
 Defined results: a null page counts as empty and has an empty text; broken and
 unclosed markup is read as far as it goes; repeated rows repeat; an empty table
-gives an empty result. Pages are read one by one inside tasks; nothing is shuffled.
+gives an empty result. Pages are read one by one inside tasks, each in time in
+proportion to its length; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -66,12 +68,20 @@ PARTS = frozenset(
     " col row item items link links icon icons button buttons btn slot unit title posts articles stories text media holder group"
     " panel module region body".split()
 )
+#: Words that name a part also beside the word for what it belongs to.
+OWNED = frozenset(
+    "comment comments commentlist replies disqus sidebar share sharing social related recommended newsletter subscribe"
+    " ad ads advert adverts advertisement advertising sponsored promo".split()
+)
+OWNERS = frozenset("article blog entry page post reader readers this user users".split())
 #: Of an article's own.
 ARTICLE_NAMES = frozenset("comment comments reply ad promo related".split())
 #: Elements never left out for their class: they hold the page or are text themselves.
 KEPT = frozenset("html body main article".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+TOKEN = re.compile(r"<(?:(!--)|([!?])|(/?)([A-Za-z][A-Za-z0-9:-]*))")
+#: The rest of a tag; possessive, so that a tag without an end is read once.
+REST = re.compile(r"((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 ATTRIBUTE = re.compile(r"([A-Za-z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPLIT_NAME = re.compile(r"[^a-z]+")
 #: A tag that ends itself; the slash of a value without quotes does not.
@@ -125,7 +135,7 @@ class Line:
 def names(token: str, parts: frozenset[str]) -> bool:
     """Whether a whole class or id is made of words that name a part."""
     words = set(SPLIT_NAME.split(CAMEL.sub(" ", token).lower())) - {""}
-    return bool(words & parts) and words <= parts | PARTS
+    return bool(words & parts) and words <= parts | PARTS or bool(words & OWNED) and words <= OWNED | PARTS | OWNERS
 
 
 def marks_aside(tag: str, attributes: str, in_article: bool) -> str:
@@ -149,14 +159,56 @@ def marks_aside(tag: str, attributes: str, in_article: bool) -> str:
     return "named" if any(names(t, ARTICLE_NAMES if tag == "article" else NAMES) for t in tokens) else ""
 
 
+def tokens(html: str) -> Iterator[tuple[str, bool, str, str]]:
+    """``(text before, whether it closes, tag, attributes)``; an empty tag for comments and the last text.
+
+    Quotes hide ``>`` until a tag has no end by that rule; the rest of the page is then
+    read without regard to quotes, so that no stretch is searched again and again.
+    """
+    at, before, quotes = 0, 0, True
+    while m := TOKEN.search(html, at):
+        comment, other, slash, tag = m.groups()
+        if tag and quotes:
+            rest = REST.match(html, m.end())
+            if rest:
+                yield html[before : m.start()], bool(slash), tag.lower(), rest[1]
+                at = before = skip_raw(html, rest.end(), bool(slash), tag.lower(), rest[1])
+                continue
+            quotes = False
+        stop = html.find("-->" if comment else ">", m.end())
+        if stop < 0 and tag:
+            break
+        if tag:
+            yield html[before : m.start()], bool(slash), tag.lower(), html[m.end() : stop]
+            at = before = skip_raw(html, stop + 1, bool(slash), tag.lower(), html[m.end() : stop])
+            continue
+        yield html[before : m.start()], False, "", ""
+        at = before = len(html) if stop < 0 else stop + (3 if comment else 1)
+    yield html[before:], False, "", ""
+
+
+def ends_itself(attributes: str) -> bool:
+    return attributes.endswith("/") and bool(ENDED.search(attributes))
+
+
+def skip_raw(html: str, at: int, closing: bool, tag: str, attributes: str) -> int:
+    """The place after a tag, or after the end of an element whose content is no text."""
+    if closing or tag not in RAW or ends_itself(attributes):
+        return at
+    over = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
+    return over.end() if over else len(html)
+
+
 def lines(html: str) -> list[Line]:
-    """The page's lines in order, empty ones included; none without any markup."""
+    """The page's lines in order, empty ones included."""
     out = [Line()]
     # Open elements as (tag, how it is left out, whether it counts as the article).
     stack: list[tuple[str, str, bool]] = []
+    # Where each tag, and any block, is open in the stack.
+    opened: dict[str, list[int]] = defaultdict(list)
+    open_blocks: list[int] = []
     asides = [Aside(0, False)]
     always = within = article = mains = link = heading = running = articles = 0
-    at, end, tags = 0, len(html), False
 
     def add(raw: str) -> None:
         if always or not raw:
@@ -172,6 +224,9 @@ def lines(html: str) -> list[Line]:
         nonlocal always, within, article, mains, link, heading, running
         while len(stack) > depth:
             tag, left_out, counts = stack.pop()
+            opened[tag].pop()
+            if tag in BLOCKS:
+                open_blocks.pop()
             always -= left_out == "always"
             if left_out == "named":
                 within = asides[within].around
@@ -183,47 +238,32 @@ def lines(html: str) -> list[Line]:
             if counts or tag == "main":
                 out[-1].cut = True
 
-    while at < end:
-        m = TOKEN.search(html, at)
-        if not m:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        if not m[2]:
+    for before, closing, tag, attributes in tokens(html):
+        add(before)
+        if not tag:
             continue
-        tags = True
-        tag, closing = m[2].lower(), bool(m[1])
         if tag in BLOCKS:
             out.append(Line())
         elif tag == "br":
             add(" ")
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-            continue
-        ended = m[3].endswith("/") and ENDED.search(m[3])
-        if tag in RAW and not ended:
-            over = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-            at = over.end() if over else end
+            if opened[tag]:
+                close(opened[tag][-1])
             continue
-        if tag in VOID or ended:
+        if tag in RAW or tag in VOID or ends_itself(attributes):
             continue
         # A new paragraph or item ends an open one; a part that follows the head ends it.
-        if tag in BLOCKS and stack:
-            for depth in range(len(stack) - 1, -1, -1):
-                open_tag = stack[depth][0]
-                if open_tag == "p" or open_tag == tag and tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
-                    close(depth)
-                    break
-                if open_tag in BLOCKS:
-                    break
-            if tag == "body" and any(t == "head" for t, *_ in stack):
-                close(next(i for i, (t, *_) in enumerate(stack) if t == "head"))
-        left_out = marks_aside(tag, m[3], article > 0 or mains > 0)
+        if tag in BLOCKS and open_blocks:
+            around = stack[open_blocks[-1]][0]
+            if around == "p" or around == tag and tag in ("li", "dd", "dt", "td", "th", "tr", "option"):
+                close(open_blocks[-1])
+            if tag == "body" and opened["head"]:
+                close(opened["head"][0])
+        left_out = marks_aside(tag, attributes, article > 0 or mains > 0)
         counts = tag == "article" and not left_out
+        opened[tag].append(len(stack))
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
         stack.append((tag, left_out, counts))
         always += left_out == "always"
         if left_out == "named":
@@ -240,7 +280,7 @@ def lines(html: str) -> list[Line]:
         running += tag == "p"
         if left_out == "always" and tag in BLOCKS or counts or tag == "main":
             out[-1].cut = True
-    return without_asides(out, asides) if tags else []
+    return without_asides(out, asides)
 
 
 def without_asides(page: list[Line], asides: list[Aside]) -> list[Line]:

@@ -1,3 +1,6 @@
+import random
+import time
+
 from lakekin.llm.line_blocks import extract, main_text, stretches
 
 import numpy as np
@@ -31,7 +34,7 @@ def test_main_without_article_and_hidden_parts():
 
 
 def test_broken_markup():
-    assert main_text("") == "" and main_text("just text") == ""
+    assert main_text("") == "" and main_text("just  text") == "just text"
     assert main_text("<article><p>cut off <b>here") == "cut off here"
     assert main_text("<article><script>never closed <p>x") == ""
     assert main_text("<article>a < b <p>c</article></p></div>") == "a < b\nc"
@@ -85,3 +88,45 @@ def test_short_sections_are_kept():
     assert main_text("<body><div><p>A short article.</p></div></body>") == "A short article."
     links = "<ul><li><a>One</a></li><li><a>Two</a></li><li><a>Three</a></li></ul>"
     assert main_text(f"<p>{LONG} a</p><p>{LONG} b</p>{links}<p>Near.</p>{links}<p>{LONG} c</p><p>{LONG} d</p>") == f"{LONG} a\n{LONG} b\nNear.\n{LONG} c\n{LONG} d"
+
+
+def test_windows_by_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        lengths = [rng.choice([0, 0, 0, 5, 30, 90]) for _ in range(rng.randrange(1, 40))]
+        groups = []
+        for i in (i for i, n in enumerate(lengths) if n):
+            if groups and i - groups[-1][-1] <= 3:
+                groups[-1].append(i)
+            else:
+                groups.append([i])
+        want = [(g[0], g[-1] + 1) for g in groups if any(sum(lengths[i : i + 3]) >= 80 for i in g)]
+        assert stretches(np.array(lengths), 80) == want, lengths
+
+
+def test_comments_and_sidebars_of_their_owners():
+    story = f"<p>{LONG}</p><p>{LONG}</p>"
+    for part in ('div id="user-comments"', 'div class="post-comments"', 'div class="share-this"', 'div class="blog-sidebar"', 'section class="reader_comments"'):
+        block = f"<{part}><p>Not of the article.</p></{part.split()[0]}>"
+        assert main_text(f"<div>{story}</div>{block}") == f"{LONG}\n{LONG}", part
+        assert main_text(f"<article>{story}{block}</article>") == f"{LONG}\n{LONG}", part
+    assert main_text(f'<div class="post-header"><h1>Title</h1></div>{story}') == f"Title\n{LONG}\n{LONG}"
+
+
+def test_broken_pages_in_linear_time():
+    pages = {
+        "quotes": lambda n: "<p a=\"b'>" * n,
+        "odd quotes": lambda n: "<a \">x" * (2 * n + 1),
+        "open tags": lambda n: "<b>" * n + "</i>" * n + "<div>" * n,
+        "inline": lambda n: "<b>" * n + "<div></div>" * n,
+        "heads": lambda n: "<b>" * n + "<head><body>" * n,
+        "comments": lambda n: "<!-- " * n,
+        "raw": lambda n: "<script>" * n,
+        "names": lambda n: "<" * n + "<a" * n,
+    }
+    for name, page in pages.items():
+        began = time.perf_counter()
+        main_text(page(200_000 // len(page(1)) * 5))
+        assert time.perf_counter() - began < 10, name
+    # One tag without an end: what follows is read without regard to quotes.
+    assert main_text(f'<p>{LONG}</p><p title="x>It goes on.</p>') == f"{LONG}\nIt goes on."
