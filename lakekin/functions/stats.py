@@ -5,10 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from lakekin.options import MIN_VARIANCE
 
@@ -96,18 +94,60 @@ def t_quantile(p: float, df: float) -> float:
     return (low + high) / 2.0
 
 
-@F.pandas_udf(DoubleType())
-def two_sided_p(r: pd.Series, t: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p of a correlation; a perfect one has p = 0."""
-    df = n.to_numpy(dtype=float) - 2.0
-    size = np.abs(np.nan_to_num(t.to_numpy(dtype=float)))
-    p = 2.0 * t_upper_tail(size, np.where(df > 0, df, 1.0))
-    p = np.where(np.isclose(np.abs(r.to_numpy(dtype=float)), 1.0, rtol=0.0, atol=1e-15), 0.0, p)
-    return pd.Series(p).where((df > 0) & r.notna().to_numpy())
-
-
-@F.pandas_udf(DoubleType())
-def one_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
+def _gamma_ratio(z: Column) -> Column:
+    """Gamma(z + 1/2) / Gamma(z), by its series twenty places further on."""
+    far = z + F.lit(20.0)
+    series = F.lit(0.0)
+    # Coefficients of the asymptotic series in 1/z, the highest power first.
+    for c in (869 / 4194304, -399 / 262144, -21 / 32768, 5 / 1024, 1 / 128, -1 / 8, 1.0):
+        series = series / far + F.lit(c)
+    near = F.aggregate(F.sequence(F.lit(0), F.lit(19)), F.lit(1.0), lambda f, k: f * (z + k) / (z + k + F.lit(0.5)))
+    return near * F.sqrt(far) * series
+
+
+def _two_tails(t: Column, df: Column) -> Column:
+    """P(|T| > |t|): the regularized incomplete beta function at df / (df + t^2), by its continued fraction."""
+    a, ratio = df / F.lit(2.0), t * t / df
+    x, rest = 1.0 / (1.0 + ratio), ratio / (1.0 + ratio)
+    swap = x > (a + 1.0) / (a + 2.5)
+    half = F.lit(0.5)
+    given = F.struct(
+        F.when(swap, half).otherwise(a).alias("p"), F.when(swap, a).otherwise(half).alias("q"), F.when(swap, rest).otherwise(x).alias("z")
+    )
+    tiny = F.lit(1e-300)
+
+    def fraction(g: Column) -> Column:
+        p, q, z = g["p"], g["q"], g["z"]
+        first = 1.0 / (1.0 - (p + q) * z / (p + 1.0))
+
+        def step(state: Column, j: Column) -> Column:
+            m = F.floor(j / 2).cast("double")
+            even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+            k = F.when(j % 2 == 0, even).otherwise(odd)
+            below = 1.0 + k * state["d"]
+            c = 1.0 + k / F.when(F.abs(state["c"]) < tiny, tiny).otherwise(state["c"])
+            d = 1.0 / F.when(F.abs(below) < tiny, tiny).otherwise(below)
+            return F.struct(c.alias("c"), d.alias("d"), (state["total"] * c * d).alias("total"))
+
+        # The number of steps to full precision grows with the root of df.
+        steps = F.sequence(F.lit(2), (F.lit(100) + 6 * F.ceil(F.sqrt(F.greatest(p, q)))).cast("int"))
+        start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("total"))
+        return F.aggregate(steps, start, step, lambda state: state["total"]) / p
+
+    total = F.element_at(F.transform(F.array(given), fraction), 1)
+    front = F.exp(F.lit(0.5) * F.log(rest) - a * F.log1p(ratio)) * _gamma_ratio(a) / F.lit(math.sqrt(math.pi))
+    tail = F.when(swap, 1.0 - front * total).otherwise(front * total)
+    return F.when(rest <= 0.0, 1.0).when(ratio > 1e300, 0.0).otherwise(tail)
+
+
+def two_sided_p(r: Column, t: Column, n: Column) -> Column:
+    """Two-sided p of a correlation; a perfect one has p = 0. NULL without r or below three rows."""
+    p = F.when(F.abs(r) >= 1.0 - 1e-15, 0.0).otherwise(_two_tails(F.coalesce(t, F.lit(0.0)), n.cast("double") - 2.0))
+    return F.when((n > 2) & r.isNotNull() & ~F.isnan(r), p)
+
+
+def one_sided_p(t: Column, df: Column) -> Column:
     """P(T > t) with ``df`` degrees of freedom."""
-    values = np.nan_to_num(t.to_numpy(dtype=float))
-    return pd.Series(t_upper_tail(values, df.to_numpy(dtype=float))).where(t.notna().to_numpy())
+    half = F.lit(0.5) * _two_tails(t, df)
+    return F.when((df > 0) & t.isNotNull(), F.when(t >= 0, half).otherwise(1.0 - half))

@@ -177,7 +177,7 @@ def permutation_importance(
     half = F.lit(t_quantile(0.995, shuffles - 1)) * spread
     return summary.withColumn(
         "p_value",
-        one_sided_p(F.try_divide("importance", spread), (F.col("n") - 1).cast("double")),
+        one_sided_p(F.try_divide(F.col("importance"), spread), (F.col("n") - 1).cast("double")),
     ).select(
         "feature",
         "importance",

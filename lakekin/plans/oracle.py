@@ -127,6 +127,41 @@ means AS (SELECT k.table_id, rk.column_name AS key_col, rv.column_name AS value_
   WHERE k.cell IS NOT NULL AND v.num IS NOT NULL GROUP BY ALL)"""
 
 SIGNED_TOP = f"{SIGNED} ORDER BY n DESC, id LIMIT 10"
+def _model_grid() -> str:
+    """Least squares by Gram-Schmidt: after k steps y is the residual of the first k features."""
+    names = [f"x{i}" for i in range(7)]
+    of = "OVER (PARTITION BY rows)"
+    train = f"FILTER (WHERE is_train) {of}"
+    steps, results = [], []
+    for skip in (0, 1):
+        order = ["x0", *names[1 + skip : 6 + skip]]
+        before = "centred"
+        for k, x in enumerate(order):
+            later = [*order[k + 1 :], "y"]
+            slopes = ", ".join(
+                f"CASE WHEN sum({x} * {x}) {train} > 1e-9 * own_{x} THEN sum({x} * {v}) {train} / sum({x} * {x}) {train} ELSE 0 END AS b_{v}"
+                for v in later
+            )
+            changed = ", ".join(f"{v} - b_{v} * {x} AS {v}" for v in later)
+            steps.append(f"s{skip}{k} AS MATERIALIZED (SELECT * REPLACE ({changed}) FROM (SELECT * REPLACE ({slopes}) FROM {before}))")
+            results.append(f"SELECT rows, 'added_{k}_skip_{skip}' AS config, label AS y, label - y AS p FROM s{skip}{k} WHERE NOT is_train")
+            before = f"s{skip}{k}"
+    wide = ", ".join(f"max(CASE WHEN place = {p} THEN value END) AS x{p}" for p in range(1, 7))
+    mean = ", ".join(f"coalesce({x} - avg({x}) {train}, 0) AS {x}" for x in names)
+    own = ", ".join(f"sum({x} * {x}) {train} AS own_{x}" for x in names)
+    slope = ", ".join(f"CAST(0 AS DOUBLE) AS b_{v}" for v in ["y", *names])
+    return f"""{SEARCH}, {HITS}, base AS (SELECT c_name, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) / 1e7 AS y,
+  CAST(c_acctbal AS DOUBLE) AS x0 FROM orders JOIN customer ON o_custkey = c_custkey),
+both_rows AS (SELECT 'each' AS rows, * FROM base UNION ALL SELECT 'grouped', c_name, avg(y), avg(x0) FROM base GROUP BY c_name),
+wide AS (SELECT key, {wide} FROM means JOIN hits USING ({PAIR}) GROUP BY key),
+joined AS (SELECT both_rows.*, wide.* EXCLUDE (key), substring(md5(concat('7:', c_name)), 1, 8) < 'e6666666' AS is_train
+  FROM both_rows LEFT JOIN wide ON key = c_name),
+near AS (SELECT rows, is_train, y AS label, y - avg(y) {train} AS y, {mean} FROM joined),
+centred AS MATERIALIZED (SELECT *, {own}, {slope} FROM near), {", ".join(steps)},
+predictions AS ({" UNION ALL ".join(results)})
+SELECT rows, config, {METRICS.replace("GROUP BY config", "GROUP BY rows, config")}"""
+
+
 HITS = f"""top AS (SELECT * FROM ({SIGNED} WHERE table_id <> '{QUERY_TABLE}' ORDER BY n DESC, id LIMIT 10)),
 hits AS (SELECT {PAIR}, row_number() OVER (ORDER BY max(count) DESC, {PAIR}) AS place FROM top GROUP BY {PAIR})"""
 
@@ -185,6 +220,18 @@ def _grid_sql(k: int) -> str:
     )
 
 
+def _p_value(r: str, n: str) -> str:
+    """Two-sided p of a correlation, by the finite series for whole degrees of freedom."""
+    rest = f"ln(1 - {r} * {r})"
+    even = f"list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1) + k * {rest}) / sqrt(pi()) for k in range(0, ({n} - 2) // 2)])"
+    odd = f"list_sum([exp(lgamma(k + 1) - lgamma(k + 1.5) + (k + 0.5) * {rest}) * sqrt(pi()) / 2 for k in range(0, ({n} - 3) // 2)])"
+    return (
+        f"CASE WHEN {n} <= 2 OR {r} IS NULL THEN NULL WHEN abs({r}) >= 1 - 1e-15 THEN 0.0 "
+        f"WHEN {n} % 2 = 0 THEN 1 - abs({r}) * {even} "
+        f"ELSE 1 - 2 / pi() * (asin(abs({r})) + abs({r}) * coalesce({odd}, 0)) END"
+    )
+
+
 def _lines(final: str) -> str:
     """Model checks: least squares on two features, by the normal equations."""
     views = _views(("cust_order_totals", "cust_item_totals"))
@@ -336,10 +383,11 @@ shared AS ({' UNION ALL '.join(
         "shares AS (SELECT table_id, key_col, count(DISTINCT key) / (SELECT CAST(count(*) AS DOUBLE) FROM q) AS containment "
         "FROM means WHERE key IN (SELECT key FROM q) GROUP BY ALL), "
         "best AS (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY containment DESC, key_col) AS rn FROM shares) "
-        f"SELECT {PAIR}, round(max(containment), 6) AS containment, CAST(count(*) AS BIGINT) AS n, "
-        "round(covar_samp(x, value) / nullif(stddev_samp(x) * stddev_samp(value), 0), 6) AS correlation "
+        f"SELECT {PAIR}, round(c, 6) AS containment, n, round(r, 6) AS correlation, round({_p_value('r', 'n')}, 6) AS p_value "
+        f"FROM (SELECT {PAIR}, max(containment) AS c, CAST(count(*) AS BIGINT) AS n, "
+        "covar_samp(x, value) / nullif(stddev_samp(x) * stddev_samp(value), 0) AS r "
         "FROM means JOIN best USING (table_id, key_col) JOIN q USING (key) "
-        "WHERE rn = 1 AND containment > 0.5 GROUP BY ALL",
+        "WHERE rn = 1 AND containment > 0.5 GROUP BY ALL)",
         "search_quality": f"{SEARCH}, {EXACT}, truth AS (SELECT {PAIR} FROM ({_exact_top(10)})), "
         f"found AS (SELECT DISTINCT {PAIR} FROM ({SIGNED_TOP})), "
         "c AS (SELECT (SELECT count(*) FROM found) AS n_found, "
@@ -367,15 +415,20 @@ shared AS ({' UNION ALL '.join(
         f"{METRICS}",
     }
     half = f"{T_995_19} * stddev_samp(d) / sqrt(20)"
+    # The correlation whose test statistic with 19 degrees of freedom is that of the mean.
+    t = "(avg(d) / nullif(stddev_samp(d) / sqrt(20), 0))"
+    tail = f"({_p_value(f'({t} / sqrt(19 + {t} * {t}))', '21')} / 2)"
     sql["perm_importance_lines"] = _lines(
         f"{IMPORTANCE} SELECT feature, round(avg(d), 6) AS importance, round(stddev_samp(d), 6) AS stddev, "
         f"CAST(count(*) AS BIGINT) AS n, round(avg(d) + {half}, 6) AS p99_high, "
-        f"round(avg(d) - {half}, 6) AS p99_low FROM drops GROUP BY feature"
+        f"round(avg(d) - {half}, 6) AS p99_low, round(CASE WHEN avg(d) >= 0 THEN {tail} ELSE 1 - {tail} END, 6) AS p_value "
+        "FROM drops GROUP BY feature"
     )
     sql["train_eval_lines"] = _lines(
         f"predictions AS (SELECT 'one' AS config, y, start_one + b0 * n_orders AS p FROM test, fit "
         f"UNION ALL SELECT 'both', y, {_line('n_orders', 'n_items')} FROM test, fit) SELECT config, {METRICS}"
     )
+    sql["model_grid"] = _model_grid()
     sql["exact_corr_multi"] = (
         f"WITH {LAKE}, q AS (SELECT table_id AS query_table, key_col AS query_key, value_col AS query_value, "
         f"key, value AS x FROM means WHERE {MULTI_QUERY}), "
@@ -445,9 +498,11 @@ shares AS (SELECT s.*, overlap / total AS containment FROM shared s
   JOIN (SELECT query_table, query_key, CAST(count(*) AS DOUBLE) AS total FROM qkeys GROUP BY ALL) USING (query_table, query_key)),
 chosen AS (SELECT * FROM shares WHERE containment > 0.5
   QUALIFY row_number() OVER (PARTITION BY query_table, query_key, table_id ORDER BY containment DESC, position) = 1)
-SELECT query_table, query_key, query_value, {PAIR}, round(max(containment), 6) AS containment, CAST(count(*) AS BIGINT) AS n,
-  round(covar_samp(x, value) / nullif(stddev_samp(x) * stddev_samp(value), 0), 6) AS correlation
-FROM chosen JOIN qmeans USING (query_table, query_key) JOIN means USING (table_id, key_col, key) GROUP BY ALL"""
+SELECT query_table, query_key, query_value, {PAIR}, round(c, 6) AS containment, n, round(r, 6) AS correlation,
+  round({_p_value("r", "n")}, 6) AS p_value
+FROM (SELECT query_table, query_key, query_value, {PAIR}, max(containment) AS c, CAST(count(*) AS BIGINT) AS n,
+  covar_samp(x, value) / nullif(stddev_samp(x) * stddev_samp(value), 0) AS r
+  FROM chosen JOIN qmeans USING (query_table, query_key) JOIN means USING (table_id, key_col, key) GROUP BY ALL)"""
     sql["augment_multi_cells"] = CELL_MEANS.format(roles=STRICT) + f""",
 q AS (SELECT source AS key, avg(CAST(n_chars AS DOUBLE)) AS x FROM documents GROUP BY source),
 found AS (SELECT {PAIR}, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM q) AS joinability,

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakekin.operators import augment, evaluate, exact, key_index, models, profile, search, sketch, split
+from lakekin.operators import augment, evaluate, exact, gram, key_index, models, profile, search, sketch, split
 from lakekin.operators.index_store import TermStore, append_terms
 from lakekin.operators.mapper import map_blocks
 from lakekin.operators.pairs import (
@@ -469,8 +469,8 @@ def overlap_rank_corr(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def containment_best(spark: SparkSession, folder: str) -> DataFrame:
     lake = Lake(spark, folder)
-    found = exact.containment_first(lake.tables(), query_pairs(lake))
-    return rounded(found, "containment", "correlation")
+    found = exact.containment_first(lake.tables(), query_pairs(lake), p_values=True)
+    return rounded(found, "containment", "correlation", "p_value")
 
 
 @register
@@ -533,8 +533,8 @@ def overlap_rank_corr_cells(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def containment_best_cells(spark: SparkSession, folder: str) -> DataFrame:
     lake = Lake(spark, folder)
-    found = key_index.containment_first_cells(stored_keys(lake), tall_queries(lake))
-    return rounded(found, "containment", "correlation")
+    found = key_index.containment_first_cells(stored_keys(lake), tall_queries(lake), p_values=True)
+    return rounded(found, "containment", "correlation", "p_value")
 
 
 @register
@@ -716,13 +716,33 @@ def train_eval_lines(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(metrics, "rmse", "mse", "mae", "r2", "pearson", "median_ae")
 
 
+@register
+def model_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Least squares on orders and on their means per customer, with 0 to 5 found columns, with and without the first."""
+    lake = Lake(spark, folder)
+    orders = lake.sql(
+        "SELECT t.c_name, CAST(totalprice AS DOUBLE) / 1e7 AS y, CAST(c_acctbal AS DOUBLE) AS acctbal "
+        "FROM {orders} t JOIN {customer} c ON t.c_name = c.c_name",
+        orders=lake.table("cust_orders").df,
+    )
+    each = orders.withColumn("rows", F.lit("each"))
+    grouped = augment.group_base(orders, "c_name", ["y", "acctbal"], "y").withColumn("rows", F.lit("grouped"))
+    # Both sets of rows are split by customer, so no customer is on both sides.
+    both = split.hash_split(each.unionByName(grouped), F.col("c_name"), seed=7)
+    rows = augment.augment_hits(both, "c_name", lake.tables(), best_hits(lake, 6), 6)
+    rows = materialize(rows, "grid-rows")
+    lists = gram.added_lists(["acctbal"], [f"hit_{p}" for p in range(1, 7)])
+    metrics = gram.train_eval_lists(rows, "y", lists, ["rows"])
+    return rounded(metrics, "rmse", "mse", "mae", "r2", "pearson", "median_ae")
+
+
 @register
 def perm_importance_lines(spark: SparkSession, folder: str) -> DataFrame:
     model, test = _line_model(Lake(spark, folder))
     found = models.permutation_importance(
         model, test, F.col("c_custkey"), "y", LINE_FEATURES
-    ).drop("p_value")
-    return rounded(found, "importance", "stddev", "p99_high", "p99_low")
+    )
+    return rounded(found, "importance", "stddev", "p_value", "p99_high", "p99_low")
 
 
 @register

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakekin.functions.stats import t_quantile
 from lakekin.operators.pairs import LakeTable
-from lakekin.operators import augment, evaluate, models, split
+from lakekin.operators import augment, evaluate, gram, models, split
 
 
 def test_metrics_against_numpy(spark):
@@ -190,3 +190,32 @@ def test_least_squares_finds_the_line(linear_rows):
     model = models.train_regressor(linear_rows, "y", ["a", "b"], linear=True)
     far = models.predict(model, linear_rows).select(F.max(F.abs(F.col("prediction") - 3 * F.col("a") + 2 * F.col("b")))).first()[0]
     assert far < 0.1
+
+
+def test_lists_from_one_matrix_against_least_squares(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(900):
+        a, b = rng.normal(1e6, 1), rng.normal()
+        c = None if i % 7 == 0 else float("nan") if i % 11 == 0 else rng.normal() + b
+        y = None if i % 50 == 0 else 2 * a - b + rng.normal() * 0.1
+        rows.append((i, ["p", "q", None][i % 3], y, a, b, c, 2 * b + 3, 5.0, None))
+    names = ["a", "b.b", "c", "twice", "same", "none"]
+    df = spark.createDataFrame(rows, "id long, kind string, y double, a double, `b.b` double, c double, twice double, same double, none double")
+    df = split.hash_split(df, F.col("id"), fraction=0.8)
+    lists = gram.added_lists(["a"], names[1:], most=5)
+    assert lists["added_0_skip_1"] == ["a"] and lists["added_2_skip_1"] == ["a", "c", "twice"] and "added_5_skip_1" not in lists
+    found = {(r["kind"], r["config"]): r for r in gram.train_eval_lists(df, "y", lists, ["kind"]).collect()}
+    assert len(found) == 2 * len(lists)
+    part = df.toPandas()
+    for (kind, config), r in found.items():
+        own = part[(part.kind == kind) & part.y.notna()]
+        train, test = own[own.split == "train"], own[own.split == "test"]
+        mean = train[lists[config]].astype(float).mean().fillna(0.0)
+        x, z = (v[lists[config]].astype(float).fillna(mean).to_numpy() - mean.to_numpy() for v in (train, test))
+        slopes = np.linalg.lstsq(x, train.y - train.y.mean(), rcond=1e-9)[0]
+        e = test.y.to_numpy() - train.y.mean() - z @ slopes
+        assert r["n"] == len(e) and r["rmse"] == pytest.approx(np.sqrt((e**2).mean()), rel=1e-6), (kind, config)
+    assert gram.train_eval_lists(df.limit(0), "y", lists, ["kind"]).count() == 0
+    with pytest.raises(ValueError, match="grouping column"):
+        gram.train_eval_lists(df, "y", lists, [])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lakekin import SketchOptions
 from lakekin.functions.hashing import key_hash, sign_label, term
 from lakekin.functions.numeric import clean_text, guarded, parse_number
-from lakekin.functions.stats import incomplete_beta, score, t_quantile, t_upper_tail
+from lakekin.functions.stats import incomplete_beta, one_sided_p, score, t_quantile, t_statistic, t_upper_tail, two_sided_p
 
 
 @pytest.mark.parametrize(
@@ -106,3 +106,23 @@ def test_score_weights(spark):
     assert tilted == pytest.approx(0.25**0.25 * 0.81**0.75)
     with pytest.raises(ValueError):
         score(F.col("j"), F.col("r"), 1.5)
+
+
+def test_p_values_as_columns(spark):
+    rows = [(t, float(df)) for df in (1, 2, 3, 7, 30, 400, 5000, 100_000) for t in (0.0, 0.1, 1.2, 1.5, 5.0, -1.3, 1e8)]
+    df = spark.createDataFrame(rows + [(None, 3.0), (1.0, 0.0)], "t double, df double")
+    for r in df.select("t", "df", one_sided_p(F.col("t"), F.col("df")).alias("p")).collect():
+        if r["t"] is None or not r["df"]:
+            assert r["p"] is None
+        else:
+            assert r["p"] == pytest.approx(float(t_upper_tail(np.array(r["t"]), np.array(r["df"]))), rel=1e-9, abs=1e-300)
+    # At 10^9 degrees of freedom the normal distribution is right to nine digits.
+    wide = spark.createDataFrame([(1.959963984540054, 1e9)], "t double, df double")
+    assert wide.select(one_sided_p(F.col("t"), F.col("df"))).first()[0] == pytest.approx(0.025, rel=1e-7)
+    r, n = F.col("r"), F.col("n")
+    rows = [(0.5, 10), (-0.5, 10), (1.0, 9), (-1.0, 9), (0.0, 9), (0.3, 2), (None, 9), (float("nan"), 9)]
+    found = spark.createDataFrame(rows, "r double, n long").select(two_sided_p(r, t_statistic(r, n), n).alias("p")).collect()
+    # Of r = 0.5 and n = 10 by the finite series.
+    want = 1 - 0.5 * sum(math.comb(2 * k, k) / 4**k * 0.75**k for k in range(4))
+    assert [x["p"] for x in found[:5]] == [pytest.approx(want), pytest.approx(want), 0.0, 0.0, 1.0]
+    assert [x["p"] for x in found[5:]] == [None, None, None]
