@@ -21,7 +21,7 @@ from lakekin.operators.pairs import LakeTable, cell_pair_means, lake_means, sket
 from lakekin.operators.search import prune_index
 from lakekin.operators.sketch import term_index
 from lakekin.options import PAIR, SketchOptions
-from lakekin.session import materialize
+from lakekin.session import empty_frame, materialize
 
 TERM_SCHEMA = "term string, table_id string, key_col string, value_col string"
 
@@ -57,7 +57,7 @@ class TermStore:
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
+            return empty_frame(self.spark, schema)
 
     def attempts(self) -> dict[str, str]:
         """The attempt in force of every batch. Commits are one row per write."""
@@ -79,7 +79,7 @@ class TermStore:
         """Terms of all committed batches; other folders are not even listed."""
         found = list(self.attempts().values())
         if not found:
-            return self.spark.createDataFrame([], TERM_SCHEMA)
+            return empty_frame(self.spark, TERM_SCHEMA)
         paths = [f"{self.path}/terms/attempt={a}" for a in found]
         return self.spark.read.schema(TERM_SCHEMA).parquet(*paths)
 

@@ -25,7 +25,7 @@ from lakekin.operators.pairs import LakeTable, cell_pair_rows
 from lakekin.operators.profile import column_label, column_profile, role_of
 from lakekin.operators.sketch import pair_sketch, sketch_terms
 from lakekin.options import PAIR
-from lakekin.session import materialize
+from lakekin.session import empty_frame, materialize
 
 SKETCH_SCHEMA = "table_id string, key_col string, value_col string, key string, total double, n bigint"
 PROFILE_SCHEMA = (
@@ -48,7 +48,7 @@ class SketchStore(TermStore):
     def _stored(self, part: str, schema: str) -> DataFrame:
         found = list(self.attempts().values())
         if not found:
-            return self.spark.createDataFrame([], schema)
+            return empty_frame(self.spark, schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{part}/attempt={a}" for a in found])
 
     def tables(self) -> DataFrame:
@@ -66,8 +66,12 @@ class SketchStore(TermStore):
 
         Their columns get no counters and so pass every rule.
         """
-        profiles = self.spark.createDataFrame([], PROFILE_SCHEMA)
-        self._write_parts(self._part(rows), profiles, batch)
+        self._write_parts(self._part(rows), empty_frame(self.spark, PROFILE_SCHEMA), batch)
+
+    def append_sums(self, sums: DataFrame, batch: str) -> None:
+        """Like :meth:`append_rows`, for rows ``(pair, key, total, n)`` that are summed already."""
+        merged = sums.groupBy(*PAIR, "key").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+        self._write_parts(self._smallest(merged.where("n > 0")), empty_frame(self.spark, PROFILE_SCHEMA), batch)
 
     def append_cells(self, cells: DataFrame, batch: str, *, stage: bool = False, label_by: str = "name", **rules) -> None:
         """Further cells of new or known tables; ``rules`` are given to the store instead."""

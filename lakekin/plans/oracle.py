@@ -513,6 +513,7 @@ SELECT doc_id, source, {", ".join(f"round(max(CASE WHEN place = {p} THEN value E
 FROM documents d LEFT JOIN (SELECT key, value, place FROM means JOIN hits USING ({PAIR}) WHERE place <= 4) m ON m.key = d.source
 GROUP BY doc_id, source"""
     sql["index_merge"] = sql["cell_term_index"]
+    sql["index_table_stream"] = sql["cell_term_index"]
     sql["index_merge_stream"] = (
         f"WITH {csv_blocks}, means AS ("
         + " UNION ALL ".join(

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakekin.operators import augment, evaluate, exact, gram, key_index, models, profile, search, sketch, split
+from lakekin.operators import augment, evaluate, exact, gram, key_index, models, pairs, profile, search, sketch, split
 from lakekin.operators.index_store import TermStore, append_terms
 from lakekin.operators.mapper import map_blocks
 from lakekin.operators.pairs import (
@@ -27,6 +27,7 @@ from lakekin.session import materialize, new_folder
 from lakekin.sources import cells as tall
 from lakekin.sources import files as lake_files
 from lakekin.streaming.index_stream import index_stream as start_index_stream
+from lakekin.streaming.table_stream import ARRIVING_SCHEMA, index_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -325,6 +326,26 @@ def index_merge_stream(spark: SparkSession, folder: str) -> DataFrame:
     return store.terms()
 
 
+@register
+def index_table_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all tables of the tall lake as a stream; the tables end before their last rows come."""
+    cells = materialize(lake_cell_rows(Lake(spark, folder)), "cells")
+    rows = pairs.cell_pair_rows(cells, min_rows=COMPAT_MIN_ROWS)
+    rows = materialize(rows.withColumn("ended", F.lit(False)), "pair-rows")
+    part = F.pmod(F.xxhash64("key", "value"), F.lit(3))
+    ends = rows.select("table_id", F.lit(True).alias("ended")).distinct()
+    arriving = new_folder(spark, "arriving")
+    for n in range(3):
+        batch = rows.where(part == n)
+        if n == 1:
+            batch = batch.unionByName(ends, allowMissingColumns=True)
+        batch.coalesce(1).write.mode("append").parquet(arriving)
+    store = SketchStore(spark, new_folder(spark, "table-index"), OPTIONS)
+    stream = spark.readStream.schema(ARRIVING_SCHEMA).option("maxFilesPerTrigger", 1).parquet(arriving)
+    index_tables(stream, store, new_folder(spark, "stream-state"), salts=8).awaitTermination()
+    return store.terms()
+
+
 def folder_tables(files: DataFrame) -> tall.CellSource:
     """Numbered CSV files as parts of one table; its rows are numbered by file and line."""
     found = lake_files.csv_cells(files)

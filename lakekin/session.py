@@ -60,6 +60,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of ``schema``, made without a Python task."""
+    return spark.range(0).select(F.from_json(F.lit("{}"), schema).alias("row")).select("row.*")
+
+
 def fits(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 32 << 20) -> bool:
     """Whether ``df`` is proven to be at most ``max_rows`` and ``max_bytes``.
 
