@@ -14,6 +14,12 @@ from lakekin.options import PAIR, SketchOptions
 from lakekin.session import materialize
 
 
+#: Rows of a group that one task may order at the end of an exact selection.
+BAND_ROWS = 100_000
+#: Bins of a histogram that draws a bracket in.
+BINS = 4096
+
+
 def search_quality(truth: DataFrame, found: DataFrame) -> DataFrame:
     """Precision, recall and F1 of two id lists, compared as sets of pairs."""
     return grouped_quality(truth, found, [])
@@ -100,12 +106,31 @@ def quality_grid(
     return grouped_quality(truth, top, ["index_size", "query_size"])
 
 
-def exact_median(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
+def _narrower(df: DataFrame, value: str, groups: Sequence[str], bracket: DataFrame) -> DataFrame:
+    """``bracket`` drawn in to the bins, of equal width, that hold the median of their group."""
+    marked = df.where(F.col(value).isNotNull()).join(bracket, list(groups))
+    v, low, high = F.col(value), F.col("b")[0], F.col("b")[1]
+    place = F.floor(F.try_divide(v - low, high - low) * BINS)
+    inside = F.least(F.coalesce(place, F.lit(0)), F.lit(BINS - 1))
+    bin_of = F.when(v < low, -1).when(v > high, BINS).otherwise(inside)
+    bins = marked.groupBy(*groups, "n", bin_of.alias("bin")).agg(
+        F.count("*").alias("times"), F.min(v).alias("least"), F.max(v).alias("most")
+    )
+    # At most BINS + 2 rows per group.
+    last = F.sum("times").over(Window.partitionBy(*groups).orderBy("bin"))
+    held = bins.withColumn("last", last).where(
+        (F.col("last") > F.floor((F.col("n") - 1) / 2)) & (F.col("last") - F.col("times") <= F.floor(F.col("n") / 2))
+    )
+    return held.groupBy(*groups, "n").agg(F.array(F.min("least"), F.max("most")).alias("b"))
+
+
+def exact_median(df: DataFrame, value: str, groups: Sequence[str], *, band_rows: int = BAND_ROWS) -> DataFrame:
     """Exact median per group without gathering a group in one buffer.
 
     An approximate percentile gives a bracket that is sure to hold the median.
-    Only values inside it (a thousandth of the rows) enter the exact
-    percentile, next to the count of values below.
+    While a bracket holds more than ``band_rows`` rows of different values, a histogram
+    of what is in it draws it in, for all groups in one pass. What is left is ordered,
+    next to the count of values below.
     """
     if not groups:
         raise ValueError("name at least one grouping column")
@@ -115,6 +140,17 @@ def exact_median(df: DataFrame, value: str, groups: Sequence[str]) -> DataFrame:
         F.percentile_approx(value, [0.5 - slack, 0.5 + slack], accuracy).alias("b"),
         F.count(value).alias("n"),
     )
+    bracket = materialize(bracket.select(*groups, F.col("b").cast("array<double>").alias("b"), "n"), "brackets")
+    before = None
+    while True:
+        within = (F.col(value) >= F.col("b")[0]) & (F.col(value) <= F.col("b")[1]) & (F.col("b")[0] < F.col("b")[1])
+        held = df.join(bracket, list(groups)).where(within).groupBy(*groups).agg(F.count("*").alias("held"))
+        # Every pass draws an overfull bracket in, unless its width is no finite number.
+        largest = held.agg(F.max("held").alias("largest"), F.sum("held").alias("all")).first()
+        if (largest["largest"] or 0) <= band_rows or largest["all"] == before:
+            break
+        before = largest["all"]
+        bracket = materialize(_narrower(df, value, groups, bracket), "brackets")
     # One bracket row per group, that is per model configuration.
     marked = df.join(bracket, list(groups))
     v, low, high = F.col(value), F.col("b")[0], F.col("b")[1]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lakekin.operators.evaluate import BAND_ROWS
 from lakekin.options import TRAIN_FRACTION
 
 BUCKET_DIGITS = 4
@@ -27,42 +28,44 @@ def hash_split(
 
 
 def exact_split(
-    df: DataFrame, row_key: Column, seed: int = 0, fraction: float = TRAIN_FRACTION
+    df: DataFrame, row_key: Column, seed: int = 0, fraction: float = TRAIN_FRACTION, *, band_rows: int = BAND_ROWS
 ) -> DataFrame:
     """Like :func:`hash_split` with exactly ``floor(fraction * n)`` training rows.
 
-    Rows are counted per hash prefix (at most 16^4 counts); only the rows of
-    the one prefix that holds the cut are ranked. ``row_key`` must be unique.
+    Rows are counted per hash prefix (at most 16^4 counts), then within the prefix that
+    holds the cut per longer prefix, until at most ``band_rows`` rows share it; only
+    these are ranked. ``row_key`` must be unique.
     """
     hashed = df.withColumn("_hash", _split_hash(row_key, seed))
-    prefix = F.substring("_hash", 1, BUCKET_DIGITS)
-    counts = hashed.groupBy(prefix.alias("prefix")).agg(F.count("*").alias("n"))
-    # One row per prefix: a window over all of them is bounded.
-    upto = Window.orderBy("prefix")
-    running = counts.withColumn("end", F.sum("n").over(upto)).withColumn(
-        "total", F.sum("n").over(Window.partitionBy())
-    )
-    want = F.floor(F.col("total") * F.lit(fraction))
-    cut = (
-        running.where(F.col("end") >= want)
-        .agg(F.min(F.struct("prefix", (want - F.col("end") + F.col("n")).alias("take"))).alias("c"))
-        .select("c")
-        .scalar()
-    )
-    marked = hashed.withColumn("_prefix", prefix).withColumn("_cut", cut)
-    at_cut = F.col("_prefix") == F.col("_cut.prefix")
-    boundary = (
-        marked.where(at_cut)
-        .withColumn("_rank", F.row_number().over(Window.orderBy("_hash")))
-        .withColumn(
-            "split", F.when(F.col("_rank") <= F.col("_cut.take"), "train").otherwise("test")
+    cut, take, digits, rows = "", None, 0, None
+    while digits < 32 and (rows is None or rows > band_rows):
+        digits += BUCKET_DIGITS
+        counts = hashed.where(F.col("_hash").startswith(cut)).groupBy(F.substring("_hash", 1, digits).alias("prefix"))
+        # One row per prefix: a window over all of them is bounded.
+        running = counts.agg(F.count("*").alias("n")).select(
+            "prefix",
+            "n",
+            F.sum("n").over(Window.orderBy("prefix")).alias("end"),
+            F.sum("n").over(Window.partitionBy()).alias("total"),
         )
+        want = F.floor(F.col("total") * F.lit(fraction)) if take is None else F.lit(take)
+        found = (
+            running.where(F.col("end") >= want)
+            .agg(F.min(F.struct("prefix", (want - F.col("end") + F.col("n")).alias("take"), "n")).alias("c"))
+            .first()["c"]
+        )
+        if found is None:
+            return hashed.withColumn("split", F.lit("test")).drop("_hash")
+        cut, take, rows = found["prefix"], found["take"], found["n"]
+    prefix = F.substring("_hash", 1, digits)
+    ranked = (
+        hashed.where(prefix == cut)
+        .withColumn("_rank", F.row_number().over(Window.orderBy("_hash")))
+        .withColumn("split", F.when(F.col("_rank") <= take, "train").otherwise("test"))
         .drop("_rank")
     )
-    others = marked.where(~at_cut).withColumn(
-        "split", F.when(F.col("_prefix") < F.col("_cut.prefix"), "train").otherwise("test")
-    )
-    return boundary.unionByName(others).drop("_hash", "_prefix", "_cut")
+    others = hashed.where(prefix != cut).withColumn("split", F.when(prefix < cut, "train").otherwise("test"))
+    return ranked.unionByName(others).drop("_hash")
 
 
 def save_split(df: DataFrame, path: str) -> None:

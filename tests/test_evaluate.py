@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakekin.functions.stats import t_quantile
 from lakekin.operators.pairs import LakeTable
 from lakekin.operators import augment, evaluate, gram, models, split
+from lakekin.session import materialize
 
 
 def test_metrics_against_numpy(spark):
@@ -38,6 +39,23 @@ def test_exact_median(spark, n):
     assert row["median"] == pytest.approx(float(np.median(values)), rel=1e-15)
 
 
+def test_exact_median_draws_brackets_in(spark):
+    """Groups of other sizes and shapes, ties at the median, nulls, and a far outlier."""
+    v = (
+        F.when(F.col("g") == 0, F.col("id").cast("double"))
+        .when(F.col("g") == 1, F.lit(3.5))
+        .when(F.col("g") == 2, F.pow(F.lit(2.0), F.pmod("id", F.lit(900))))
+        .when(F.pmod("id", F.lit(5)) > 0, F.floor(F.rand(1) * 40).cast("double"))
+    )
+    df = spark.range(20_000).select(F.pmod(F.floor(F.col("id") / 7), F.lit(4)).alias("g"), "id").select("g", v.alias("v"))
+    df = df.union(spark.range(1).select(F.lit(0), F.lit(1e300)))
+    df = materialize(df, "values")
+    values = df.toPandas().dropna().groupby("g")["v"].median()
+    for band_rows in (1, 50, 100_000):
+        found = {r["g"]: r["median"] for r in evaluate.exact_median(df, "v", ["g"], band_rows=band_rows).collect()}
+        assert found == values.to_dict()
+
+
 def test_quality(spark):
     def ids(*names):
         return spark.createDataFrame([(n, "k", "v") for n in names], "table_id string, key_col string, value_col string")
@@ -58,6 +76,8 @@ def test_exact_split(spark, n, fraction):
     rows = df.collect()
     assert len(rows) == n
     assert sum(r["split"] == "train" for r in rows) == int(fraction * n)
+    narrow = split.exact_split(spark.range(n), F.col("id"), seed=3, fraction=fraction, band_rows=0 if n < 50 else 1)
+    assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, rows))
 
 
 def test_hash_split_is_stable_and_stored(spark, tmp_path):
