@@ -13,16 +13,15 @@ one task. Any number of query columns is searched at once.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakekin.functions.numeric import usable
 from lakekin.functions.stats import pearson, t_statistic, two_sided_p
 from lakekin.operators.exact import QUERY_PAIR, centred, row_join_r, row_join_sums
-from lakekin.operators.pairs import quoted
-from lakekin.operators.profile import column_label, table_roles
+from lakekin.operators.pairs import NUMBERED, named_pairs, numbered_rows, quoted, role_columns
 from lakekin.options import CONTAINMENT_THRESHOLD, OVERLAP_TOP, PAIR
 from lakekin.session import materialize
 
@@ -51,39 +50,38 @@ SCHEMAS = KeyIndex(
 ORDERS = KeyIndex(["key", *COLUMN], ["key"], ["table_id"], [*PAIR, "key"])
 
 
-def role_cells(cells: DataFrame, roles: DataFrame, kind: str, label_by: str) -> DataFrame:
-    """``table_id, row_id, label, column_id, cell, num`` of the columns of one role."""
-    columns = roles.select("table_id", F.inline(kind))
-    label = column_label(F.col("column_id"), F.col("column_name"), label_by).alias("label")
-    named = columns.select("table_id", "column_id", label)
-    return cells.drop("column_name").join(named, ["table_id", "column_id"])
-
-
 def index_tables(cells: DataFrame, *, label_by: str = "name", **rules) -> KeyIndex:
     """The tables of an index as plans over written cells; ``rules`` are the column rules.
 
     Roles meet the cells before any exchange, so cells of other columns are dropped where
-    they are read; keys ship their text and measures their number.
+    they are read; keys ship their text and measures their number, and columns are named
+    after the rows are counted.
     """
-    roles = materialize(table_roles(cells, **rules).select("table_id", "keys", "measures"), "roles")
-    keys = role_cells(cells, roles, "keys", label_by).where(F.col("cell").isNotNull())
-    keys = keys.select("table_id", "row_id", F.col("label").alias("key_col"), F.col("column_id").alias("position"), F.col("cell").alias("key"))
-    numbers = role_cells(cells, roles, "measures", label_by).where(usable(F.col("num")))
-    numbers = numbers.select("table_id", "row_id", F.col("label").alias("value_col"), F.col("num").alias("value"))
-    lists = keys.groupBy(*COLUMN, "position", "key").agg(F.count("*").alias("rows"))
-    moments = keys.join(numbers, ["table_id", "row_id"]).groupBy(*PAIR, "key")
-    moments = moments.agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("spread"))
-    label = column_label(F.col("column_id"), F.col("column_name"), label_by)
-    pairs = roles.select("table_id", F.inline("keys"), "measures").select("table_id", label.alias("key_col"), "measures")
-    pairs = pairs.select(*COLUMN, F.inline("measures")).select(*COLUMN, label.alias("value_col"))
+    columns = role_columns(cells, label_by=label_by, **rules)
+    keyed = columns.where("is_key").select("table_no", "table_id", "column_id", F.col("label").alias("key_col"))
+    keys = cells.where(F.col("cell").isNotNull()).select("table_id", "column_id", F.col("cell").alias("key"))
+    keys = keys.join(keyed.drop("key_col"), ["table_id", "column_id"])
+    counted = keys.groupBy("table_no", "column_id", "key").agg(F.count("*").alias("rows"))
+    lists = counted.join(keyed, ["table_no", "column_id"])
+    lists = lists.select(*COLUMN, F.col("column_id").alias("position"), "key", "rows")
+    moments = [F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("spread")]
+    moments = named_pairs(numbered_rows(cells, columns).groupBy(*NUMBERED, "key").agg(*moments), columns)
+    measures = columns.where("NOT is_key").select("table_no", F.col("label").alias("value_col"))
+    pairs = keyed.join(measures, "table_no").select(*PAIR)
     return KeyIndex(lists, lists.groupBy("key").agg(F.count("*").alias("columns")), pairs, moments)
 
 
-def save_index(cells: DataFrame, path: str, **rules) -> KeyIndex:
-    """Write the index of written ``cells`` to ``path``, each table in its order."""
+def save_index(cells: DataFrame, path: str, *, parts: Sequence[str] = KeyIndex._fields, **rules) -> KeyIndex:
+    """Write the index of written ``cells`` to ``path``, each table in its order.
+
+    ``parts`` names the tables to write, for searches that need no other: overlaps come
+    from ``lists`` and ``rarity`` alone. ``rarity`` needs ``lists``.
+    """
     spark = cells.sparkSession
     tables = index_tables(cells, **rules)
     for name in KeyIndex._fields:
+        if name not in parts:
+            continue
         table = getattr(tables, name)
         if name == "rarity":
             # Counted from the lists as written, not from the cells again.
@@ -91,11 +89,17 @@ def save_index(cells: DataFrame, path: str, **rules) -> KeyIndex:
             table = lists.groupBy("key").agg(F.count("*").alias("columns"))
         order = getattr(ORDERS, name)
         table.repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(f"{path}/{name}")
-    return load_index(spark, path)
+    return load_index(spark, path, parts)
+
+
+def load_index(spark: SparkSession, path: str, parts: Sequence[str] = KeyIndex._fields) -> KeyIndex:
+    """The tables of a written index; those that are not among ``parts`` are None."""
 
+    def table(name: str) -> DataFrame | None:
+        if name in parts:
+            return spark.read.schema(getattr(SCHEMAS, name)).parquet(f"{path}/{name}")
 
-def load_index(spark: SparkSession, path: str) -> KeyIndex:
-    return KeyIndex(*[spark.read.schema(getattr(SCHEMAS, n)).parquet(f"{path}/{n}") for n in KeyIndex._fields])
+    return KeyIndex(*[table(n) for n in KeyIndex._fields])
 
 
 def known_keys(index: KeyIndex, queries: DataFrame) -> DataFrame:

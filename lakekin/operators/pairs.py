@@ -10,12 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekin.functions.numeric import clean_text, usable
 from lakekin.operators.profile import column_label, table_roles
 from lakekin.options import MAX_MEASURE, PAIR
+from lakekin.session import materialize
 
 
 def quoted(name: str) -> Column:
@@ -272,23 +273,91 @@ def wide_pair_means(
     return lake_means([LakeTable(table_id, df, tuple(keys), tuple(measures))], **options)
 
 
+def role_columns(cells: DataFrame, *, label_by: str = "name", **rules) -> DataFrame:
+    """Written ``table_no, table_id, column_id, label, is_key`` of the key and measure columns.
+
+    A small table: one row per column. Written first, its size is known when joins
+    with the cells are planned. ``table_no`` is a number for this run only.
+    """
+
+    def listed(columns: str, is_key: bool) -> Column:
+        return F.transform(
+            columns,
+            lambda c: F.struct(
+                c["column_id"].alias("column_id"),
+                column_label(c["column_id"], c["column_name"], label_by).alias("label"),
+                F.lit(is_key).alias("is_key"),
+            ),
+        )
+
+    roles = table_roles(cells, **rules)
+    both = F.concat(listed("keys", True), listed("measures", False))
+    columns = roles.select(F.monotonically_increasing_id().alias("table_no"), "table_id", both.alias("columns"))
+    return materialize(columns.select("table_no", "table_id", F.inline("columns")), "roles")
+
+
+#: Columns of a pair as numbers; names are put in their place last.
+NUMBERED = ["table_no", "key_id", "value_id"]
+
+
 def row_block(block_rows: int) -> Column:
     """Number of the block of rows a cell belongs to."""
     return F.expr(f"row_id DIV {int(block_rows)}").alias("block")
 
 
-def row_records(cells: DataFrame, block_rows: int = 1 << 16) -> DataFrame:
-    """Assemble cells into one record per table row.
+def role_cells(cells: DataFrame, columns: DataFrame, only_keys: DataFrame | None = None) -> DataFrame:
+    """``table_no, row_id, column_id, key, value``: key cells with their text, measure cells with their number.
 
-    The exchange is on (table, block of rows), so that one huge table spreads
-    over many tasks; grouping by row and joining by block both reuse it.
+    Cells without a role, missing keys and unusable numbers are dropped where they are read.
     """
-    return (
-        cells.select("table_id", row_block(block_rows), "row_id", "column_id", "cell", "num")
-        .repartition("table_id", "block")
-        .groupBy("table_id", "block", "row_id")
-        .agg(F.collect_list(F.struct("column_id", "cell", "num")).alias("cells"))
+    roles = columns.select("table_no", "table_id", "column_id", "is_key")
+    found = cells.select("table_id", "row_id", "column_id", "cell", "num").join(roles, ["table_id", "column_id"])
+    placed = found.select(
+        "table_no",
+        "row_id",
+        "column_id",
+        F.when(F.col("is_key"), F.col("cell")).alias("key"),
+        F.when(~F.col("is_key") & usable(F.col("num")), F.col("num")).alias("value"),
     )
+    if only_keys is not None:
+        few = F.broadcast(only_keys.select(F.col("key").alias("few")).distinct())
+        known = placed.join(few, F.col("key") == F.col("few"), "left")
+        placed = known.withColumn("key", F.col("few")).drop("few")
+    return placed.where("key IS NOT NULL OR value IS NOT NULL")
+
+
+def numbered_rows(
+    cells: DataFrame, columns: DataFrame, only_keys: DataFrame | None = None, block_rows: int = 1 << 16
+) -> DataFrame:
+    """Rows ``(*NUMBERED, key, value)``: the key cells of a table row beside its measure cells.
+
+    Roles meet the cells before the exchange, so only cells of a role travel, once, as
+    numbers and with either their text or their number. The exchange is on (table, block
+    of rows), so that one huge table spreads over many tasks, and rows are put together on it. ``only_keys`` (a column
+    ``key``, of a checked size) drops other keys where they are read.
+    """
+    value = F.when(F.col("value").isNotNull(), F.struct(F.col("column_id").alias("value_id"), "value"))
+    # The row id first: it tells rows apart where they are sorted. A window sorts once;
+    # a group by with lists would sort before and after merging them.
+    beside = Window.partitionBy("row_id", "table_no", "block")
+    rows = (
+        role_cells(cells, columns, only_keys)
+        .withColumn("block", row_block(block_rows))
+        .repartition("table_no", "block")
+        .withColumn("measures", F.collect_list(value).over(beside))
+        .where(F.col("key").isNotNull())
+    )
+    opened = rows.select("table_no", F.col("column_id").alias("key_id"), "key", F.inline("measures"))
+    return opened.select(*NUMBERED, "key", "value")
+
+
+def named_pairs(numbered: DataFrame, columns: DataFrame) -> DataFrame:
+    """Names in place of the numbers of a pair; other columns stay."""
+    rest = [c for c in numbered.columns if c not in NUMBERED]
+    keys = columns.where("is_key").select("table_no", "table_id", F.col("column_id").alias("key_id"), F.col("label").alias("key_col"))
+    measures = columns.where("NOT is_key").select("table_no", F.col("column_id").alias("value_id"), F.col("label").alias("value_col"))
+    named = numbered.join(keys, ["table_no", "key_id"]).join(measures, ["table_no", "value_id"])
+    return named.select(*PAIR, *rest)
 
 
 def cell_pair_rows(
@@ -300,34 +369,31 @@ def cell_pair_rows(
     block_rows: int = 1 << 16,
     label_by: str = "name",
 ) -> DataFrame:
-    """One row per (table row, key column, measure column) of a tall lake."""
-    roles = table_roles(cells, rule=rule, null_as_nan=null_as_nan, min_rows=min_rows)
-    blocks = cells.select("table_id", row_block(block_rows)).distinct()
-    block_roles = blocks.join(roles, "table_id")
-    rows = row_records(cells, block_rows).join(block_roles, ["table_id", "block"])
-    rows = rows.select(
-        "table_id",
-        "names",
-        F.filter(
-            "cells",
-            lambda c: F.array_contains("key_ids", c["column_id"]) & c["cell"].isNotNull(),
-        ).alias("key_cells"),
-        F.filter(
-            "cells",
-            lambda c: F.array_contains("measure_ids", c["column_id"]) & usable(c["num"]),
-        ).alias("measure_cells"),
-    )
-    exploded = rows.select(
-        "table_id", "names", F.explode("key_cells").alias("k"), "measure_cells"
-    ).select("table_id", "names", "k", F.explode("measure_cells").alias("v"))
-    name = lambda c: F.col("names")[c["column_id"]]
-    return exploded.select(
-        "table_id",
-        column_label(F.col("k.column_id"), name(F.col("k")), label_by).alias("key_col"),
-        column_label(F.col("v.column_id"), name(F.col("v")), label_by).alias("value_col"),
-        F.col("k.cell").alias("key"),
-        F.col("v.num").alias("value"),
-    )
+    """One row per (table row, key column, measure column) of a tall lake.
+
+    The cells are read twice: for the roles, which are found at once, and for the rows.
+    """
+    columns = role_columns(cells, rule=rule, null_as_nan=null_as_nan, min_rows=min_rows, label_by=label_by)
+    return named_pairs(numbered_rows(cells, columns, block_rows=block_rows), columns)
+
+
+def cell_pair_aggregate(
+    cells: DataFrame,
+    *aggregates: Column,
+    clean_keys: bool = False,
+    only_keys: DataFrame | None = None,
+    block_rows: int = 1 << 16,
+    **rules,
+) -> DataFrame:
+    """``aggregates`` of ``value`` per pair and key; pairs are named after it.
+
+    ``rules`` and ``block_rows`` are those of :func:`cell_pair_rows`.
+    """
+    columns = role_columns(cells, **rules)
+    rows = numbered_rows(cells, columns, only_keys, block_rows)
+    if clean_keys:
+        rows = rows.withColumn("key", clean_text(F.col("key")))
+    return named_pairs(rows.groupBy(*NUMBERED, "key").agg(*aggregates), columns)
 
 
 def cell_pair_means(cells: DataFrame, *, clean_keys: bool = False, agg: str = "avg", **rules) -> DataFrame:
@@ -336,10 +402,7 @@ def cell_pair_means(cells: DataFrame, *, clean_keys: bool = False, agg: str = "a
     ``rules`` are those of :func:`cell_pair_rows`.
     """
     check_aggregate(agg)
-    rows = cell_pair_rows(cells, **rules)
-    if clean_keys:
-        rows = rows.withColumn("key", clean_text(F.col("key")))
-    return rows.groupBy(*PAIR, "key").agg(F.avg("value").alias("value"))
+    return cell_pair_aggregate(cells, F.avg("value").alias("value"), clean_keys=clean_keys, **rules)
 
 
 def query_means(

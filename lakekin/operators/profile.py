@@ -93,13 +93,16 @@ def large_tables(cells: DataFrame, min_rows: int) -> DataFrame:
 
 
 def table_roles(
-    cells: DataFrame, *, rule: str = "strict", null_as_nan: bool = True, min_rows: int = 2
+    cells: DataFrame, *, rule: str = "strict", null_as_nan: bool = True, min_rows: int = 2,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
     """Per table the ids of its key and measure columns; tables without a pair drop out.
 
-    The lists are as long as the table is wide.
+    The lists are as long as the table is wide. ``profile`` is the :func:`column_profile`
+    of the cells, where it is written already.
     """
-    profile = column_profile(cells, rule=rule, null_as_nan=null_as_nan)
+    if profile is None:
+        profile = column_profile(cells, rule=rule, null_as_nan=null_as_nan)
     named = F.struct("column_id", "column_name")
     roles = profile.groupBy("table_id").agg(
         F.max("n_cells").alias("n_rows"),

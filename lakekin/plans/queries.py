@@ -78,6 +78,11 @@ def lake_cell_rows(lake: Lake) -> DataFrame:
     return tall.union_cells(parts)
 
 
+def written_cells(lake: Lake) -> DataFrame:
+    """The tall lake as files: the searches and indexes read it several times."""
+    return materialize(lake_cell_rows(lake), "cells")
+
+
 def customer_blocks(lake: Lake, size: int) -> DataFrame:
     """Blocks of ``size`` customers, each standing for one file of a lake."""
     return lake.sql(
@@ -213,19 +218,19 @@ def pair_means(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def cell_pair_means_strict(spark: SparkSession, folder: str) -> DataFrame:
-    cells = lake_cell_rows(Lake(spark, folder))
+    cells = written_cells(Lake(spark, folder))
     return rounded(cell_pair_means(cells, min_rows=COMPAT_MIN_ROWS), "value")
 
 
 @register
 def cell_pair_means_dtype(spark: SparkSession, folder: str) -> DataFrame:
-    cells = lake_cell_rows(Lake(spark, folder))
+    cells = written_cells(Lake(spark, folder))
     return rounded(cell_pair_means(cells, rule="dtype", min_rows=COMPAT_MIN_ROWS), "value")
 
 
 @register
 def cell_term_index(spark: SparkSession, folder: str) -> DataFrame:
-    cells = lake_cell_rows(Lake(spark, folder))
+    cells = written_cells(Lake(spark, folder))
     return sketch.term_index(cell_pair_means(cells, min_rows=COMPAT_MIN_ROWS), OPTIONS)
 
 
@@ -305,7 +310,7 @@ def index_store(spark: SparkSession, folder: str) -> DataFrame:
 def index_merge(spark: SparkSession, folder: str) -> DataFrame:
     """The tall lake in three parts, rows dealt by number; the second part comes twice."""
     lake = Lake(spark, folder)
-    cells = materialize(lake_cell_rows(lake), "cells")
+    cells = written_cells(lake)
     store = SketchStore(spark, new_folder(spark, "merged-index"), OPTIONS, min_rows=COMPAT_MIN_ROWS)
     for part in (0, 1, 1, 2):
         store.append_cells(cells.where(F.col("row_id") % 3 == part), f"part-{part}")
@@ -329,7 +334,7 @@ def index_merge_stream(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def index_table_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of all tables of the tall lake as a stream; the tables end before their last rows come."""
-    cells = materialize(lake_cell_rows(Lake(spark, folder)), "cells")
+    cells = written_cells(Lake(spark, folder))
     rows = pairs.cell_pair_rows(cells, min_rows=COMPAT_MIN_ROWS)
     rows = materialize(rows.withColumn("ended", F.lit(False)), "pair-rows")
     part = F.pmod(F.xxhash64("key", "value"), F.lit(3))
@@ -446,7 +451,7 @@ def exact_corr_cells(spark: SparkSession, folder: str) -> DataFrame:
     """Mean text length by document source, searched in the tall lake."""
     lake = Lake(spark, folder)
     query = query_means(lake.read("documents"), "source", "n_chars").select("key", "value")
-    cells = materialize(lake_cell_rows(lake), "cells")
+    cells = written_cells(lake)
     found = exact.search_exact_cells(cells, query, min_rows=COMPAT_MIN_ROWS)
     return rounded(found, "joinability", "correlation")
 
@@ -520,10 +525,10 @@ def quality_grid(spark: SparkSession, folder: str) -> DataFrame:
 TALL_QUERY = ("docs", "customer")
 
 
-def stored_keys(lake: Lake) -> key_index.KeyIndex:
-    """The inverted key index of the tall lake, written to files."""
-    cells = materialize(lake_cell_rows(lake), "cells")
-    return key_index.save_index(cells, new_folder(lake.spark, "key-index"), min_rows=COMPAT_MIN_ROWS)
+def stored_keys(lake: Lake, *parts: str) -> key_index.KeyIndex:
+    """The inverted key index of the tall lake, written to files: all of it, or the parts a search needs."""
+    cells = written_cells(lake)
+    return key_index.save_index(cells, new_folder(lake.spark, "key-index"), min_rows=COMPAT_MIN_ROWS, parts=parts or key_index.KeyIndex._fields)
 
 
 def tall_queries(lake: Lake) -> DataFrame:
@@ -533,14 +538,14 @@ def tall_queries(lake: Lake) -> DataFrame:
 @register
 def key_lists(spark: SparkSession, folder: str) -> DataFrame:
     """The posting lists as stored, with the rarity of each key."""
-    index = stored_keys(Lake(spark, folder))
+    index = stored_keys(Lake(spark, folder), "lists", "rarity")
     return index.lists.join(index.rarity, "key")
 
 
 @register
 def overlap_topk_cells(spark: SparkSession, folder: str) -> DataFrame:
     lake = Lake(spark, folder)
-    found = key_index.overlap_topk_cells(stored_keys(lake), tall_queries(lake), 2)
+    found = key_index.overlap_topk_cells(stored_keys(lake, "lists", "rarity"), tall_queries(lake), 2)
     return found.select("query_table", "query_key", "table_id", "key_col", "overlap", "joinability")
 
 

@@ -257,3 +257,26 @@ def test_equal_headers_stay_apart(spark):
 
     wide, _ = map_tables(cells, lambda t: pd.DataFrame({"n": [t.shape[1]]}), "n bigint")
     assert wide.first()["n"] == 3
+
+
+@pytest.mark.parametrize(
+    "text, number",
+    [(" 5\t", 5.0), ("-1.5e3", -1500.0), ("5.", 5.0), (".5", 0.5), ("+.5E-1", 0.05), ("-inf", float("-inf")), (" Infinity ", float("inf")),
+     ("1-URGENT", None), ("e5", None), (".", None), ("5 5", None), ("", None), ("5e", None), ("\tinf", None), ("1_0", None)],
+)
+def test_numbers_are_told_by_their_form(spark, text, number):
+    from lakekin.functions.numeric import NUMBER_TEXT, parse_number
+
+    row = spark.createDataFrame([(text,)], "c string").select(
+        parse_number(F.col("c")).alias("v"), F.col("c").rlike(NUMBER_TEXT).alias("form")
+    ).first()
+    assert row["v"] == number
+    # Text never reaches the cast, whose exceptions are what the time went into.
+    assert row["form"] or number is None
+    assert not (row["form"] and text in ("1-URGENT", "e5", ".", "5 5", "", "5e", "1_0"))
+
+
+def test_rows_are_put_together_without_merging_lists(spark):
+    cells, _, _ = mixed_cells(spark)
+    plan = cell_pair_means(cells)._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and "lambda" not in plan
