@@ -11,7 +11,7 @@ from lakekin.functions.stats import guarded_pearson, pearson, score, t_statistic
 from lakekin.operators.pairs import (
     LakeSql,
     LakeTable,
-    cell_pair_rows,
+    cell_pair_aggregate,
     lake_means,
 )
 from lakekin.options import CONTAINMENT_THRESHOLD, OVERLAP_TOP, PAIR
@@ -50,17 +50,19 @@ def search_exact_cells(
     """:func:`search_exact` over a tall lake; ``rules`` are its column rules.
 
     With a small query, tables without any of its keys are dropped before rows
-    are assembled, and other rows before they are aggregated.
+    are assembled, and so are other keys. The tables that are left are written
+    first: their list is then joined by its size, and the cells are not exchanged
+    by table, which would put the largest table into one task.
     """
     keys = filter_keys(query, small_query)
     if keys is not None:
         few = F.broadcast(keys.withColumnRenamed("key", "cell"))
         matched = cells.join(few, "cell", "left_semi").select("table_id").distinct()
+        matched = materialize(matched, "matched")
+        if fits(matched):
+            matched = F.broadcast(matched)
         cells = cells.join(matched, "table_id", "left_semi")
-    rows = cell_pair_rows(cells, **rules)
-    if keys is not None:
-        rows = rows.join(F.broadcast(keys), "key", "left_semi")
-    means = rows.groupBy(*PAIR, "key").agg(F.avg("value").alias("value"))
+    means = cell_pair_aggregate(cells, F.avg("value").alias("value"), only_keys=keys, **rules)
     return correlate(means, query)
 
 

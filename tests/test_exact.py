@@ -153,3 +153,25 @@ def test_several_query_columns_at_once(spark):
             assert got.keys() == want.keys()
             for pair in want:
                 assert got[pair] == pytest.approx(want[pair], nan_ok=True)
+
+
+def test_cells_are_not_exchanged_by_table(spark):
+    """One large table must not meet the list of matched tables in one task."""
+    cells = spark.range(400).selectExpr(
+        "'t' AS table_id", "id DIV 2 AS row_id", "CAST(id % 2 AS INT) AS column_id",
+        "CASE WHEN id % 2 = 0 THEN 'k' ELSE 'v' END AS column_name",
+        "CASE WHEN id % 2 = 0 THEN concat('key', id DIV 2 % 5) ELSE CAST(id AS STRING) END AS cell",
+        "CASE WHEN id % 2 = 1 THEN CAST(id AS DOUBLE) END AS num",
+    )
+    query = spark.createDataFrame([(f"key{i}", float(i * i)) for i in range(4)], "key string, value double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = exact.search_exact_cells(cells, query)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    by_table = [l for l in plan.splitlines() if "Exchange hashpartitioning(table_id#" in l and l.count("#") == 2]
+    assert by_table == []
+    row = found.first()
+    assert (row["n"], row["joinability"]) == (4, 1.0)
