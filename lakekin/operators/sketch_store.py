@@ -17,11 +17,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakekin.operators.index_store import TermStore
-from lakekin.operators.pairs import LakeTable, cell_pair_rows
+from lakekin.operators.pairs import LakeTable, cell_pair_aggregate
 from lakekin.operators.profile import column_label, column_profile, role_of
 from lakekin.operators.sketch import pair_sketch, sketch_terms
 from lakekin.options import PAIR
@@ -31,6 +31,12 @@ SKETCH_SCHEMA = "table_id string, key_col string, value_col string, key string,
 PROFILE_SCHEMA = (
     "table_id string, label string, column_id int, n_cells bigint, n_numbers bigint, n_missing bigint"
 )
+
+
+def sums_of_value() -> list[Column]:
+    return [F.sum("value").alias("total"), F.count("value").alias("n")]
+
+
 class SketchStore(TermStore):
     """One stored index of growing tables.
 
@@ -80,15 +86,14 @@ class SketchStore(TermStore):
         if stage:
             cells = materialize(cells, "cells")
         label = column_label(F.col("column_id"), F.col("column_name"), label_by).alias("label")
-        profiles = column_profile(cells, **self.rules).select(
-            "table_id", label, "column_id", "n_cells", "n_numbers", "n_missing"
-        )
-        rows = cell_pair_rows(cells, **self.rules, min_rows=1, label_by=label_by)
-        self._write_parts(self._part(rows), profiles, batch)
+        # Written once: the counters are stored and decide on the roles.
+        found = materialize(column_profile(cells, **self.rules), "profile")
+        profiles = found.select("table_id", label, "column_id", "n_cells", "n_numbers", "n_missing")
+        sums = cell_pair_aggregate(cells, *sums_of_value(), **self.rules, min_rows=1, label_by=label_by, profile=found)
+        self._write_parts(self._smallest(sums.where("n > 0")), profiles, batch)
 
     def _part(self, rows: DataFrame) -> DataFrame:
-        sums = rows.groupBy(*PAIR, "key").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
-        return self._smallest(sums.where("n > 0"))
+        return self._smallest(rows.groupBy(*PAIR, "key").agg(*sums_of_value()).where("n > 0"))
 
     def _smallest(self, sums: DataFrame) -> DataFrame:
         kept = pair_sketch(sums.select(*PAIR, "key", F.struct("total", "n").alias("value")), self.opts)
