@@ -37,6 +37,19 @@ def key_hash(key: Column, opts: SketchOptions) -> Column:
     return F.sha2(key, 256)
 
 
+def hash_sql(opts: SketchOptions) -> str | None:
+    """SQL template for the hex text of :func:`key_hash`; None where it is no hex text."""
+    if opts.hash_order == "be":
+        return "md5({})"
+    if opts.hash_order == "sha2":
+        return "sha2({}, 256)"
+    if opts.hash_order == "le_signed":
+        # The digits of the last two bytes; no more of them are counted.
+        top = f"translate(substring(md5({{0}}), 31, 1), '{HEX_DIGITS}', '{HEX_DIGITS_TOP_FLIPPED}')"
+        return f"concat({top}, substring(md5({{0}}), 32, 1), substring(md5({{0}}), 29, 2))"
+    return None
+
+
 def _term_text(text: Column, opts: SketchOptions) -> Column:
     if opts.term == "md5":
         return md5_hex(text)

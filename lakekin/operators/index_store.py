@@ -17,7 +17,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakekin.operators.pairs import LakeTable, cell_pair_means, lake_means, sketch_candidates
+from lakekin.operators.pairs import LakeTable, cell_pair_means, sketch_candidates, sketch_means
 from lakekin.operators.search import prune_index
 from lakekin.operators.sketch import term_index
 from lakekin.options import PAIR, SketchOptions
@@ -107,7 +107,7 @@ class TermStore:
                 raise ValueError("two passes need the default hash order")
             means = sketch_candidates(fresh, self.opts.size)
         else:
-            means = lake_means(fresh)
+            means = sketch_means(fresh, self.opts)
         self._write(term_index(means, self.opts), batch)
 
     def append_cells(self, cells: DataFrame, batch: str, *, stage: bool = False, **rules) -> None:

@@ -13,9 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakekin.functions.hashing import hash_sql
 from lakekin.functions.numeric import clean_text, usable
 from lakekin.operators.profile import column_label, table_roles
-from lakekin.options import MAX_MEASURE, PAIR
+from lakekin.options import MAX_MEASURE, PAIR, SketchOptions
 from lakekin.session import materialize
 
 
@@ -199,6 +200,45 @@ def lake_means(
     return sql.run(" UNION ALL ".join(parts))
 
 
+#: Leading hex digits of a hash, of which :func:`sketch_means` counts the keys.
+COUNTED_DIGITS = 3
+
+
+def sketch_means(lake: Sequence[LakeTable], opts: SketchOptions = SketchOptions(), **options) -> DataFrame:
+    """:func:`lake_means` of only the keys that can be in a sketch by ``opts``.
+
+    The lake is read and aggregated once. The means of a pair are counted by the first
+    digits of their hash (at most 16^3 rows per task and pair); up to the digits at which
+    the count reaches the sketch size there are as many keys, so no key above them can be
+    sampled. Counting and dropping both read the same exchange, and neither sorts the
+    means, so a task's memory does not grow with the rows of the pairs. Pairs with fewer
+    keys stay whole, and so do all of a hash order that is no hex text.
+    """
+    hash_text = hash_sql(opts)
+    if hash_text is None:
+        return lake_means(lake, **options)
+    sql = LakeSql(lake)
+    digits = f"substring({template(hash_text.format('key'))}, 1, {COUNTED_DIGITS})"
+    parts = []
+    for n in sql.measure_counts():
+        averages = ", ".join(f"avg(m{j}) AS m{j}" for j in range(1, n + 1))
+        names = ", ".join(f"m{j} AS `{j}`" for j in range(1, n + 1))
+        parts.append(
+            f"SELECT k, m, key, value, {digits} AS digits "
+            f"FROM (SELECT k, key, {averages} FROM ({sql.long_rows(n, **options)}) GROUP BY k, key) "
+            f"UNPIVOT (value FOR m IN ({names}))"
+        )
+    return sql.run(
+        f"WITH means AS ({' UNION ALL '.join(parts)}), "
+        "counted AS (SELECT k, m, digits, count(*) AS n FROM means GROUP BY k, m, digits), "
+        "reached AS (SELECT k, m, digits, sum(n) OVER (PARTITION BY k, m ORDER BY digits) AS upto FROM counted), "
+        f"limits AS (SELECT k AS lk, m AS lm, min(digits) AS cut FROM reached WHERE upto >= {opts.size} GROUP BY k, m) "
+        # One row per pair of the listed tables.
+        f"SELECT /*+ BROADCAST(limits) */ {sql.table_id()} AS table_id, {sql.key_col()} AS key_col, "
+        f"{sql.value_col()} AS value_col, key, value FROM means LEFT JOIN limits ON k = lk AND m = lm WHERE cut IS NULL OR digits <= cut"
+    )
+
+
 def restrict(
     lake: Sequence[LakeTable], columns: Iterable[tuple[str, ...]]
 ) -> list[LakeTable]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from lakekin.operators.pairs import (
     lake_means,
     query_means,
     sketch_candidates,
+    sketch_means,
 )
 from lakekin.operators.sketch_store import SketchStore
 from lakekin.options import COMPAT_MIN_ROWS, PAIR, SketchOptions
@@ -57,6 +59,11 @@ def full_means(lake: Lake) -> DataFrame:
     return lake_means(lake.tables())
 
 
+def sampled_means(lake: Lake, opts: SketchOptions = OPTIONS) -> DataFrame:
+    """:func:`full_means` without the keys that no sketch by ``opts`` can hold."""
+    return sketch_means(lake.tables(), opts)
+
+
 def the_query(lake: Lake) -> DataFrame:
     """Customers and their order totals: the query table of the searches."""
     return query_means(lake.table(QUERY_TABLE).df, *QUERY_PAIR)
@@ -236,19 +243,21 @@ def cell_term_index(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def pair_sketch(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(sketch.pair_sketch(full_means(Lake(spark, folder)), OPTIONS), "value")
+    return rounded(sketch.pair_sketch(sampled_means(Lake(spark, folder)), OPTIONS), "value")
 
 
 @register
 def pair_sketch_two_pass(spark: SparkSession, folder: str) -> DataFrame:
     """The same sketches without shuffling keys that cannot be sampled."""
-    means = sketch_candidates(Lake(spark, folder).tables(), OPTIONS.size)
+    # The views join large tables; both passes read their rows, joined once and written.
+    lake = [replace(t, df=materialize(t.df, t.table_id)) for t in Lake(spark, folder).tables()]
+    means = sketch_candidates(lake, OPTIONS.size)
     return rounded(sketch.pair_sketch(means, OPTIONS), "value")
 
 
 def _small_sketch(spark: SparkSession, folder: str, order: str) -> DataFrame:
-    means = lake_means(Lake(spark, folder).tables())
-    kept = sketch.pair_sketch(means, options(hash_order=order))
+    opts = options(hash_order=order)
+    kept = sketch.pair_sketch(sampled_means(Lake(spark, folder), opts), opts)
     return kept.select(*PAIR, "key", "sketch_rank")
 
 
@@ -264,12 +273,12 @@ def pair_sketch_le_signed(spark: SparkSession, folder: str) -> DataFrame:
 
 @register
 def term_index(spark: SparkSession, folder: str) -> DataFrame:
-    return sketch.term_index(full_means(Lake(spark, folder)), OPTIONS)
+    return sketch.term_index(sampled_means(Lake(spark, folder)), OPTIONS)
 
 
 def _small_index(spark: SparkSession, folder: str, **changes) -> DataFrame:
-    means = lake_means(Lake(spark, folder).tables())
-    return sketch.term_index(means, options(**changes))
+    opts = options(**changes)
+    return sketch.term_index(sampled_means(Lake(spark, folder), opts), opts)
 
 
 @register
@@ -291,8 +300,8 @@ def term_index_sql_label(spark: SparkSession, folder: str) -> DataFrame:
 def index_append(spark: SparkSession, folder: str) -> DataFrame:
     """Index half of the lake, then append all of it: nothing is counted twice."""
     lake = Lake(spark, folder)
-    half = sketch.term_index(lake_means(lake.tables()[::2]), OPTIONS)
-    return append_terms(half, sketch.term_index(full_means(lake), OPTIONS))
+    half = sketch.term_index(sketch_means(lake.tables()[::2], OPTIONS), OPTIONS)
+    return append_terms(half, sketch.term_index(sampled_means(lake), OPTIONS))
 
 
 @register
@@ -360,13 +369,13 @@ def folder_tables(files: DataFrame) -> tall.CellSource:
 
 @register
 def index_stats(spark: SparkSession, folder: str) -> DataFrame:
-    terms = sketch.term_index(full_means(Lake(spark, folder)), OPTIONS)
+    terms = sketch.term_index(sampled_means(Lake(spark, folder)), OPTIONS)
     return rounded(sketch.index_stats(terms), "mean_prefix", digits=4)
 
 
 @register
 def inverted_lists(spark: SparkSession, folder: str) -> DataFrame:
-    terms = sketch.term_index(full_means(Lake(spark, folder)), OPTIONS)
+    terms = sketch.term_index(sampled_means(Lake(spark, folder)), OPTIONS)
     lists = sketch.inverted_lists(terms)
     return lists.select("term", F.size("pairs").cast("long").alias("n_pairs"))
 
@@ -387,7 +396,8 @@ def index_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lake_index(lake: Lake, **changes) -> DataFrame:
-    return sketch.term_index(full_means(lake), options(**changes))
+    opts = options(**changes)
+    return sketch.term_index(sampled_means(lake, opts), opts)
 
 
 @register
@@ -589,7 +599,7 @@ def augment_mean(spark: SparkSession, folder: str) -> DataFrame:
 
 def best_hits(lake: Lake, k: int) -> DataFrame:
     """The k best pairs for the query outside its own table, numbered."""
-    others = sketch.term_index(lake_means([t for t in lake.tables() if t.table_id != QUERY_TABLE]), OPTIONS)
+    others = sketch.term_index(sketch_means([t for t in lake.tables() if t.table_id != QUERY_TABLE], OPTIONS), OPTIONS)
     found = search.search_signed(others, the_query(lake), 10, OPTIONS)
     return augment.ranked_hits(found, "count", k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lakekin import PAIR, SketchOptions
 from lakekin.operators import search, sketch
-from lakekin.operators.pairs import LakeTable, lake_means, query_means, sketch_candidates, wide_pair_means
+from lakekin.operators.pairs import LakeTable, lake_means, query_means, sketch_candidates, sketch_means, wide_pair_means
 from lakekin.operators.profile import key_columns, measure_columns
 
 QUERY = ("Country", "Life expectancy ")
@@ -204,3 +204,21 @@ def test_toy_lake_ranks_correlated_tables_first(spark):
     top = search.search_signed(index, query_means(lake, "id", "master"), 6, opts).collect()
     assert {r["value_col"] for r in top} == {f"close_{i}" for i in range(6)}
     assert {r["side"] for r in top} == {"+"}
+
+
+@pytest.mark.parametrize("order", ["be", "sha2", "le_signed", "xxhash64"])
+def test_keys_that_no_sketch_holds_are_dropped_unsorted(spark, order):
+    df = spark.range(6000).selectExpr(
+        "concat('k', id % 4000) AS a", "concat('z', id % 5) AS b", "id AS full", "IF(id % 50 = 0, id, NULL) AS rare"
+    )
+    lake = [LakeTable("t", df, ("a", "b"), ("full", "rare")), LakeTable("u", df, ("a",), ("full",))]
+    opts = SketchOptions(size=64, hash_order=order)
+    means = sketch_means(lake, opts)
+    got = sketch.pair_sketch(means, opts).select(*PAIR, "key", "value", "sketch_rank").collect()
+    want = sketch.pair_sketch(lake_means(lake), opts).select(*PAIR, "key", "value", "sketch_rank").collect()
+    assert sorted(got) == sorted(want)
+    if order != "xxhash64":
+        # Two large pairs keep the sketch and the rest of its last bin, the small ones all.
+        assert means.where("key_col = 'a' AND value_col = 'full'").count() < 2 * (64 + 16)
+        plan = means._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan
