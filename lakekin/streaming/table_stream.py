@@ -7,8 +7,8 @@ they are handed on at once, as a further batch, and the store's sketches merge e
 
 State is bounded: a table's keys are dealt over ``salts`` groups by hash, so that a
 table with a third of all rows is no single group, and each group holds at most one
-sketch per pair. Before the exchange each task keeps of every batch of its rows the sums
-of the keys that can still be in a sketch.
+sketch per pair. Before the exchange each task sums up its rows by key (in Arrow, without
+Python objects) and keeps the sums of the keys that can still be in a sketch.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,6 +42,20 @@ STATE_SCHEMA = (
 )
 
 
+#: Sums that a task holds between batches of rows.
+HELD_ROWS = 1 << 16
+SUMMED_BY = ["table_id", "key_col", "value_col", "place", "key"]
+COMBINED_ARROW = pa.schema(
+    [*[(c, pa.string()) for c in SUMMED_BY], ("total", pa.float64()), ("n", pa.int64()), ("ended", pa.bool_())]
+)
+NO_SUMS = pa.schema([f for f in COMBINED_ARROW if f.name != "ended"]).empty_table()
+
+
+def summed(sums: pa.Table) -> list[pa.RecordBatch]:
+    """Sums as rows of :data:`COMBINED_SCHEMA`."""
+    return sums.append_column("ended", pa.array([False] * sums.num_rows, pa.bool_())).to_batches()
+
+
 def smallest(rows: pd.DataFrame, table: list[str], size: int) -> pd.DataFrame:
     """Sums of equal keys, then per pair the ``size`` keys first in ``place`` and key order."""
     pair = [*table, "key_col", "value_col"]
@@ -120,15 +135,33 @@ def table_sums(
     )
     size = opts.size
 
-    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = NO_SUMS
         for batch in batches:
-            marks = batch[batch["ended"]]
-            sums = smallest(batch[batch["total"].notna()].assign(n=1), ["table_id"], size)
-            yield pd.concat([sums.assign(ended=False), marks.assign(n=0)])[COMBINED_COLUMNS]
+            arrived = pa.Table.from_batches([batch])
+            marks = arrived.filter(arrived["ended"])
+            if marks.num_rows:
+                marks = marks.append_column("n", pa.array([0] * marks.num_rows, pa.int64()))
+                yield from marks.select(COMBINED_COLUMNS).cast(COMBINED_ARROW).to_batches()
+            sums = arrived.filter(arrived["total"].is_valid()).group_by(SUMMED_BY)
+            sums = sums.aggregate([("total", "sum"), ("total", "count")]).rename_columns(
+                {"total_sum": "total", "total_count": "n"}
+            )
+            held = pa.concat_tables([held, sums.select(NO_SUMS.column_names).cast(NO_SUMS.schema)])
+            if held.num_rows > HELD_ROWS:
+                kept = smallest(held.to_pandas(), ["table_id"], size)
+                held = pa.Table.from_pandas(kept[NO_SUMS.column_names], NO_SUMS.schema, preserve_index=False)
+                if held.num_rows > HELD_ROWS // 2:
+                    # Many pairs in one task: hand them on rather than hold them.
+                    yield from summed(held)
+                    held = NO_SUMS
+        if held.num_rows:
+            kept = smallest(held.to_pandas(), ["table_id"], size)
+            yield from summed(pa.Table.from_pandas(kept[NO_SUMS.column_names], NO_SUMS.schema, preserve_index=False))
 
     everywhere = F.sequence(F.lit(0), F.lit(salts - 1))
     own = F.array(F.pmod(F.xxhash64("key"), F.lit(salts)).cast("int"))
-    combined = placed.mapInPandas(combine, COMBINED_SCHEMA)
+    combined = placed.mapInArrow(combine, COMBINED_SCHEMA)
     placed = combined.select("*", F.explode(F.when(F.col("ended"), everywhere).otherwise(own)).alias("salt"))
     remember = None if remember_seconds is None else int(remember_seconds * 1000)
     step = OpenTables(opts.size, int(idle_seconds * 1000), remember)

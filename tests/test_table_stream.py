@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lakekin.operators.sketch_store import SketchStore
 from lakekin.options import PAIR, SketchOptions
 from lakekin.session import new_folder
+from lakekin.operators import pairs
 from lakekin.streaming.table_stream import ARRIVING_SCHEMA, index_tables
 
 SMALL = SketchOptions(size=16)
@@ -54,3 +55,25 @@ def test_a_silent_table_closes(spark, arrivals):
     assert arrivals(rows, idle_seconds=1) == []
     time.sleep(1.5)
     assert arrivals(rows_of("u", 0, 5), idle_seconds=1) == expected(spark, rows)
+
+
+def test_arriving_rows_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No third of the rows of a lake goes through one task."""
+    from lakekin.plans import queries
+
+    cells = spark.range(0, 4000, 1, 4).selectExpr(
+        "'t' AS table_id", "id DIV 2 AS row_id", "CAST(id % 2 AS INT) AS column_id",
+        "IF(id % 2 = 0, 'k', 'v') AS column_name", "IF(id % 2 = 0, concat('key', id), CAST(id AS STRING)) AS cell",
+        "IF(id % 2 = 1, CAST(id AS DOUBLE), NULL) AS num",
+    )
+    folders = {}
+
+    def folder(session, name):
+        return folders.setdefault(name, str(tmp_path / name))
+
+    monkeypatch.setattr(queries, "written_cells", lambda lake: cells)
+    monkeypatch.setattr(queries, "new_folder", folder)
+    rows = pairs.cell_pair_rows(cells, min_rows=12, block_rows=100)
+    monkeypatch.setattr(queries.pairs, "cell_pair_rows", lambda *_, **__: rows.repartition(4, "key"))
+    assert queries.index_table_stream(spark, "").count() == 128
+    assert len(spark.read.parquet(folders["arriving"]).inputFiles()) > 4
