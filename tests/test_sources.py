@@ -280,3 +280,13 @@ def test_rows_are_put_together_without_merging_lists(spark):
     cells, _, _ = mixed_cells(spark)
     plan = cell_pair_means(cells)._jdf.queryExecution().executedPlan().toString()
     assert "ObjectHashAggregate" not in plan and "lambda" not in plan
+
+
+def test_blocks_run_the_function_once(spark):
+    import pandas as pd
+
+    cells, _, _ = mixed_cells(spark)
+    merged, _ = map_blocks(cells, lambda t: pd.DataFrame({"n": [len(t)]}), "n bigint", [F.sum("n").alias("n")], block_rows=4)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 1
+    assert sorted(tuple(r) for r in merged.collect()) == [("a__short", 11), ("long", 12)]
