@@ -1,11 +1,14 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
 from lakekin import PAIR, SketchOptions
-from lakekin.operators import search
+from lakekin.operators import search, sketch
 from lakekin.operators.index_store import TermStore, append_terms
 from lakekin.operators.pairs import cell_pair_means, lake_means, LakeTable, query_means
-from lakekin.operators.sketch import index_stats, inverted_lists, term_index
+from lakekin.operators.sketch import index_stats, inverted_lists, pair_sketch, term_index
+from lakekin.plans import queries
 from lakekin.sources.files import csv_cells
 from lakekin.streaming.index_stream import index_stream, stream_files
 
@@ -145,3 +148,22 @@ def test_stream_equals_batch(spark, tmp_path):
     batch = csv_cells(spark.read.format("binaryFile").load(str(folder))).cells
     assert rows(store.terms()) == rows(term_index(cell_pair_means(batch)))
     assert store.tables().count() == 3
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables not present")
+@pytest.mark.parametrize(
+    "name",
+    ["inverted_lists", "pair_sketch", "pair_sketch_le_signed", "search_multi_stored", "search_stored", "term_index", "term_index_hex", "term_index_inner"],
+)
+def test_index_sorts_no_key_that_no_sketch_holds(spark, monkeypatch, name):
+    sorted_rows = []
+
+    def counted(means, *opts):
+        if not sorted_rows:  # the index; the query of a search comes after it
+            sorted_rows.append(means.groupBy(*PAIR).count().agg({"count": "max"}).first()[0])
+        return pair_sketch(means, *opts)
+
+    monkeypatch.setattr(sketch, "pair_sketch", counted)
+    queries.REGISTRY[name](spark, "/root/testdata/sf0.01")
+    # The sketch and the rest of its last bin; the largest pair has 2000 keys.
+    assert sorted_rows[0] < 128 + 16
